@@ -1,0 +1 @@
+"""Incremental (Structured Streaming) execution of the log-only metrics."""
