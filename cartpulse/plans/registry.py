@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartpulse.plans import audience as A
 from cartpulse.plans import revenue as R
 from cartpulse.sources.tables import DeliveryTables
 from cartpulse.sources.tpch import derive_tables
@@ -30,12 +31,15 @@ def to_boundary(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def _bind(metric: Callable[..., DataFrame]) -> Callable[[DeliveryTables], DataFrame]:
-    return metric
-
-
 # name -> function of the tables (and test parameters).
 METRICS: dict[str, Callable[[SparkSession, str, DeliveryTables], DataFrame]] = {
+    "audience_growth": lambda spark, sf, t: A.audience_growth(t),
+    "audience_growth_rates": lambda spark, sf, t: A.audience_growth_rates(t),
+    "active_audience": lambda spark, sf, t: A.active_audience(t),
+    "order_frequency_shares": lambda spark, sf, t: A.order_frequency_shares(t),
+    "courier_load": lambda spark, sf, t: A.courier_load(t),
+    "delivery_time": lambda spark, sf, t: A.delivery_time(t),
+    "hourly_cancel_rate": lambda spark, sf, t: A.hourly_cancel_rate(t),
     "daily_revenue": lambda spark, sf, t: R.daily_revenue(t),
 }
 

@@ -31,6 +31,7 @@ SCALE_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
