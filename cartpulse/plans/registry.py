@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from cartpulse.plans import audience as A
 from cartpulse.plans import revenue as R
 from cartpulse.sources.tables import DeliveryTables
-from cartpulse.sources.tpch import derive_tables
+from cartpulse.sources.tpch import SHARE_THRESHOLD, derive_tables, reduced_vat_predicate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,12 @@ METRICS: dict[str, Callable[[SparkSession, str, DeliveryTables], DataFrame]] = {
     "delivery_time": lambda spark, sf, t: A.delivery_time(t),
     "hourly_cancel_rate": lambda spark, sf, t: A.hourly_cancel_rate(t),
     "daily_revenue": lambda spark, sf, t: R.daily_revenue(t),
+    "daily_arpu": lambda spark, sf, t: R.daily_arpu(t),
+    "running_arpu": lambda spark, sf, t: R.running_arpu(t),
+    "weekday_arpu": lambda spark, sf, t: R.weekday_arpu(t),
+    "new_user_revenue": lambda spark, sf, t: R.new_user_revenue(t),
+    "product_revenue_share": lambda spark, sf, t: R.product_revenue_share(t, threshold=SHARE_THRESHOLD),
+    "gross_profit": lambda spark, sf, t: R.gross_profit(t, reduced_vat=reduced_vat_predicate()),
 }
 
 

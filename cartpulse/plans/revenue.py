@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartpulse import params as P
+from cartpulse import schema as S
 from cartpulse.functions.dates import day, iso_weekday, weekday_name
 from cartpulse.functions.numeric import half_up_div, money_pct, money_ratio, units, with_scale
 from cartpulse.operators.audience import day_order, first_seen, running_sum
@@ -67,3 +68,280 @@ def daily_revenue(t: DeliveryTables) -> DataFrame:
         F.sum("revenue").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("total_revenue"),
         money_pct(F.col("revenue") - prev, prev).alias("revenue_change"),
     )
+
+
+def _users_per_day(ua: DataFrame) -> DataFrame:
+    """date, users (distinct acting users), paying_users (distinct users acting
+    on a non-cancelled order).
+
+    Deduplicates (date, user) first with ``max(paid)``, so the two distinct
+    counts come from one aggregation instead of an Expand that doubles the
+    rows; a hot user collapses to one row per day in the partial aggregate.
+    """
+    flagged = with_cancel_flag(ua, ua)
+    per_user = flagged.groupBy(day("time").alias("date"), "user_id").agg(F.max(paid_flag()).alias("paid"))
+    known = F.col("user_id").isNotNull()
+    return per_user.groupBy("date").agg(
+        F.count(F.when(known, 1)).alias("users"),
+        F.count(F.when(known & F.col("paid"), 1)).alias("paying_users"),
+    )
+
+
+# -- M09 -------------------------------------------------------------------
+
+
+def daily_arpu(t: DeliveryTables) -> DataFrame:
+    """ARPU, ARPPU and AOV per day.
+
+    Columns: date, arpu (revenue / users acting that day, cancellations
+    included), arppu (revenue / paying users), aov (revenue / orders); 2
+    places.  Revenue and orders are by creation date of non-cancelled
+    orders; users by action date; the two are inner-joined on date.
+    """
+    users = _users_per_day(t.user_actions)
+    rev = _daily_revenue_base(t)
+    return rev.join(users, "date").select(
+        "date",
+        money_ratio(F.col("revenue"), F.col("users")).alias("arpu"),
+        money_ratio(F.col("revenue"), F.col("paying_users")).alias("arppu"),
+        money_ratio(F.col("revenue"), F.col("orders")).alias("aov"),
+    )
+
+
+# -- M10 -------------------------------------------------------------------
+
+
+def running_arpu(t: DeliveryTables) -> DataFrame:
+    """Running ARPU, ARPPU and AOV: cumulative revenue over cumulative new users,
+    new paying users and orders.
+
+    Columns: date, running_arpu, running_arppu, running_aov (2 places).  The
+    three daily series are inner-joined on date *before* the running sums, so
+    a date without a new user or a new payer is left out of all totals.
+    """
+    ua = t.user_actions
+    new_users = first_seen(ua, "user_id", "date").groupBy("date").agg(F.count("user_id").alias("new_users"))
+    new_payers = (
+        first_seen(not_cancelled(ua, ua), "user_id", "date")
+        .groupBy("date")
+        .agg(F.count("user_id").alias("new_payers"))
+    )
+    daily = new_users.join(new_payers, "date").join(_daily_revenue_base(t), "date")
+    running = daily.select(
+        "date",
+        running_sum("new_users").alias("users"),
+        running_sum("new_payers").alias("payers"),
+        running_sum("revenue").alias("revenue"),
+        running_sum("orders").alias("orders"),
+    )
+    return running.select(
+        "date",
+        money_ratio(F.col("revenue"), F.col("users")).alias("running_arpu"),
+        money_ratio(F.col("revenue"), F.col("payers")).alias("running_arppu"),
+        money_ratio(F.col("revenue"), F.col("orders")).alias("running_aov"),
+    )
+
+
+# -- M11 -------------------------------------------------------------------
+
+
+def _ts_lit(value) -> Column:
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
+def weekday_arpu(t: DeliveryTables, start=P.WEEKDAY_FROM, end=P.WEEKDAY_TO) -> DataFrame:
+    """ARPU, ARPPU and AOV by day of week over a time window (inclusive).
+
+    Columns: weekday (English name padded to 9 characters), weekday_number
+    (ISO, Monday = 1), arpu, arppu, aov.  Users are distinct over the whole
+    window per weekday.  Sorted by weekday_number.
+    """
+    lo, hi = _ts_lit(start), _ts_lit(end)
+    orders = t.orders.filter(F.col("creation_time").between(lo, hi))
+    lines = priced_lines(
+        order_lines(not_cancelled(orders, t.user_actions), "creation_time"), t.products_side()
+    )
+    rev = lines.groupBy(
+        weekday_name("creation_time").alias("weekday"), iso_weekday("creation_time").alias("weekday_number")
+    ).agg(F.sum("price").alias("revenue"), F.countDistinct("order_id").alias("orders"))
+    ua = t.user_actions.filter(F.col("time").between(lo, hi))
+    flagged = with_cancel_flag(ua, t.user_actions)
+    per_user = flagged.groupBy(
+        weekday_name("time").alias("weekday"), iso_weekday("time").alias("weekday_number"), "user_id"
+    ).agg(F.max(paid_flag()).alias("paid"))
+    known = F.col("user_id").isNotNull()
+    users = per_user.groupBy("weekday", "weekday_number").agg(
+        F.count(F.when(known, 1)).alias("users"),
+        F.count(F.when(known & F.col("paid"), 1)).alias("paying_users"),
+    )
+    return (
+        rev.join(users, ["weekday", "weekday_number"])
+        .select(
+            "weekday",
+            "weekday_number",
+            money_ratio(F.col("revenue"), F.col("users")).alias("arpu"),
+            money_ratio(F.col("revenue"), F.col("paying_users")).alias("arppu"),
+            money_ratio(F.col("revenue"), F.col("orders")).alias("aov"),
+        )
+        .orderBy("weekday_number")
+    )
+
+
+# -- M12 -------------------------------------------------------------------
+
+
+def new_user_revenue(t: DeliveryTables) -> DataFrame:
+    """Revenue per day and the part of it paid by users on their first day.
+
+    Columns: date, revenue, new_users_revenue, new_users_revenue_share,
+    old_users_revenue_share (percent, 2 places; old = 100 - new).  New-user
+    revenue: order totals attached to each non-cancelled user action, summed
+    per action date and user, kept where that date is the user's first action
+    date.  Dates without new-user revenue are dropped.  Sorted by date.
+    """
+    paid_orders = not_cancelled(t.orders, t.user_actions)
+    totals = order_totals(priced_lines(order_lines(paid_orders), t.products_side()))
+    per_user_day = (
+        t.user_actions.select(day("time").alias("date"), "user_id", "order_id")
+        .join(totals, "order_id")
+        .groupBy("date", "user_id")
+        .agg(F.sum("order_revenue").alias("revenue"))
+    )
+    first = first_seen(t.user_actions, "user_id", "date")
+    new_rev = (
+        per_user_day.join(first, ["user_id", "date"])
+        .groupBy("date")
+        .agg(F.sum("revenue").alias("new_users_revenue"))
+    )
+    rev = _paid_lines(t).groupBy("date").agg(F.sum("price").alias("revenue"))
+    share = money_pct(F.col("new_users_revenue"), F.col("revenue"))
+    return (
+        rev.join(new_rev, "date")
+        .select(
+            "date",
+            "revenue",
+            "new_users_revenue",
+            share.alias("new_users_revenue_share"),
+            (F.lit(100) - share).alias("old_users_revenue_share"),
+        )
+        .orderBy("date")
+    )
+
+
+# -- M13 -------------------------------------------------------------------
+
+SHARE_PLACES = 12
+
+
+def product_revenue_share(
+    t: DeliveryTables, threshold: str = P.OTHER_SHARE_THRESHOLD, other_label: str = P.OTHER_LABEL
+) -> DataFrame:
+    """Revenue per product name and its share of all revenue, small names merged.
+
+    Columns: product_name, revenue, share_in_revenue (percent, unrounded in
+    the analysis; here exact to 12 places).  Names whose share is below
+    ``threshold`` percent are merged under ``other_label`` (revenues and
+    shares summed).  Sorted by revenue, descending.
+
+    The total is a one-row aggregate joined to every name (a broadcast of one
+    row), not a window over all lines.
+    """
+    per_name = _paid_lines(t).groupBy(F.col("name").alias("product_name")).agg(F.sum("price").alias("revenue"))
+    total = per_name.agg(F.sum("revenue").alias("total"))
+    rev_c, tot_c = units("revenue", 2), units("total", 2)
+    small = rev_c * F.lit(100) < tot_c * F.lit(Decimal(threshold))
+    labelled = per_name.crossJoin(F.broadcast(total)).select(
+        F.when(small, F.lit(other_label)).otherwise(F.col("product_name")).alias("product_name"),
+        "revenue",
+        with_scale(half_up_div(rev_c * F.lit(100 * 10**SHARE_PLACES), tot_c), SHARE_PLACES).alias("share"),
+    )
+    return (
+        labelled.groupBy("product_name")
+        .agg(F.sum("revenue").alias("revenue"), F.sum("share").alias("share_in_revenue"))
+        .orderBy(F.desc("revenue"))
+    )
+
+
+# -- M14 -------------------------------------------------------------------
+
+
+def _by_month(d: Column, tariffs, attr: str) -> Column:
+    """Tariff value for the month of date ``d``; null for a month without tariff."""
+    m = F.trunc(d, "month")
+    expr = None
+    for tf in tariffs:
+        cond = m == F.lit(tf.month)
+        value = F.lit(getattr(tf, attr))
+        expr = F.when(cond, value) if expr is None else expr.when(cond, value)
+    return expr if expr is not None else F.lit(None).cast("int")
+
+
+def _reduced_vat(reduced_vat) -> Column:
+    if isinstance(reduced_vat, Column):
+        return reduced_vat
+    return F.col("name").isin(list(reduced_vat))
+
+
+def gross_profit(
+    t: DeliveryTables, cost: P.CostModel = P.CostModel(), reduced_vat=P.REDUCED_VAT_NAMES
+) -> DataFrame:
+    """Daily revenue, costs, VAT and gross profit, with running totals and ratios.
+
+    Costs of a day = assembly (per non-cancelled user action, by month) +
+    fixed costs (per day, by month) + courier pay (per delivery, plus a bonus
+    for a courier with at least ``bonus_min_deliveries`` that day); null when
+    any part is missing.  VAT is rounded to cents per unit sold, then summed.
+    ``reduced_vat`` is a list of product names or a boolean Column on
+    ``name``.  Dates missing revenue or costs rows are dropped; running sums
+    skip null costs.
+
+    Columns: date, revenue, costs, tax, gross_profit, total_revenue,
+    total_costs, total_tax, total_gross_profit, gross_profit_ratio,
+    total_gross_profit_ratio (percent, 2 places).
+    """
+    (rn, rd), (sn, sd) = cost.reduced_vat_rate, cost.standard_vat_rate
+    cents = units("price", 2)
+    tax_c = F.when(_reduced_vat(reduced_vat), half_up_div(cents * rn, F.lit(rd))).otherwise(
+        half_up_div(cents * sn, F.lit(sd))
+    )
+    sales = _paid_lines(t).groupBy("date").agg(
+        F.sum("price").alias("revenue"), with_scale(F.sum(tax_c), 2).alias("tax")
+    )
+
+    deliveries = (
+        t.courier_actions.filter(F.col("action") == S.DELIVER_ORDER)
+        .groupBy(day("time").alias("date"), "courier_id")
+        .agg(F.count("order_id").alias("n"))
+    )
+    bonus = F.when(
+        F.col("n") >= cost.bonus_min_deliveries, F.coalesce(_by_month(F.col("date"), cost.tariffs, "courier_bonus"), F.lit(0))
+    ).otherwise(F.lit(0))
+    courier_pay = deliveries.groupBy("date").agg(
+        F.sum(F.col("n") * cost.pay_per_delivery + bonus).alias("courier_pay")
+    )
+    paid_ua = not_cancelled(t.user_actions, t.user_actions).select(day("time").alias("date"))
+    assembly = paid_ua.groupBy("date").agg(
+        F.sum(_by_month(F.col("date"), cost.tariffs, "assembly_per_action")).alias("assembly")
+    ).withColumn("fixed", _by_month(F.col("date"), cost.tariffs, "fixed_per_day"))
+    costs = assembly.join(courier_pay, "date", "full").select(
+        "date", (F.col("assembly") + F.col("fixed") + F.col("courier_pay")).cast("decimal(22,2)").alias("costs")
+    )
+
+    daily = costs.join(sales, "date").withColumn(
+        "gross_profit", F.col("revenue") - F.col("costs") - F.col("tax")
+    )
+    total_gp = running_sum("gross_profit")
+    total_rev = running_sum("revenue")
+    return daily.select(
+        "date",
+        "revenue",
+        "costs",
+        "tax",
+        "gross_profit",
+        total_rev.alias("total_revenue"),
+        running_sum("costs").alias("total_costs"),
+        running_sum("tax").alias("total_tax"),
+        total_gp.alias("total_gross_profit"),
+        money_pct(F.col("gross_profit"), F.col("revenue")).alias("gross_profit_ratio"),
+        money_pct(total_gp, total_rev).alias("total_gross_profit_ratio"),
+    )
