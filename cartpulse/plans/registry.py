@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartpulse.plans import audience as A
+from cartpulse.plans import marketing as M
+from cartpulse.plans import readouts as D
 from cartpulse.plans import revenue as R
 from cartpulse.sources.tables import DeliveryTables
-from cartpulse.sources.tpch import SHARE_THRESHOLD, derive_tables, reduced_vat_predicate
+from cartpulse.sources.tpch import SHARE_THRESHOLD, campaign_members, derive_tables, reduced_vat_predicate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +49,15 @@ METRICS: dict[str, Callable[[SparkSession, str, DeliveryTables], DataFrame]] = {
     "new_user_revenue": lambda spark, sf, t: R.new_user_revenue(t),
     "product_revenue_share": lambda spark, sf, t: R.product_revenue_share(t, threshold=SHARE_THRESHOLD),
     "gross_profit": lambda spark, sf, t: R.gross_profit(t, reduced_vat=reduced_vat_predicate()),
+    "campaign_cac": lambda spark, sf, t: M.campaign_cac(t, campaign_members(spark, sf)),
+    "campaign_roi": lambda spark, sf, t: M.campaign_roi(t, campaign_members(spark, sf)),
+    "campaign_avg_check": lambda spark, sf, t: M.campaign_avg_check(t, campaign_members(spark, sf)),
+    "retention": lambda spark, sf, t: M.retention(t),
+    "campaign_retention": lambda spark, sf, t: M.campaign_retention(t, campaign_members(spark, sf)),
+    "campaign_payback": lambda spark, sf, t: M.campaign_payback(t, campaign_members(spark, sf)),
+    "campaign_payback_day": lambda spark, sf, t: D.campaign_payback_day(t, campaign_members(spark, sf)),
+    "break_even_dates": lambda spark, sf, t: D.break_even_dates(t, reduced_vat=reduced_vat_predicate()),
+    "peak_hours": lambda spark, sf, t: D.peak_hours(t),
 }
 
 
