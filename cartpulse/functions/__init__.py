@@ -11,18 +11,22 @@ from cartpulse.functions.dates import (
 )
 from cartpulse.functions.numeric import (
     half_up_div,
+    half_up_div_sql,
     money_pct,
     money_ratio,
     pct,
     round_div,
-    units,
+    round_div_sql,
+    units_sql,
     with_scale,
+    with_scale_sql,
 )
 
 __all__ = [
     "day",
     "days_between",
     "half_up_div",
+    "half_up_div_sql",
     "hour_of",
     "iso_weekday",
     "micros_between",
@@ -31,7 +35,9 @@ __all__ = [
     "month_start",
     "pct",
     "round_div",
-    "units",
+    "round_div_sql",
+    "units_sql",
     "weekday_name",
     "with_scale",
+    "with_scale_sql",
 ]

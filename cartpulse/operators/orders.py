@@ -21,27 +21,29 @@ from cartpulse.functions.dates import day
 from cartpulse.operators.joins import flag_join
 
 
-def cancelled_orders(user_actions: DataFrame) -> DataFrame:
-    """Distinct ids of orders with a ``cancel_order`` action at any time (S1)."""
-    return (
-        user_actions.filter((F.col("action") == S.CANCEL_ORDER) & F.col("order_id").isNotNull())
-        .select("order_id")
-        .distinct()
-    )
+def _ids_with_action(actions: DataFrame, action: str, distinct: bool) -> DataFrame:
+    ids = actions.filter((F.col("action") == action) & F.col("order_id").isNotNull()).select("order_id")
+    return ids.distinct() if distinct else ids
 
 
-def delivered_orders(courier_actions: DataFrame) -> DataFrame:
-    """Distinct ids of orders with a ``deliver_order`` action by any courier (S3)."""
-    return (
-        courier_actions.filter((F.col("action") == S.DELIVER_ORDER) & F.col("order_id").isNotNull())
-        .select("order_id")
-        .distinct()
-    )
+def cancelled_orders(user_actions: DataFrame, distinct: bool = True) -> DataFrame:
+    """Ids of orders with a ``cancel_order`` action at any time (S1).
+
+    ``distinct=False`` skips the deduplication (an aggregation and its
+    shuffle) for callers that only test existence: anti and semi joins.
+    """
+    return _ids_with_action(user_actions, S.CANCEL_ORDER, distinct)
+
+
+def delivered_orders(courier_actions: DataFrame, distinct: bool = True) -> DataFrame:
+    """Ids of orders with a ``deliver_order`` action by any courier (S3)."""
+    return _ids_with_action(courier_actions, S.DELIVER_ORDER, distinct)
 
 
 def not_cancelled(df: DataFrame, user_actions: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``order_id`` is not cancelled (S2, null-safe)."""
-    return df.filter(F.col("order_id").isNotNull()).join(cancelled_orders(user_actions), "order_id", "left_anti")
+    cancelled = cancelled_orders(user_actions, distinct=False)
+    return df.filter(F.col("order_id").isNotNull()).join(cancelled, "order_id", "left_anti")
 
 
 def with_cancel_flag(df: DataFrame, user_actions: DataFrame, flag: str = "cancelled") -> DataFrame:

@@ -55,18 +55,12 @@ def audience_growth_rates(t: DeliveryTables) -> DataFrame:
     ``change = round(100 * x / previous x, 2) - 100``; the previous value is
     the previous row in date order (null on the first row and after a gap).
     """
-    base = audience_growth(t)
+    counts = ["new_users", "new_couriers", "total_users", "total_couriers"]
     w = day_order()
-
-    def change(c: str):
-        return pct(F.col(c), F.lag(c).over(w)) - 100
-
+    base = audience_growth(t).select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in counts])
+    names = ["new_users_change", "new_couriers_change", "total_users_growth", "total_couriers_growth"]
     return base.select(
-        "*",
-        change("new_users").alias("new_users_change"),
-        change("new_couriers").alias("new_couriers_change"),
-        change("total_users").alias("total_users_growth"),
-        change("total_couriers").alias("total_couriers_growth"),
+        "date", *counts, *[(pct(c, f"prev_{c}") - 100).alias(n) for c, n in zip(counts, names)]
     )
 
 
@@ -111,8 +105,8 @@ def active_audience(t: DeliveryTables) -> DataFrame:
             "date",
             "paying_users",
             "active_couriers",
-            pct(F.col("paying_users"), F.col("total_users")).alias("paying_users_share"),
-            pct(F.col("active_couriers"), F.col("total_couriers")).alias("active_couriers_share"),
+            pct("paying_users", "total_users").alias("paying_users_share"),
+            pct("active_couriers", "total_couriers").alias("active_couriers_share"),
         )
         .orderBy("date")
     )
@@ -141,8 +135,8 @@ def order_frequency_shares(t: DeliveryTables) -> DataFrame:
         per_day.filter((F.col("one_order") > 0) & (F.col("several_orders") > 0))
         .select(
             "date",
-            pct(F.col("one_order"), F.col("paying_users")).alias("single_order_users_share"),
-            pct(F.col("several_orders"), F.col("paying_users")).alias("several_orders_users_share"),
+            pct("one_order", "paying_users").alias("single_order_users_share"),
+            pct("several_orders", "paying_users").alias("several_orders_users_share"),
         )
         .orderBy("date")
     )
@@ -162,7 +156,7 @@ def courier_load(t: DeliveryTables) -> DataFrame:
     paid = not_cancelled(t.user_actions, t.user_actions)
     payers = paid.groupBy(day("time").alias("date")).agg(F.countDistinct("user_id").alias("paying_users"))
     active = (
-        t.courier_actions.join(delivered_orders(t.courier_actions), "order_id", "left_semi")
+        t.courier_actions.join(delivered_orders(t.courier_actions, distinct=False), "order_id", "left_semi")
         .groupBy(day("time").alias("date"))
         .agg(F.countDistinct("courier_id").alias("active_couriers"))
     )
@@ -177,8 +171,8 @@ def courier_load(t: DeliveryTables) -> DataFrame:
         .join(orders, "date")
         .select(
             "date",
-            round_div(F.col("paying_users"), F.col("active_couriers"), 2).alias("users_per_courier"),
-            round_div(F.col("orders"), F.col("active_couriers"), 2).alias("orders_per_courier"),
+            round_div("paying_users", "active_couriers", 2).alias("users_per_courier"),
+            round_div("orders", "active_couriers", 2).alias("orders_per_courier"),
         )
     )
 
@@ -198,7 +192,7 @@ def delivery_time(t: DeliveryTables, delivered_only: bool = False) -> DataFrame:
     """
     ca = not_cancelled(t.courier_actions, t.user_actions)
     if delivered_only:
-        ca = ca.join(delivered_orders(t.courier_actions), "order_id", "left_semi")
+        ca = ca.join(delivered_orders(t.courier_actions, distinct=False), "order_id", "left_semi")
     per_order = ca.groupBy("order_id").agg(
         day(F.max("time")).alias("date"),
         micros_between(F.min("time"), F.max("time")).alias("micros"),
@@ -208,7 +202,7 @@ def delivery_time(t: DeliveryTables, delivered_only: bool = False) -> DataFrame:
     )
     return per_day.select(
         "date",
-        half_up_div(F.col("micros"), F.col("orders") * F.lit(60_000_000)).cast("int").alias("minutes_to_deliver"),
+        half_up_div("micros", "orders * 60000000").cast("int").alias("minutes_to_deliver"),
     ).orderBy("date")
 
 
@@ -235,9 +229,7 @@ def hourly_cancel_rate(t: DeliveryTables) -> DataFrame:
             "hour",
             "successful_orders",
             "canceled_orders",
-            round_div(
-                F.col("canceled_orders"), F.col("successful_orders") + F.col("canceled_orders"), 3
-            ).alias("cancel_rate"),
+            round_div("canceled_orders", "successful_orders + canceled_orders", 3).alias("cancel_rate"),
         )
         .orderBy("hour")
     )

@@ -17,7 +17,15 @@ from pyspark.sql import functions as F
 
 from cartpulse import params as P
 from cartpulse.functions.dates import day, days_between
-from cartpulse.functions.numeric import half_up_div, money_pct, money_ratio, round_div, units, with_scale
+from cartpulse.functions.numeric import (
+    half_up_div,
+    half_up_div_sql,
+    money_pct,
+    money_ratio,
+    round_div,
+    units_sql,
+    with_scale,
+)
 from cartpulse.operators.campaign import campaign_dim, campaign_label, members_side, with_campaign
 from cartpulse.operators.orders import not_cancelled, order_lines, order_totals, priced_lines
 from cartpulse.sources.tables import DeliveryTables
@@ -52,7 +60,7 @@ def campaign_cac(t: DeliveryTables, members: DataFrame, campaigns: P.Campaigns =
     dim = campaign_dim(t.spark, campaigns.spend)
     return paying_members(t, members).join(dim, "ads_campaign").select(
         campaign_label("ads_campaign", P.CAMPAIGN_LABEL_TIGHT).alias("ads_campaign"),
-        money_ratio(F.col("spend"), F.col("payers")).alias("cac"),
+        money_ratio("spend", "payers").alias("cac"),
     )
 
 
@@ -84,7 +92,7 @@ def campaign_roi(t: DeliveryTables, members: DataFrame, campaigns: P.Campaigns =
     dim = campaign_dim(t.spark, campaigns.spend)
     return dim.join(revenue, "ads_campaign", "left").select(
         campaign_label("ads_campaign", P.CAMPAIGN_LABEL_SPACED).alias("ads_campaign"),
-        money_pct(F.col("revenue") - F.col("spend"), F.col("spend")).alias("roi"),
+        money_pct("revenue - spend", "spend").alias("roi"),
     )
 
 
@@ -110,20 +118,19 @@ def campaign_avg_check(
     checks = (
         _member_order_revenue(t, actions)
         .groupBy("ads_campaign", "user_id", "order_id")
-        .agg(F.sum("order_revenue").alias("check"))
+        .agg(F.sum("order_revenue").alias("order_check"))
     )
     per_user = checks.groupBy("ads_campaign", "user_id").agg(
-        half_up_div(units(F.sum("check"), 2) * F.lit(10**MEAN_EXTRA_PLACES), F.count("check"))
-        .cast("decimal(38,0)")
-        .alias("mean_e")
+        F.sum("order_check").alias("checks"), F.count("order_check").alias("orders")
     )
+    mean_e = half_up_div(f"{units_sql('checks', 2)} * {10**MEAN_EXTRA_PLACES}", "orders").cast("decimal(38,0)")
     per_campaign = per_user.groupBy("ads_campaign").agg(
-        F.sum("mean_e").alias("mean_e"), F.count("mean_e").alias("users")
+        F.sum(mean_e).alias("mean_e"), F.count(F.lit(1)).alias("users")
     )
+    avg = half_up_div_sql("mean_e", f"users * {10**MEAN_EXTRA_PLACES}")
     return per_campaign.select(
         campaign_label("ads_campaign", P.CAMPAIGN_LABEL_SPACED).alias("ads_campaign"),
-        with_scale(half_up_div(F.col("mean_e"), F.col("users") * F.lit(10**MEAN_EXTRA_PLACES)), 2)
-        .alias("avg_check"),
+        with_scale(avg, 2).alias("avg_check"),
     ).orderBy(F.desc("avg_check"))
 
 
@@ -137,12 +144,12 @@ def _cohort_retention(user_days: DataFrame, *group: str) -> DataFrame:
     cohorts = user_days.withColumn("start_date", F.min("date").over(by_user))
     sizes = cohorts.groupBy(*group, "start_date", "date").agg(F.count("user_id").alias("users"))
     peak = F.max("users").over(Window.partitionBy(*group, "start_date"))
-    return sizes.select(
+    return sizes.select("*", peak.alias("cohort_size")).select(
         *group,
         "start_date",
         "date",
         days_between("date", "start_date").alias("day_number"),
-        round_div(F.col("users"), peak, 2).alias("retention"),
+        round_div("users", "cohort_size", 2).alias("retention"),
     )
 
 
@@ -256,8 +263,8 @@ def campaign_payback(
         .select(
             campaign_label("ads_campaign", P.CAMPAIGN_LABEL_SPACED).alias("ads_campaign"),
             "day",
-            money_ratio(F.col("cumulative"), F.col("payers")).alias("cumulative_arppu"),
-            money_ratio(F.col("spend"), F.col("payers")).alias("cac"),
+            money_ratio("cumulative", "payers").alias("cumulative_arppu"),
+            money_ratio("spend", "payers").alias("cac"),
         )
         .orderBy("ads_campaign", "day")
     )

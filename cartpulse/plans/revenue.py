@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from cartpulse import params as P
 from cartpulse import schema as S
 from cartpulse.functions.dates import day, iso_weekday, weekday_name
-from cartpulse.functions.numeric import half_up_div, money_pct, money_ratio, units, with_scale
+from cartpulse.functions.numeric import half_up_div, half_up_div_sql, money_pct, money_ratio, units_sql, with_scale
 from cartpulse.operators.audience import day_order, first_seen, running_sum
 from cartpulse.operators.orders import (
     not_cancelled,
@@ -61,12 +61,13 @@ def daily_revenue(t: DeliveryTables) -> DataFrame:
     """
     daily = _paid_lines(t).groupBy("date").agg(F.sum("price").alias("revenue"))
     w = day_order()
-    prev = F.lag("revenue").over(w)
     return daily.select(
         "date",
         "revenue",
         F.sum("revenue").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("total_revenue"),
-        money_pct(F.col("revenue") - prev, prev).alias("revenue_change"),
+        F.lag("revenue").over(w).alias("prev_revenue"),
+    ).select(
+        "date", "revenue", "total_revenue", money_pct("revenue - prev_revenue", "prev_revenue").alias("revenue_change")
     )
 
 
@@ -102,9 +103,9 @@ def daily_arpu(t: DeliveryTables) -> DataFrame:
     rev = _daily_revenue_base(t)
     return rev.join(users, "date").select(
         "date",
-        money_ratio(F.col("revenue"), F.col("users")).alias("arpu"),
-        money_ratio(F.col("revenue"), F.col("paying_users")).alias("arppu"),
-        money_ratio(F.col("revenue"), F.col("orders")).alias("aov"),
+        money_ratio("revenue", "users").alias("arpu"),
+        money_ratio("revenue", "paying_users").alias("arppu"),
+        money_ratio("revenue", "orders").alias("aov"),
     )
 
 
@@ -136,9 +137,9 @@ def running_arpu(t: DeliveryTables) -> DataFrame:
     )
     return running.select(
         "date",
-        money_ratio(F.col("revenue"), F.col("users")).alias("running_arpu"),
-        money_ratio(F.col("revenue"), F.col("payers")).alias("running_arppu"),
-        money_ratio(F.col("revenue"), F.col("orders")).alias("running_aov"),
+        money_ratio("revenue", "users").alias("running_arpu"),
+        money_ratio("revenue", "payers").alias("running_arppu"),
+        money_ratio("revenue", "orders").alias("running_aov"),
     )
 
 
@@ -179,9 +180,9 @@ def weekday_arpu(t: DeliveryTables, start=P.WEEKDAY_FROM, end=P.WEEKDAY_TO) -> D
         .select(
             "weekday",
             "weekday_number",
-            money_ratio(F.col("revenue"), F.col("users")).alias("arpu"),
-            money_ratio(F.col("revenue"), F.col("paying_users")).alias("arppu"),
-            money_ratio(F.col("revenue"), F.col("orders")).alias("aov"),
+            money_ratio("revenue", "users").alias("arpu"),
+            money_ratio("revenue", "paying_users").alias("arppu"),
+            money_ratio("revenue", "orders").alias("aov"),
         )
         .orderBy("weekday_number")
     )
@@ -214,7 +215,7 @@ def new_user_revenue(t: DeliveryTables) -> DataFrame:
         .agg(F.sum("revenue").alias("new_users_revenue"))
     )
     rev = _paid_lines(t).groupBy("date").agg(F.sum("price").alias("revenue"))
-    share = money_pct(F.col("new_users_revenue"), F.col("revenue"))
+    share = money_pct("new_users_revenue", "revenue")
     return (
         rev.join(new_rev, "date")
         .select(
@@ -248,12 +249,13 @@ def product_revenue_share(
     """
     per_name = _paid_lines(t).groupBy(F.col("name").alias("product_name")).agg(F.sum("price").alias("revenue"))
     total = per_name.agg(F.sum("revenue").alias("total"))
-    rev_c, tot_c = units("revenue", 2), units("total", 2)
-    small = rev_c * F.lit(100) < tot_c * F.lit(Decimal(threshold))
+    rev_c, tot_c = units_sql("revenue", 2), units_sql("total", 2)
+    small = F.expr(f"{rev_c} * 100 < {tot_c} * {Decimal(threshold)}")
+    share = half_up_div_sql(f"{rev_c} * {100 * 10**SHARE_PLACES}", tot_c)
     labelled = per_name.crossJoin(F.broadcast(total)).select(
         F.when(small, F.lit(other_label)).otherwise(F.col("product_name")).alias("product_name"),
         "revenue",
-        with_scale(half_up_div(rev_c * F.lit(100 * 10**SHARE_PLACES), tot_c), SHARE_PLACES).alias("share"),
+        with_scale(share, SHARE_PLACES).alias("share"),
     )
     return (
         labelled.groupBy("product_name")
@@ -300,12 +302,16 @@ def gross_profit(
     total_gross_profit_ratio (percent, 2 places).
     """
     (rn, rd), (sn, sd) = cost.reduced_vat_rate, cost.standard_vat_rate
-    cents = units("price", 2)
-    tax_c = F.when(_reduced_vat(reduced_vat), half_up_div(cents * rn, F.lit(rd))).otherwise(
-        half_up_div(cents * sn, F.lit(sd))
+    cents = units_sql("price", 2)
+    tax_c = F.when(_reduced_vat(reduced_vat), half_up_div(f"{cents} * {rn}", str(rd))).otherwise(
+        half_up_div(f"{cents} * {sn}", str(sd))
     )
-    sales = _paid_lines(t).groupBy("date").agg(
-        F.sum("price").alias("revenue"), with_scale(F.sum(tax_c), 2).alias("tax")
+    sales = (
+        _paid_lines(t)
+        .select("date", "price", tax_c.alias("tax_c"))
+        .groupBy("date")
+        .agg(F.sum("price").alias("revenue"), F.sum("tax_c").alias("tax_c"))
+        .select("date", "revenue", with_scale("tax_c", 2).alias("tax"))
     )
 
     deliveries = (
@@ -330,18 +336,18 @@ def gross_profit(
     daily = costs.join(sales, "date").withColumn(
         "gross_profit", F.col("revenue") - F.col("costs") - F.col("tax")
     )
-    total_gp = running_sum("gross_profit")
-    total_rev = running_sum("revenue")
     return daily.select(
         "date",
         "revenue",
         "costs",
         "tax",
         "gross_profit",
-        total_rev.alias("total_revenue"),
+        running_sum("revenue").alias("total_revenue"),
         running_sum("costs").alias("total_costs"),
         running_sum("tax").alias("total_tax"),
-        total_gp.alias("total_gross_profit"),
-        money_pct(F.col("gross_profit"), F.col("revenue")).alias("gross_profit_ratio"),
-        money_pct(total_gp, total_rev).alias("total_gross_profit_ratio"),
+        running_sum("gross_profit").alias("total_gross_profit"),
+    ).select(
+        "*",
+        money_pct("gross_profit", "revenue").alias("gross_profit_ratio"),
+        money_pct("total_gross_profit", "total_revenue").alias("total_gross_profit_ratio"),
     )

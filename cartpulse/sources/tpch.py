@@ -68,7 +68,7 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> DeliveryTables:
         .groupBy(F.col("l_orderkey").alias("k"))
         .agg(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))),
+                F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))),
                 lambda x: x["l_partkey"],
             ).alias("product_ids"),
             F.min("l_suppkey").alias("courier_id"),
