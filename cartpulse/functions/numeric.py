@@ -31,13 +31,15 @@ def units_sql(c: str, scale: int = 0) -> str:
     return f"CAST(({c}) AS {_INT})"
 
 
-def half_up_div_sql(num: str, den: str) -> str:
+def half_up_div_sql(num: str, den: str, int_type: str = _INT) -> str:
     """SQL text: integer quotient ``num / den`` rounded half away from zero.
 
     Both operands must be integral.  A zero denominator raises under ANSI
-    mode, as NUMERIC division does.  The result is BIGINT.
+    mode, as NUMERIC division does.  The result is BIGINT.  ``int_type``
+    BIGINT (primitive arithmetic) is for operands known to stay far below
+    2**62; the default DECIMAL(38,0) is for sums of any size.
     """
-    n, d = f"CAST(({num}) AS {_INT})", f"CAST(({den}) AS {_INT})"
+    n, d = f"CAST(({num}) AS {int_type})", f"CAST(({den}) AS {int_type})"
     q = f"((abs({n}) * 2 + abs({d})) div (abs({d}) * 2))"
     return f"(CASE WHEN ({n} < 0) <> ({d} < 0) THEN -{q} ELSE {q} END)"
 
@@ -55,9 +57,9 @@ def round_div_sql(num: str, den: str, places: int, factor: int = 1) -> str:
     return with_scale_sql(half_up_div_sql(scaled, den), places)
 
 
-def half_up_div(num: str, den: str) -> Column:
+def half_up_div(num: str, den: str, int_type: str = _INT) -> Column:
     """Integer ``num / den`` rounded half away from zero (BIGINT)."""
-    return F.expr(half_up_div_sql(num, den))
+    return F.expr(half_up_div_sql(num, den, int_type))
 
 
 def with_scale(q: str, places: int) -> Column:

@@ -27,7 +27,7 @@ from cartpulse.functions.numeric import (
     with_scale,
 )
 from cartpulse.operators.campaign import campaign_dim, campaign_label, members_side, with_campaign
-from cartpulse.operators.orders import not_cancelled, order_lines, order_totals, priced_lines
+from cartpulse.operators.orders import not_cancelled, order_lines, priced_lines
 from cartpulse.sources.tables import DeliveryTables
 
 # Precision of the per-user mean check: 1e-10 of a cent.
@@ -35,14 +35,29 @@ MEAN_EXTRA_PLACES = 10
 
 
 def _member_paid_actions(t: DeliveryTables, members: DataFrame) -> DataFrame:
-    """Member user actions on non-cancelled orders, with ads_campaign."""
-    return not_cancelled(with_campaign(t.user_actions, members_side(members)), t.user_actions)
+    """Member user actions on non-cancelled orders, with ads_campaign.
+
+    ``members`` is a prepared side (:func:`members_side`).
+    """
+    return not_cancelled(with_campaign(t.user_actions, members), t.user_actions)
+
+
+def _member_lines(t: DeliveryTables, actions: DataFrame, *keep: str, how: str = "inner") -> DataFrame:
+    """Priced order lines of the orders behind member ``actions``.
+
+    Orders are joined to the action rows *before* the product arrays are
+    exploded: only member orders are exploded and priced, and every line is
+    repeated once per action row of its order, as a join of lines to the
+    user log does.  ``keep`` names action columns to carry along.
+    """
+    orders = t.orders.join(actions.select("order_id", *keep), "order_id")
+    return priced_lines(order_lines(orders, *keep), t.products_side(), how)
 
 
 def paying_members(t: DeliveryTables, members: DataFrame) -> DataFrame:
     """ads_campaign, payers: distinct members acting on a non-cancelled order."""
     return (
-        _member_paid_actions(t, members)
+        _member_paid_actions(t, members_side(members))
         .groupBy("ads_campaign")
         .agg(F.countDistinct("user_id").alias("payers"))
     )
@@ -67,27 +82,15 @@ def campaign_cac(t: DeliveryTables, members: DataFrame, campaigns: P.Campaigns =
 # -- M16 -------------------------------------------------------------------
 
 
-def _member_order_revenue(t: DeliveryTables, member_actions: DataFrame) -> DataFrame:
-    """Order totals of the orders behind ``member_actions``, one row per action.
-
-    Orders are semi-joined to the member order ids before their product
-    arrays are exploded, so only member orders are priced.
-    """
-    orders = t.orders.join(member_actions.select("order_id").distinct(), "order_id", "left_semi")
-    totals = order_totals(priced_lines(order_lines(orders), t.products_side()))
-    return member_actions.join(totals, "order_id")
-
-
 def campaign_roi(t: DeliveryTables, members: DataFrame, campaigns: P.Campaigns = P.Campaigns()) -> DataFrame:
     """Return on ad spend in percent: (members' revenue - spend) / spend.
 
     Columns: ads_campaign (label with a space), roi (2 places).  Every
     campaign of ``campaigns`` has a row; null when its members bought nothing.
     """
+    actions = _member_paid_actions(t, members_side(members))
     revenue = (
-        _member_order_revenue(t, _member_paid_actions(t, members))
-        .groupBy("ads_campaign")
-        .agg(F.sum("order_revenue").alias("revenue"))
+        _member_lines(t, actions, "ads_campaign").groupBy("ads_campaign").agg(F.sum("price").alias("revenue"))
     )
     dim = campaign_dim(t.spark, campaigns.spend)
     return dim.join(revenue, "ads_campaign", "left").select(
@@ -112,13 +115,13 @@ def campaign_avg_check(
     places).  The per-user mean is kept to 1e-10 cent, the final mean
     rounded half up.  Sorted by avg_check, descending.
     """
-    actions = _member_paid_actions(t, members).filter(
+    actions = _member_paid_actions(t, members_side(members)).filter(
         day("time").between(F.lit(start), F.lit(end))
     )
     checks = (
-        _member_order_revenue(t, actions)
+        _member_lines(t, actions, "ads_campaign", "user_id")
         .groupBy("ads_campaign", "user_id", "order_id")
-        .agg(F.sum("order_revenue").alias("order_check"))
+        .agg(F.sum("price").alias("order_check"))
     )
     per_user = checks.groupBy("ads_campaign", "user_id").agg(
         F.sum("order_check").alias("checks"), F.count("order_check").alias("orders")
@@ -184,7 +187,9 @@ def campaign_retention(
     retention.  Sorted by campaign and day number.
     """
     user_days = (
-        _member_paid_actions(t, members).select("ads_campaign", "user_id", day("time").alias("date")).distinct()
+        _member_paid_actions(t, members_side(members))
+        .select("ads_campaign", "user_id", day("time").alias("date"))
+        .distinct()
     )
     r = _cohort_retention(user_days, "ads_campaign")
     return (
@@ -224,22 +229,11 @@ def campaign_payback(
     """
     m = members_side(members)
     first_campaign = m.groupBy("user_id").agg(F.min("ads_campaign").alias("ads_campaign"))
-    # One row per (campaign, user, order): k = that user's actions on the order.
-    actions = (
-        not_cancelled(with_campaign(t.user_actions, first_campaign), t.user_actions)
-        .groupBy("ads_campaign", "user_id", "order_id")
-        .agg(F.count(F.lit(1)).alias("k"))
-    )
-    member_orders = t.orders.join(actions.select("order_id").distinct(), "order_id", "left_semi")
-    order_rev = (
-        priced_lines(order_lines(member_orders), t.products_side(), "left")
-        .groupBy("order_id", "date")
-        .agg(F.sum("price").alias("order_revenue"))
-    )
+    actions = not_cancelled(with_campaign(t.user_actions, first_campaign), t.user_actions)
     per_user_day = (
-        actions.join(order_rev, "order_id")
+        _member_lines(t, actions, "ads_campaign", "user_id", how="left")
         .groupBy("ads_campaign", "user_id", "date")
-        .agg(F.sum(F.col("order_revenue") * F.col("k")).alias("revenue"))
+        .agg(F.sum("price").alias("revenue"))
     )
     start = F.min("date").over(Window.partitionBy("user_id"))
     per_day = (
@@ -250,7 +244,9 @@ def campaign_payback(
     cumulative = F.sum("revenue").over(Window.partitionBy("ads_campaign").orderBy("day"))
 
     if payers is None:
-        payer_df = paying_members(t, members)
+        payer_df = _member_paid_actions(t, m).groupBy("ads_campaign").agg(
+            F.countDistinct("user_id").alias("payers")
+        )
     else:
         payer_df = t.spark.createDataFrame(
             [(int(k), int(v)) for k, v in sorted(payers.items())], "ads_campaign int, payers bigint"

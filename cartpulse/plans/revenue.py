@@ -301,14 +301,17 @@ def gross_profit(
     total_costs, total_tax, total_gross_profit, gross_profit_ratio,
     total_gross_profit_ratio (percent, 2 places).
     """
+    # VAT of one unit depends on the product only: round it to cents once per
+    # product on the (broadcast) dimension side, then sum it over the lines.
     (rn, rd), (sn, sd) = cost.reduced_vat_rate, cost.standard_vat_rate
-    cents = units_sql("price", 2)
-    tax_c = F.when(_reduced_vat(reduced_vat), half_up_div(f"{cents} * {rn}", str(rd))).otherwise(
-        half_up_div(f"{cents} * {sn}", str(sd))
-    )
+    cents = "CAST(price * 100 AS BIGINT)"
+    unit_tax_c = F.when(
+        _reduced_vat(reduced_vat), half_up_div(f"{cents} * {rn}", str(rd), "BIGINT")
+    ).otherwise(half_up_div(f"{cents} * {sn}", str(sd), "BIGINT"))
+    taxed = t.products_side(t.products.select("product_id", "price", unit_tax_c.alias("tax_c")))
+    orders = not_cancelled(t.orders, t.user_actions)
     sales = (
-        _paid_lines(t)
-        .select("date", "price", tax_c.alias("tax_c"))
+        priced_lines(order_lines(orders), taxed)
         .groupBy("date")
         .agg(F.sum("price").alias("revenue"), F.sum("tax_c").alias("tax_c"))
         .select("date", "revenue", with_scale("tax_c", 2).alias("tax"))

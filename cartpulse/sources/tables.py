@@ -6,6 +6,7 @@ import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cartpulse import schema as S
 from cartpulse.operators.joins import DEFAULT_BROADCAST_MAX_ROWS, bounded_broadcast
@@ -26,7 +27,7 @@ class DeliveryTables:
     orders: DataFrame
     products: DataFrame
     products_broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS
-    _products_side: DataFrame | None = field(default=None, repr=False, compare=False)
+    _products_small: bool | None = field(default=None, repr=False, compare=False)
 
     @property
     def spark(self) -> SparkSession:
@@ -42,11 +43,18 @@ class DeliveryTables:
             self.products_broadcast_max_rows,
         )
 
-    def products_side(self) -> DataFrame:
-        """``products`` prepared for joining to order lines (size-checked broadcast)."""
-        if self._products_side is None:
-            self._products_side = bounded_broadcast(self.products, self.products_broadcast_max_rows)
-        return self._products_side
+    def products_side(self, products: DataFrame | None = None) -> DataFrame:
+        """``products`` (or a per-product projection of it) prepared for joining
+        to order lines: broadcast when the size check on ``products`` passes.
+
+        The check runs once per instance; beyond the bound the join is left to
+        the planner (sort-merge, or AQE's runtime choice).
+        """
+        if self._products_small is None:
+            side = bounded_broadcast(self.products, self.products_broadcast_max_rows)
+            self._products_small = side is not self.products
+        df = self.products if products is None else products
+        return F.broadcast(df) if self._products_small else df
 
     # -- parquet I/O ------------------------------------------------------
 
@@ -56,11 +64,16 @@ class DeliveryTables:
         frames = {name: spark.read.parquet(os.path.join(root, f"{name}.parquet")) for name in TABLE_NAMES}
         return cls(**frames, **kwargs).conformed()
 
-    def write_parquet(self, root: str, mode: str = "errorifexists") -> None:
+    def write_parquet(self, root: str, mode: str = "errorifexists", partitions: int | None = None) -> None:
         """Write the four tables as ``<root>/<table>.parquet`` folders.
 
         Used to cut a long derivation lineage: the folder should live in the
         shared checkpoint location so lost executors recompute nothing.
+        ``partitions`` hash-partitions the three order-keyed tables by
+        ``order_id`` into that many files first (parallel scans later).
         """
         for name in TABLE_NAMES:
-            getattr(self, name).write.mode(mode).parquet(os.path.join(root, f"{name}.parquet"))
+            df = getattr(self, name)
+            if partitions and name != "products":
+                df = df.repartition(partitions, "order_id")
+            df.write.mode(mode).parquet(os.path.join(root, f"{name}.parquet"))
