@@ -1 +1,10 @@
 """Incremental (Structured Streaming) execution of the log-only metrics."""
+
+from cartpulse.streaming.first_seen import (
+    audience_growth_from_first_seen,
+    merge_batch,
+    read_first_seen,
+    start_first_seen,
+)
+
+__all__ = ["audience_growth_from_first_seen", "merge_batch", "read_first_seen", "start_first_seen"]

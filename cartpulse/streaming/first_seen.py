@@ -1,0 +1,87 @@
+"""Incremental first-seen dates from an append-only action log.
+
+Audience growth (new and cumulative users / couriers per day) depends only on
+each id's first action date, which a stream can maintain without retractions:
+a later action never changes an earlier first date.  ``start_first_seen``
+runs a Structured Streaming query over the action log's folder; every
+micro-batch reduces its rows to (id, min date), keeps the ids whose date is
+earlier than the one already stored (or new ids), and appends those rows to
+a parquet table.  ``read_first_seen`` takes ``min(date)`` per id over that
+table, so late or out-of-order data and a replayed batch (after a failure,
+``foreachBatch`` may run a batch twice) cannot give a wrong result.
+
+The metrics that depend on cancellations (the "not cancelled" filter looks
+at later events) are not streamed: they would need retractions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from cartpulse.functions.dates import day
+from cartpulse.operators.audience import new_per_day, running_sum
+
+
+def _stored(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path).groupBy(key).agg(F.min("start_date").alias("known"))
+    except Exception as exc:  # nothing written yet
+        if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
+            return None
+        raise
+
+
+def merge_batch(batch: DataFrame, key: str, path: str) -> None:
+    """Append the (id, first date) rows of ``batch`` that improve the table."""
+    spark = batch.sparkSession
+    firsts = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(day("time")).alias("start_date"))
+    known = _stored(spark, path, key)
+    if known is not None:
+        firsts = (
+            firsts.join(known, key, "left")
+            .filter(F.col("known").isNull() | (F.col("start_date") < F.col("known")))
+            .select(key, "start_date")
+        )
+    firsts.write.mode("append").parquet(path)
+
+
+def start_first_seen(
+    spark: SparkSession,
+    log_path: str,
+    schema: T.StructType,
+    key: str,
+    table_path: str,
+    checkpoint_path: str,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Start the stream from the parquet action log at ``log_path``.
+
+    ``checkpoint_path`` must be on shared storage (the session's checkpoint
+    folder); ``available_now`` processes what is there and stops, otherwise
+    the query keeps running on new files.
+    """
+    stream = spark.readStream.schema(schema).parquet(log_path).select(key, "time")
+    writer = (
+        stream.writeStream.foreachBatch(lambda df, _batch_id: merge_batch(df, key, table_path))
+        .option("checkpointLocation", checkpoint_path)
+    )
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
+
+
+def read_first_seen(spark: SparkSession, table_path: str, key: str) -> DataFrame:
+    """``key``, ``start_date``: first action date per id."""
+    return spark.read.parquet(table_path).groupBy(key).agg(F.min("start_date").alias("start_date"))
+
+
+def audience_growth_from_first_seen(users: DataFrame, couriers: DataFrame) -> DataFrame:
+    """Audience growth (same columns and rules as ``plans.audience.audience_growth``)
+    from first-seen tables of users and couriers."""
+    u = new_per_day(users, "user_id", "new_users")
+    u = u.withColumn("total_users", running_sum("new_users").cast("int"))
+    c = new_per_day(couriers, "courier_id", "new_couriers")
+    c = c.withColumn("total_couriers", running_sum("new_couriers").cast("int"))
+    return u.join(c, "date", "full").select("date", "new_users", "new_couriers", "total_users", "total_couriers")
