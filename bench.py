@@ -24,8 +24,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from cartpulse.plans.registry import METRICS, to_boundary  # noqa: E402
 from cartpulse.session import build_session, scratch_dir  # noqa: E402
-from cartpulse.sources.tables import DeliveryTables  # noqa: E402
-from cartpulse.sources.tpch import derive_tables  # noqa: E402
+from cartpulse.sources.tpch import materialize_tables  # noqa: E402
 
 
 def main() -> None:
@@ -45,9 +44,8 @@ def main() -> None:
     timings: dict[str, float] = {}
     out = scratch_dir(spark, "bench-tables")
     t0 = time.perf_counter()
-    derive_tables(spark, sf_dir).write_parquet(out, partitions=spark.sparkContext.defaultParallelism)
+    tables = materialize_tables(spark, sf_dir, out, partitions=spark.sparkContext.defaultParallelism)
     timings["derive"] = time.perf_counter() - t0
-    tables = DeliveryTables.from_parquet(spark, out)
 
     rows: dict[str, int] = {}
     for name, metric in METRICS.items():

@@ -56,13 +56,12 @@ def _ts(seconds: Column) -> Column:
     return F.timestamp_add("SECOND", seconds, F.lit(EPOCH).cast("timestamp_ntz"))
 
 
-def derive_tables(spark: SparkSession, sf_dir: str) -> DeliveryTables:
-    """The four delivery tables derived from ``sf_dir``'s parquet files."""
+def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order: k, u, s, product_ids (null without lines), courier_id."""
     k, u = F.col("k"), F.col("u")
     base = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("u"))
     d0 = u % 14
     base = base.withColumn("s", (d0 + (k * 31) % (16 - d0)) * 86400 + (k * 7919) % 86400)
-
     lines = (
         _read(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("k"))
@@ -74,8 +73,12 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> DeliveryTables:
             F.min("l_suppkey").alias("courier_id"),
         )
     )
+    return base.join(lines, "k", "left")
+
 
-    s = F.col("s")
+def tables_from_facts(facts: DataFrame, part: DataFrame) -> DeliveryTables:
+    """The four delivery tables from :func:`order_facts` and the part table."""
+    k, u, s = F.col("k"), F.col("u"), F.col("s")
     user_rows = F.array(
         F.struct(u.alias("user_id"), k.alias("order_id"), F.lit(S.CREATE_ORDER).alias("action"), _ts(s).alias("time")),
         F.when(
@@ -88,10 +91,9 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> DeliveryTables:
             ),
         ),
     )
-    user_actions = base.select(F.inline(F.filter(user_rows, lambda r: r.isNotNull())))
+    user_actions = facts.select(F.inline(F.filter(user_rows, lambda r: r.isNotNull())))
 
-    with_lines = base.join(lines, "k", "left")
-    orders = with_lines.select(
+    orders = facts.select(
         k.alias("order_id"), _ts(s).alias("creation_time"), F.col("product_ids").cast("array<bigint>")
     )
 
@@ -110,13 +112,11 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> DeliveryTables:
             ),
         ),
     )
-    courier_actions = (
-        base.filter(k % 19 != 0)
-        .join(lines.select("k", "courier_id"), "k", "inner")
-        .select(F.inline(F.filter(courier_rows, lambda r: r.isNotNull())))
+    courier_actions = facts.filter((k % 19 != 0) & F.col("product_ids").isNotNull()).select(
+        F.inline(F.filter(courier_rows, lambda r: r.isNotNull()))
     )
 
-    products = _read(spark, sf_dir, "part").select(
+    products = part.select(
         F.col("p_partkey").alias("product_id"),
         F.col("p_name").alias("name"),
         F.col("p_retailprice").cast(S.PRICE_TYPE).alias("price"),
@@ -124,6 +124,30 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> DeliveryTables:
     return DeliveryTables(user_actions, courier_actions, orders, products).conformed()
 
 
+def derive_tables(spark: SparkSession, sf_dir: str) -> DeliveryTables:
+    """The four delivery tables derived lazily from ``sf_dir``'s parquet files."""
+    return tables_from_facts(order_facts(spark, sf_dir), _read(spark, sf_dir, "part"))
+
+
+def materialize_tables(spark: SparkSession, sf_dir: str, out: str, partitions: int | None = None) -> DeliveryTables:
+    """Derive the tables and write them as parquet under ``out``; return readers.
+
+    The per-order facts (the only shuffle: lineitem grouped by order) are
+    written once, and the three order-keyed tables are derived from that
+    written table, so the aggregation is not recomputed per table and the
+    lineage is cut at a file.  ``out`` should be in the shared checkpoint
+    folder (``session.scratch_dir``).
+    """
+    facts = order_facts(spark, sf_dir)
+    if partitions:
+        facts = facts.repartition(partitions, "k")
+    facts_path = os.path.join(out, "_order_facts.parquet")
+    facts.write.parquet(facts_path)
+    tables = tables_from_facts(spark.read.parquet(facts_path), _read(spark, sf_dir, "part"))
+    tables.write_parquet(out)
+    return DeliveryTables.from_parquet(spark, out)
+
+
 def campaign_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Campaign membership by rule on customer keys: (ads_campaign, user_id)."""
     cust = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
