@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import sys
+import tempfile
 from decimal import Decimal
 
 import pytest
@@ -18,7 +19,13 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session(master="local[*]", shuffle_partitions=8, app_name="cartpulse-tests")
+    warehouse = tempfile.mkdtemp(prefix="cartpulse-warehouse-")
+    s = build_session(
+        master="local[*]",
+        shuffle_partitions=8,
+        app_name="cartpulse-tests",
+        extra_conf={"spark.sql.warehouse.dir": warehouse},
+    )
     yield s
     s.stop()
 

@@ -68,3 +68,26 @@ def test_window_without_partition_only_on_day_rows(spark, tables):
     window_at = text.find("Window [")
     agg_at = text.find("HashAggregate", window_at)
     assert window_at >= 0 and agg_at > window_at
+
+
+def test_bucketed_tables_join_on_order_id_without_shuffle(spark, tables):
+    db = "cartpulse_bucket_test"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
+    tables.write_bucketed(db, buckets=4, mode="overwrite")
+    bucketed = DeliveryTables.from_catalog(spark, db)
+    from cartpulse.operators.orders import not_cancelled
+
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = not_cancelled(bucketed.orders, bucketed.user_actions)
+        df.collect()
+        text = plan_text(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+    assert "SortMergeJoin" in text and "LeftAnti" in text
+    assert "Exchange" not in text
+    # and the same metric result as the plain tables
+    assert sorted(METRICS["daily_revenue"](spark, SF_SMALL, bucketed).collect()) == sorted(
+        METRICS["daily_revenue"](spark, SF_SMALL, tables).collect()
+    )
