@@ -171,14 +171,48 @@ def test_gross_profit_courier_bonus_threshold(spark):
     from cartpulse import schema as S
     from conftest import edge_tables, ts
 
-    # Courier 9 delivers 5 orders on 31 Aug (bonus 400) and 4 on 1 Sep (none).
-    extra = [(9, 1000 + i, S.DELIVER_ORDER, ts("2022-08-31 12:00")) for i in range(5)]
-    extra += [(9, 2000 + i, S.DELIVER_ORDER, ts("2022-09-01 12:00")) for i in range(4)]
+    # Courier 9: 5 deliveries on 30 Aug (bonus 400); courier 8: 5 on 1 Sep
+    # (bonus 500); courier 7: 4 on 1 Sep (no bonus).
+    extra = [(9, 1000 + i, S.DELIVER_ORDER, ts("2022-08-30 12:00")) for i in range(5)]
+    extra += [(8, 2000 + i, S.DELIVER_ORDER, ts("2022-09-01 12:00")) for i in range(5)]
+    extra += [(7, 3000 + i, S.DELIVER_ORDER, ts("2022-09-01 13:00")) for i in range(4)]
     t = edge_tables(spark, extra_courier_actions=extra)
     got = dict(rows(R.gross_profit(t), "date", "costs"))
-    # 1 Sep: assembly 2*115 + fixed 150000 + c2 150 + courier 9: 4*150.
-    assert got[d("2022-09-01")] == D("150380") + D("600")
-    assert got[d("2022-08-30")] == D("120430")
+    assert got[d("2022-08-30")] == D("120430") + 5 * 150 + 400
+    assert got[d("2022-09-01")] == D("150380") + 5 * 150 + 500 + 4 * 150
+
+
+def test_gross_profit_outside_tariff_months(spark):
+    from cartpulse import schema as S
+    from conftest import EDGE_ORDERS, edge_tables, ts
+
+    orders = EDGE_ORDERS + [(301, ts("2022-10-03 10:00"), [2], 1)]
+    extra = [(1, 301, S.DELIVER_ORDER, ts("2022-10-03 10:30"))]
+    t = edge_tables(spark, orders=orders, extra_courier_actions=extra)
+    got = {r["date"]: r for r in R.gross_profit(t).collect()}
+    october = got[d("2022-10-03")]
+    assert october["revenue"] == D("120") and october["costs"] is None and october["gross_profit"] is None
+    # running sums skip the null costs but keep the revenue
+    assert october["total_revenue"] == D("810") and october["total_costs"] == D("270810")
+    assert october["total_gross_profit"] == D("-270210")
+
+
+def test_null_order_ids_in_both_logs(spark):
+    from cartpulse import schema as S
+    from conftest import edge_tables, ts
+
+    t = edge_tables(
+        spark,
+        extra_user_actions=[(5, None, S.CREATE_ORDER, ts("2022-08-30 11:00"))],
+        extra_courier_actions=[(1, None, S.DELIVER_ORDER, ts("2022-08-30 11:30"))],
+    )
+    growth = {r["date"]: r["new_users"] for r in A.audience_growth(t).collect()}
+    assert growth[d("2022-08-30")] == 3  # user 5 is new, whatever its order
+    active = {r["date"]: r["paying_users"] for r in A.active_audience(t).collect()}
+    assert active[d("2022-08-30")] == 2  # a null order never counts as paid
+    costs = dict(rows(R.gross_profit(t), "date", "costs"))
+    assert costs[d("2022-08-30")] == D("120430")  # a delivery without order is not paid
+    assert dict(rows(A.delivery_time(t), "date", "minutes_to_deliver"))[d("2022-08-30")] == 20
 
 
 def test_campaign_cac(edge, edge_members):
