@@ -250,7 +250,7 @@ def product_revenue_share(
     per_name = _paid_lines(t).groupBy(F.col("name").alias("product_name")).agg(F.sum("price").alias("revenue"))
     total = per_name.agg(F.sum("revenue").alias("total"))
     rev_c, tot_c = units_sql("revenue", 2), units_sql("total", 2)
-    small = F.expr(f"{rev_c} * 100 < {tot_c} * {Decimal(threshold)}")
+    small = F.expr(f"{rev_c} * 100 < {tot_c} * {Decimal(str(threshold))}")
     share = half_up_div_sql(f"{rev_c} * {100 * 10**SHARE_PLACES}", tot_c)
     labelled = per_name.crossJoin(F.broadcast(total)).select(
         F.when(small, F.lit(other_label)).otherwise(F.col("product_name")).alias("product_name"),
