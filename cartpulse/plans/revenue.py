@@ -28,7 +28,6 @@ from cartpulse.operators.audience import day_order, first_seen, running_sum
 from cartpulse.operators.orders import (
     not_cancelled,
     order_lines,
-    order_totals,
     paid_flag,
     priced_lines,
     with_cancel_flag,
@@ -200,11 +199,13 @@ def new_user_revenue(t: DeliveryTables) -> DataFrame:
     per action date and user, kept where that date is the user's first action
     date.  Dates without new-user revenue are dropped.  Sorted by date.
     """
-    paid_orders = not_cancelled(t.orders, t.user_actions)
-    totals = order_totals(priced_lines(order_lines(paid_orders), t.products_side()))
+    # One pass over the order lines: totals per order keep the creation date,
+    # and the daily revenue is summed from them.
+    totals = _paid_lines(t).groupBy("order_id", "date").agg(F.sum("price").alias("order_revenue"))
+    rev = totals.groupBy("date").agg(F.sum("order_revenue").alias("revenue"))
     per_user_day = (
         t.user_actions.select(day("time").alias("date"), "user_id", "order_id")
-        .join(totals, "order_id")
+        .join(totals.select("order_id", "order_revenue"), "order_id")
         .groupBy("date", "user_id")
         .agg(F.sum("order_revenue").alias("revenue"))
     )
@@ -214,7 +215,6 @@ def new_user_revenue(t: DeliveryTables) -> DataFrame:
         .groupBy("date")
         .agg(F.sum("revenue").alias("new_users_revenue"))
     )
-    rev = _paid_lines(t).groupBy("date").agg(F.sum("price").alias("revenue"))
     share = money_pct("new_users_revenue", "revenue")
     return (
         rev.join(new_rev, "date")
