@@ -37,3 +37,18 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["date", "revenue", "total_revenue", "revenue_change"]
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["hourly_cancel_rate", "weekday_arpu", "delivery_time", "retention"])
+def test_results_do_not_depend_on_session_zone_or_ansi(spark, con, name):
+    prev = {k: spark.conf.get(k) for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled")}
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        df = entry.queries()[name](spark, SF_SMALL)
+        s_rows = [tuple(r) for r in df.collect()]
+    finally:
+        for k, v in prev.items():
+            spark.conf.set(k, v)
+    res = con.execute(entry.oracle_sql()[name])
+    assert canon(df.columns, s_rows) == canon([c[0] for c in res.description], res.fetchall())
