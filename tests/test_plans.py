@@ -91,3 +91,19 @@ def test_bucketed_tables_join_on_order_id_without_shuffle(spark, tables):
     assert sorted(METRICS["daily_revenue"](spark, SF_SMALL, bucketed).collect()) == sorted(
         METRICS["daily_revenue"](spark, SF_SMALL, tables).collect()
     )
+
+
+def formatted(df) -> str:
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def test_report_windows_reach_the_scan(spark, tables):
+    from cartpulse.plans import marketing as M
+    from cartpulse.plans import revenue as R
+    from cartpulse.sources.tpch import campaign_members
+
+    weekday = formatted(R.weekday_arpu(tables))
+    assert "GreaterThanOrEqual(creation_time,2022-08-26T00:00)" in weekday
+    assert "LessThanOrEqual(time,2023-09-08T23:59:59.999)" in weekday
+    week = formatted(M.campaign_avg_check(tables, campaign_members(spark, SF_SMALL)))
+    assert "GreaterThanOrEqual(time,2022-09-01T00:00), LessThan(time,2022-09-08T00:00)" in week
