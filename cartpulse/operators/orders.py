@@ -80,6 +80,10 @@ def priced_lines(lines: DataFrame, products: DataFrame, how: str = "inner") -> D
     return lines.join(products, "product_id", how)
 
 
-def order_totals(priced: DataFrame) -> DataFrame:
-    """Sum of unit prices per order (S6): order_id, order_revenue."""
-    return priced.groupBy("order_id").agg(F.sum("price").alias("order_revenue"))
+def order_totals(priced: DataFrame, *keys: str) -> DataFrame:
+    """Sum of unit prices per order (S6): order_id, ``keys``, order_revenue.
+
+    ``keys`` are columns constant within an order (e.g. its date), kept so a
+    later per-day sum can start from the order totals.
+    """
+    return priced.groupBy("order_id", *keys).agg(F.sum("price").alias("order_revenue"))

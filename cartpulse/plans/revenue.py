@@ -28,6 +28,7 @@ from cartpulse.operators.audience import day_order, first_seen, running_sum
 from cartpulse.operators.orders import (
     not_cancelled,
     order_lines,
+    order_totals,
     paid_flag,
     priced_lines,
     with_cancel_flag,
@@ -201,7 +202,7 @@ def new_user_revenue(t: DeliveryTables) -> DataFrame:
     """
     # One pass over the order lines: totals per order keep the creation date,
     # and the daily revenue is summed from them.
-    totals = _paid_lines(t).groupBy("order_id", "date").agg(F.sum("price").alias("order_revenue"))
+    totals = order_totals(_paid_lines(t), "date")
     rev = totals.groupBy("date").agg(F.sum("order_revenue").alias("revenue"))
     per_user_day = (
         t.user_actions.select(day("time").alias("date"), "user_id", "order_id")
