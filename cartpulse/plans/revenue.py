@@ -23,7 +23,14 @@ from pyspark.sql import functions as F
 from cartpulse import params as P
 from cartpulse import schema as S
 from cartpulse.functions.dates import day, iso_weekday, weekday_name
-from cartpulse.functions.numeric import half_up_div, half_up_div_sql, money_pct, money_ratio, units_sql, with_scale
+from cartpulse.functions.numeric import (
+    half_up_div,
+    half_up_div_sql,
+    money_pct,
+    money_ratio,
+    units_sql,
+    with_scale,
+)
 from cartpulse.operators.audience import day_order, first_seen, running_sum
 from cartpulse.operators.orders import (
     not_cancelled,
@@ -323,19 +330,22 @@ def gross_profit(
         .groupBy(day("time").alias("date"), "courier_id")
         .agg(F.count("order_id").alias("n"))
     )
-    bonus = F.when(
-        F.col("n") >= cost.bonus_min_deliveries, F.coalesce(_by_month(F.col("date"), cost.tariffs, "courier_bonus"), F.lit(0))
-    ).otherwise(F.lit(0))
+    date = F.col("date")
+    bonus = F.coalesce(_by_month(date, cost.tariffs, "courier_bonus"), F.lit(0))
+    bonus = F.when(F.col("n") >= cost.bonus_min_deliveries, bonus).otherwise(F.lit(0))
     courier_pay = deliveries.groupBy("date").agg(
         F.sum(F.col("n") * cost.pay_per_delivery + bonus).alias("courier_pay")
     )
+    # Assembly is paid per non-cancelled user action at the month's rate (null
+    # outside the tariff months), fixed costs per day.
     paid_ua = not_cancelled(t.user_actions, t.user_actions).select(day("time").alias("date"))
-    assembly = paid_ua.groupBy("date").agg(
-        F.sum(_by_month(F.col("date"), cost.tariffs, "assembly_per_action")).alias("assembly")
-    ).withColumn("fixed", _by_month(F.col("date"), cost.tariffs, "fixed_per_day"))
-    costs = assembly.join(courier_pay, "date", "full").select(
-        "date", (F.col("assembly") + F.col("fixed") + F.col("courier_pay")).cast("decimal(22,2)").alias("costs")
+    assembly = paid_ua.groupBy("date").agg(F.count(F.lit(1)).alias("actions")).select(
+        "date",
+        (F.col("actions") * _by_month(date, cost.tariffs, "assembly_per_action")).alias("assembly"),
+        _by_month(date, cost.tariffs, "fixed_per_day").alias("fixed"),
     )
+    total = F.col("assembly") + F.col("fixed") + F.col("courier_pay")
+    costs = assembly.join(courier_pay, "date", "full").select("date", total.cast("decimal(22,2)").alias("costs"))
 
     daily = costs.join(sales, "date").withColumn(
         "gross_profit", F.col("revenue") - F.col("costs") - F.col("tax")
