@@ -35,7 +35,9 @@ def half_up_div_sql(num: str, den: str, int_type: str = _INT) -> str:
     """SQL text: integer quotient ``num / den`` rounded half away from zero.
 
     Both operands must be integral.  A zero denominator raises under ANSI
-    mode, as NUMERIC division does.  The result is BIGINT.  ``int_type``
+    mode, as NUMERIC division does.  The result is BIGINT, so the rounded
+    quotient (not the operands) must stay below 9.2e18: true for every ratio
+    here (at most 1e14 for a 12-place percentage).  ``int_type``
     BIGINT (primitive arithmetic) is for operands known to stay far below
     2**62; the default DECIMAL(38,0) is for sums of any size.
     """
