@@ -33,7 +33,7 @@ def main() -> None:
     repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
     spark = build_session(
         master=f"local[{cpus}]",
-        shuffle_partitions=max(8, 2 * cpus),
+        shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(8, 2 * cpus)))),
         app_name="cartpulse-bench",
         extra_conf={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")},
     )

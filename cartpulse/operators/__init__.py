@@ -1,7 +1,7 @@
 """Relational building blocks shared by the metrics."""
 
 from cartpulse.operators.audience import day_order, first_seen, new_per_day, running_sum
-from cartpulse.operators.campaign import campaign_dim, campaign_label, members_side, with_campaign
+from cartpulse.operators.campaign import campaign_dim, campaign_label, members_from_ids, members_side, with_campaign
 from cartpulse.operators.joins import bounded_broadcast, flag_join
 from cartpulse.operators.orders import (
     cancelled_orders,
@@ -23,6 +23,7 @@ __all__ = [
     "delivered_orders",
     "first_seen",
     "flag_join",
+    "members_from_ids",
     "members_side",
     "new_per_day",
     "not_cancelled",

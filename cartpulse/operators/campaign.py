@@ -9,6 +9,13 @@ from cartpulse import schema as S
 from cartpulse.operators.joins import DEFAULT_BROADCAST_MAX_ROWS, bounded_broadcast
 
 
+def members_from_ids(spark, ids: dict[int, list[int]]) -> DataFrame:
+    """Membership DataFrame (ads_campaign, user_id) from per-campaign id lists,
+    for campaigns whose audience is given as a list of user ids."""
+    rows = [(int(c), int(u)) for c, users in sorted(ids.items()) for u in users]
+    return spark.createDataFrame(rows, S.CAMPAIGN_MEMBERS)
+
+
 def members_side(members: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
     """Membership (ads_campaign, user_id) typed and size-checked for broadcast."""
     m = S.conform(members, S.CAMPAIGN_MEMBERS, "campaign_members").filter(F.col("user_id").isNotNull())

@@ -73,3 +73,12 @@ def test_conform_validates_and_casts(spark):
     assert rows(conformed, "price")[0][0] == pytest.approx(12.5)
     with pytest.raises(S.SchemaError, match="missing columns"):
         S.conform(raw.drop("price"), S.PRODUCTS, "products")
+
+
+def test_members_from_ids_matches_fixture_members(spark, edge, edge_members):
+    from cartpulse.operators.campaign import members_from_ids
+    from cartpulse.plans import marketing as M
+
+    members = members_from_ids(spark, {1: [1, 4], 2: [3]})
+    assert sorted(members.collect()) == sorted(edge_members.collect())
+    assert sorted(M.campaign_roi(edge, members).collect()) == sorted(M.campaign_roi(edge, edge_members).collect())
