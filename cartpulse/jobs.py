@@ -64,8 +64,13 @@ def run_metric(
     members: DataFrame | None = None,
     campaigns: P.Campaigns | None = None,
     threshold: str | None = None,
+    reduced_vat=None,
 ) -> DataFrame:
-    """One metric with the job's parameters."""
+    """One metric with the job's parameters (None keeps a metric's default).
+
+    ``reduced_vat`` (names or a Column on ``name``) applies to the gross
+    profit and its break-even readout.
+    """
     fn, needs_members = METRIC_FUNCTIONS[name]
     args: list = [tables]
     kwargs: dict = {}
@@ -77,6 +82,8 @@ def run_metric(
             kwargs["campaigns"] = campaigns
     if name == "product_revenue_share" and threshold is not None:
         kwargs["threshold"] = threshold
+    if name in ("gross_profit", "break_even_dates") and reduced_vat is not None:
+        kwargs["reduced_vat"] = reduced_vat
     return fn(*args, **kwargs)
 
 

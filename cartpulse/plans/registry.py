@@ -14,10 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartpulse.plans import audience as A
-from cartpulse.plans import marketing as M
-from cartpulse.plans import readouts as D
-from cartpulse.plans import revenue as R
+from cartpulse.jobs import METRIC_FUNCTIONS, run_metric
 from cartpulse.sources.tables import DeliveryTables
 from cartpulse.sources.tpch import SHARE_THRESHOLD, campaign_members, derive_tables, reduced_vat_predicate
 
@@ -33,31 +30,24 @@ def to_boundary(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-# name -> function of the tables (and test parameters).
+def _with_test_parameters(name: str) -> Callable[[SparkSession, str, DeliveryTables], DataFrame]:
+    """The metric with the parameters used on the TPC-H-like test data."""
+
+    def run(spark: SparkSession, sf_dir: str, tables: DeliveryTables) -> DataFrame:
+        return run_metric(
+            name,
+            tables,
+            members=campaign_members(spark, sf_dir),
+            threshold=SHARE_THRESHOLD,
+            reduced_vat=reduced_vat_predicate(),
+        )
+
+    return run
+
+
+# name -> function of (spark, sf_dir, tables), in the order of the analysis.
 METRICS: dict[str, Callable[[SparkSession, str, DeliveryTables], DataFrame]] = {
-    "audience_growth": lambda spark, sf, t: A.audience_growth(t),
-    "audience_growth_rates": lambda spark, sf, t: A.audience_growth_rates(t),
-    "active_audience": lambda spark, sf, t: A.active_audience(t),
-    "order_frequency_shares": lambda spark, sf, t: A.order_frequency_shares(t),
-    "courier_load": lambda spark, sf, t: A.courier_load(t),
-    "delivery_time": lambda spark, sf, t: A.delivery_time(t),
-    "hourly_cancel_rate": lambda spark, sf, t: A.hourly_cancel_rate(t),
-    "daily_revenue": lambda spark, sf, t: R.daily_revenue(t),
-    "daily_arpu": lambda spark, sf, t: R.daily_arpu(t),
-    "running_arpu": lambda spark, sf, t: R.running_arpu(t),
-    "weekday_arpu": lambda spark, sf, t: R.weekday_arpu(t),
-    "new_user_revenue": lambda spark, sf, t: R.new_user_revenue(t),
-    "product_revenue_share": lambda spark, sf, t: R.product_revenue_share(t, threshold=SHARE_THRESHOLD),
-    "gross_profit": lambda spark, sf, t: R.gross_profit(t, reduced_vat=reduced_vat_predicate()),
-    "campaign_cac": lambda spark, sf, t: M.campaign_cac(t, campaign_members(spark, sf)),
-    "campaign_roi": lambda spark, sf, t: M.campaign_roi(t, campaign_members(spark, sf)),
-    "campaign_avg_check": lambda spark, sf, t: M.campaign_avg_check(t, campaign_members(spark, sf)),
-    "retention": lambda spark, sf, t: M.retention(t),
-    "campaign_retention": lambda spark, sf, t: M.campaign_retention(t, campaign_members(spark, sf)),
-    "campaign_payback": lambda spark, sf, t: M.campaign_payback(t, campaign_members(spark, sf)),
-    "campaign_payback_day": lambda spark, sf, t: D.campaign_payback_day(t, campaign_members(spark, sf)),
-    "break_even_dates": lambda spark, sf, t: D.break_even_dates(t, reduced_vat=reduced_vat_predicate()),
-    "peak_hours": lambda spark, sf, t: D.peak_hours(t),
+    name: _with_test_parameters(name) for name in METRIC_FUNCTIONS
 }
 
 
