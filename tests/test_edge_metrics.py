@@ -285,3 +285,30 @@ def test_money_types_stay_decimal(edge):
     schema = R.daily_revenue(edge).schema
     assert all(isinstance(schema[c].dataType, DecimalType) for c in ("revenue", "total_revenue", "revenue_change"))
     assert isinstance(Decimal, type)
+
+
+def test_weekday_arpu_custom_window(edge):
+    import datetime as dt
+
+    t = R.weekday_arpu(edge, start=dt.datetime(2022, 8, 31), end=dt.datetime(2022, 9, 1, 23, 59, 59))
+    # Wednesday has a (cancelled) action but no revenue, so only Thursday remains.
+    assert rows(t, "weekday", "arpu", "arppu", "aov") == [("Thursday ", D("76.67"), D("115.00"), D("115.00"))]
+
+
+def test_campaign_retention_custom_start_and_days(edge, edge_members):
+    got = rows(
+        M.campaign_retention(edge, edge_members, start_date=d("2022-08-30"), days=(0, 2)),
+        "ads_campaign", "start_date", "day_number", "retention",
+    )
+    assert got == [
+        ("Кампания № 1", d("2022-08-30"), 0, D("1.00")),
+        ("Кампания № 1", d("2022-08-30"), 2, D("1.00")),
+    ]
+
+
+def test_campaign_avg_check_custom_window(edge, edge_members):
+    got = rows(
+        M.campaign_avg_check(edge, edge_members, start=d("2022-08-30"), end=d("2022-08-30")),
+        "ads_campaign", "avg_check",
+    )
+    assert got == [("Кампания № 1", D("340.00"))]
