@@ -228,7 +228,9 @@ def campaign_payback(
     of on order rows partitioned by the two campaigns.
     """
     m = members_side(members)
-    first_campaign = m.groupBy("user_id").agg(F.min("ads_campaign").alias("ads_campaign"))
+    # One campaign per user (the lowest number); size-checked again so the
+    # join to the user log stays a broadcast.
+    first_campaign = members_side(members.groupBy("user_id").agg(F.min("ads_campaign").alias("ads_campaign")))
     actions = not_cancelled(with_campaign(t.user_actions, first_campaign), t.user_actions)
     per_user_day = (
         _member_lines(t, actions, "ads_campaign", "user_id", how="left")
@@ -255,7 +257,7 @@ def campaign_payback(
     dim = campaign_dim(t.spark, campaigns.spend).join(F.broadcast(payer_df), "ads_campaign")
     return (
         per_day.select("ads_campaign", "day", cumulative.alias("cumulative"))
-        .join(dim, "ads_campaign")
+        .join(F.broadcast(dim), "ads_campaign")
         .select(
             campaign_label("ads_campaign", P.CAMPAIGN_LABEL_SPACED).alias("ads_campaign"),
             "day",

@@ -107,3 +107,19 @@ def test_report_windows_reach_the_scan(spark, tables):
     assert "LessThanOrEqual(time,2023-09-08T23:59:59.999)" in weekday
     week = formatted(M.campaign_avg_check(tables, campaign_members(spark, SF_SMALL)))
     assert "GreaterThanOrEqual(time,2022-09-01T00:00), LessThan(time,2022-09-08T00:00)" in week
+
+
+def test_member_joins_stay_broadcast_without_auto_broadcast(spark, tables):
+    from cartpulse.plans import marketing as M
+    from cartpulse.sources.tpch import campaign_members
+
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        members = campaign_members(spark, SF_SMALL)
+        for df in (M.campaign_payback(tables, members), M.campaign_cac(tables, members)):
+            plan = df._jdf.queryExecution().sparkPlan().toString()
+            # the user log is never shuffled by user_id to meet the members
+            assert "SortMergeJoin [user_id" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
