@@ -14,7 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartpulse.functions.dates import day
 from cartpulse.jobs import METRIC_FUNCTIONS, run_metric
+from cartpulse.operators import orders as O
+from cartpulse.operators.audience import first_seen
+from cartpulse.operators.campaign import members_side, with_campaign
 from cartpulse.sources.tables import DeliveryTables
 from cartpulse.sources.tpch import SHARE_THRESHOLD, campaign_members, derive_tables, reduced_vat_predicate
 
@@ -51,8 +55,39 @@ METRICS: dict[str, Callable[[SparkSession, str, DeliveryTables], DataFrame]] = {
 }
 
 
+def _blocks() -> dict[str, Callable[[SparkSession, str, DeliveryTables], DataFrame]]:
+    """The shared building blocks (S1-S8) as queries of their own."""
+
+    def paid_user_actions(spark, sf, t):
+        paid = O.not_cancelled(t.user_actions, t.user_actions)
+        return paid.select("user_id", "order_id", "action", day("time").alias("date"))
+
+    def priced(spark, sf, t):
+        return O.priced_lines(O.order_lines(t.orders), t.products_side(), "left")
+
+    def paying_members(spark, sf, t):
+        members = members_side(campaign_members(spark, sf))
+        paid = O.not_cancelled(with_campaign(t.user_actions, members), t.user_actions)
+        return paid.select("ads_campaign", "user_id").distinct()
+
+    return {
+        "cancelled_orders": lambda spark, sf, t: O.cancelled_orders(t.user_actions),
+        "paid_user_actions": paid_user_actions,
+        "delivered_orders": lambda spark, sf, t: O.delivered_orders(t.courier_actions),
+        "order_lines": lambda spark, sf, t: O.order_lines(t.orders),
+        "priced_lines": priced,
+        "order_totals": lambda spark, sf, t: O.order_totals(priced(spark, sf, t)),
+        "first_seen_users": lambda spark, sf, t: first_seen(t.user_actions, "user_id"),
+        "first_seen_couriers": lambda spark, sf, t: first_seen(t.courier_actions, "courier_id"),
+        "paying_members": paying_members,
+    }
+
+
+BLOCKS = _blocks()
+
+
 def make_query(name: str, tables: Callable[[SparkSession, str], DeliveryTables] = derive_tables) -> Query:
-    metric = METRICS[name]
+    metric = METRICS[name] if name in METRICS else BLOCKS[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return to_boundary(metric(spark, sf_dir, tables(spark, sf_dir)))
@@ -62,4 +97,5 @@ def make_query(name: str, tables: Callable[[SparkSession, str], DeliveryTables]
 
 
 def queries() -> dict[str, Query]:
-    return {name: make_query(name) for name in METRICS}
+    """The 23 metrics and readouts, then the 9 building-block queries."""
+    return {name: make_query(name) for name in [*METRICS, *BLOCKS]}
