@@ -55,9 +55,14 @@ def audience_growth_rates(t: DeliveryTables) -> DataFrame:
     ``change = round(100 * x / previous x, 2) - 100``; the previous value is
     the previous row in date order (null on the first row and after a gap).
     """
+    return growth_rates(audience_growth(t))
+
+
+def growth_rates(growth: DataFrame) -> DataFrame:
+    """Day-over-day changes of an audience-growth result (M01 columns)."""
     counts = ["new_users", "new_couriers", "total_users", "total_couriers"]
     w = day_order()
-    base = audience_growth(t).select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in counts])
+    base = growth.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in counts])
     names = ["new_users_change", "new_couriers_change", "total_users_growth", "total_couriers_growth"]
     return base.select(
         "date", *counts, *[(pct(c, f"prev_{c}") - 100).alias(n) for c, n in zip(counts, names)]

@@ -164,7 +164,11 @@ def retention(t: DeliveryTables) -> DataFrame:
     counts, cancellations included.  The log is reduced to distinct
     (user, date) before the per-user window.
     """
-    user_days = t.user_actions.select("user_id", day("time").alias("date")).distinct()
+    return retention_from_user_days(t.user_actions.select("user_id", day("time").alias("date")).distinct())
+
+
+def retention_from_user_days(user_days: DataFrame) -> DataFrame:
+    """Retention (M18 columns) from distinct (user_id, date) activity rows."""
     r = _cohort_retention(user_days)
     return r.select(
         F.trunc("start_date", "month").alias("start_month"), "start_date", "day_number", "retention"

@@ -1,5 +1,11 @@
-"""Incremental (Structured Streaming) execution of the log-only metrics."""
+"""Incremental (Structured Streaming) execution of the log-only metrics.
 
+Audience growth and its rates (first action dates) and retention (user-day
+activity) never need to retract a result when new actions arrive; every
+other metric depends on later cancellations and is computed in batch.
+"""
+
+from cartpulse.streaming.activity import merge_user_days, read_user_days, start_user_days
 from cartpulse.streaming.first_seen import (
     audience_growth_from_first_seen,
     merge_batch,
@@ -7,4 +13,12 @@ from cartpulse.streaming.first_seen import (
     start_first_seen,
 )
 
-__all__ = ["audience_growth_from_first_seen", "merge_batch", "read_first_seen", "start_first_seen"]
+__all__ = [
+    "audience_growth_from_first_seen",
+    "merge_batch",
+    "merge_user_days",
+    "read_first_seen",
+    "read_user_days",
+    "start_first_seen",
+    "start_user_days",
+]
