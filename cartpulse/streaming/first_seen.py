@@ -25,20 +25,22 @@ from cartpulse.functions.dates import day
 from cartpulse.operators.audience import new_per_day, running_sum
 
 
-def _stored(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+def _stored(spark: SparkSession, path: str, key: str, keys: DataFrame) -> DataFrame | None:
+    """Known first dates of the ids in ``keys`` (None before the first write)."""
     try:
-        return spark.read.parquet(path).groupBy(key).agg(F.min("start_date").alias("known"))
+        stored = spark.read.parquet(path)
     except Exception as exc:  # nothing written yet
         if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
             return None
         raise
+    return stored.join(keys, key, "left_semi").groupBy(key).agg(F.min("start_date").alias("known"))
 
 
 def merge_batch(batch: DataFrame, key: str, path: str) -> None:
     """Append the (id, first date) rows of ``batch`` that improve the table."""
     spark = batch.sparkSession
     firsts = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(day("time")).alias("start_date"))
-    known = _stored(spark, path, key)
+    known = _stored(spark, path, key, firsts.select(key))
     if known is not None:
         firsts = (
             firsts.join(known, key, "left")
