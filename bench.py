@@ -5,7 +5,7 @@
    layout a production job reads).
 2. Each registered metric runs over those tables; its result (one row per
    day, hour, campaign, ...) is collected.  Times are wall-clock seconds of
-   the best of ``$BENCH_REPEAT`` runs (default 2).
+   the best of ``$BENCH_REPEAT`` runs (default 3).
 
 Prints one JSON line: {"metric", "value", "unit", "queries", "sf", ...};
 ``value`` is the sum over the registered metrics, ``derive_sec`` the
@@ -30,7 +30,7 @@ from cartpulse.sources.tpch import materialize_tables  # noqa: E402
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "3")))
     spark = build_session(
         master=f"local[{cpus}]",
         shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(8, 2 * cpus)))),
