@@ -48,14 +48,19 @@ def main() -> None:
     timings["derive"] = time.perf_counter() - t0
 
     rows: dict[str, int] = {}
+    jobs: dict[str, int] = {}
+    sc = spark.sparkContext
     for name, metric in METRICS.items():
         best = float("inf")
-        for _ in range(repeat):
+        for i in range(repeat):
+            sc.setJobGroup(f"{name}-{i}", name)
             t0 = time.perf_counter()
             result = to_boundary(metric(spark, sf_dir, tables)).collect()
             best = min(best, time.perf_counter() - t0)
         timings[name] = best
         rows[name] = len(result)
+        # Spark jobs of the last run: AQE query stages, broadcasts, size checks.
+        jobs[name] = len(sc.statusTracker().getJobIdsForGroup(f"{name}-{repeat - 1}"))
 
     sf_match = re.search(r"sf([0-9.]+)", sf_dir.rstrip("/"))
     metrics_total = sum(v for k, v in timings.items() if k != "derive")
@@ -68,6 +73,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": {k: round(v, 3) for k, v in timings.items()},
                 "rows": rows,
+                "jobs": jobs,
                 "sf": float(sf_match.group(1)) if sf_match else sf_dir,
                 "cpus": cpus,
                 "repeat": repeat,
