@@ -87,6 +87,34 @@ def run_metric(
     return fn(*args, **kwargs)
 
 
+def register_views(
+    spark: SparkSession,
+    tables: DeliveryTables,
+    members: DataFrame | None = None,
+    campaigns: P.Campaigns | None = None,
+    prefix: str = "",
+) -> list[str]:
+    """Register the four tables and every applicable metric as temporary views.
+
+    ``spark.sql("SELECT * FROM daily_revenue WHERE revenue_change < 0")``
+    then runs the metric's plan with the extra clauses on top; nothing is
+    computed at registration.  Returns the view names.
+    """
+    names = []
+    for table in ("user_actions", "courier_actions", "orders", "products"):
+        getattr(tables, table).createOrReplaceTempView(prefix + table)
+        names.append(prefix + table)
+    if members is not None:
+        members.createOrReplaceTempView(prefix + "campaign_members")
+        names.append(prefix + "campaign_members")
+    for name, (_, needs_members) in METRIC_FUNCTIONS.items():
+        if needs_members and members is None:
+            continue
+        run_metric(name, tables, members, campaigns).createOrReplaceTempView(prefix + name)
+        names.append(prefix + name)
+    return names
+
+
 def run_job(
     spark: SparkSession,
     tables: DeliveryTables,

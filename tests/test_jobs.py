@@ -39,3 +39,14 @@ def test_job_without_members_skips_campaign_metrics(spark):
     t = DeliveryTables.from_parquet(spark, os.path.join(root, "tables"))
     names = jobs.run_job(spark, t, os.path.join(root, "out"), fmt="csv")
     assert "campaign_cac" not in names and "daily_revenue" in names
+
+
+def test_metrics_as_sql_views(spark, edge, edge_members):
+    from decimal import Decimal
+
+    names = jobs.register_views(spark, edge, edge_members, prefix="v_")
+    assert "v_daily_revenue" in names and "v_campaign_cac" in names
+    total = spark.sql("SELECT sum(revenue) AS r FROM v_daily_revenue").first()["r"]
+    assert total == Decimal("690")
+    first = spark.sql("SELECT min(date) AS d FROM v_user_actions").first()["d"]
+    assert str(first).startswith("2022-08-30")
