@@ -48,5 +48,5 @@ def test_metrics_as_sql_views(spark, edge, edge_members):
     assert "v_daily_revenue" in names and "v_campaign_cac" in names
     total = spark.sql("SELECT sum(revenue) AS r FROM v_daily_revenue").first()["r"]
     assert total == Decimal("690")
-    first = spark.sql("SELECT min(date) AS d FROM v_user_actions").first()["d"]
+    first = spark.sql("SELECT min(time) AS d FROM v_user_actions").first()["d"]
     assert str(first).startswith("2022-08-30")
