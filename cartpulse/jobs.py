@@ -24,6 +24,7 @@ from cartpulse.plans import audience as A
 from cartpulse.plans import marketing as M
 from cartpulse.plans import readouts as D
 from cartpulse.plans import revenue as R
+from cartpulse.session import SCALE_CONF
 from cartpulse.sources.tables import DeliveryTables
 
 Metric = Callable[..., DataFrame]
@@ -153,7 +154,10 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--threshold", help="product share threshold in percent (default 0.5)")
     args = ap.parse_args(argv)
 
-    spark = SparkSession.builder.appName("cartpulse").getOrCreate()
+    builder = SparkSession.builder.appName("cartpulse")
+    for key, value in SCALE_CONF.items():  # AQE, skew join, UTC, no UI
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     if args.tables:
         tables = DeliveryTables.from_parquet(spark, args.tables)
     else:
