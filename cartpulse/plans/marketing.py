@@ -231,11 +231,12 @@ def campaign_payback(
     member orders only, and the running sum on (campaign, day) sums, instead
     of on order rows partitioned by the two campaigns.
     """
-    m = members_side(members)
-    # One campaign per user (the lowest number); size-checked again so the
-    # join to the user log stays a broadcast.
-    first_campaign = members_side(members.groupBy("user_id").agg(F.min("ads_campaign").alias("ads_campaign")))
-    actions = not_cancelled(with_campaign(t.user_actions, first_campaign), t.user_actions)
+    # One pass over the member actions serves both the payer count (per
+    # membership) and the revenue (per user's lowest campaign number).
+    member_actions = _member_paid_actions(t, members_side(members))
+    lowest = members.groupBy("user_id").agg(F.min("ads_campaign").alias("ads_campaign"))
+    first_campaign = members_side(lowest).withColumnRenamed("ads_campaign", "first_campaign")
+    actions = member_actions.join(first_campaign, "user_id").filter(F.col("ads_campaign") == F.col("first_campaign"))
     per_user_day = (
         _member_lines(t, actions, "ads_campaign", "user_id", how="left")
         .groupBy("ads_campaign", "user_id", "date")
@@ -250,9 +251,7 @@ def campaign_payback(
     cumulative = F.sum("revenue").over(Window.partitionBy("ads_campaign").orderBy("day"))
 
     if payers is None:
-        payer_df = _member_paid_actions(t, m).groupBy("ads_campaign").agg(
-            F.countDistinct("user_id").alias("payers")
-        )
+        payer_df = member_actions.groupBy("ads_campaign").agg(F.countDistinct("user_id").alias("payers"))
     else:
         payer_df = t.spark.createDataFrame(
             [(int(k), int(v)) for k, v in sorted(payers.items())], "ads_campaign int, payers bigint"
