@@ -127,12 +127,17 @@ def running_arpu(t: DeliveryTables) -> DataFrame:
     three daily series are inner-joined on date *before* the running sums, so
     a date without a new user or a new payer is left out of all totals.
     """
-    ua = t.user_actions
-    new_users = first_seen(ua, "user_id", "date").groupBy("date").agg(F.count("user_id").alias("new_users"))
-    new_payers = (
-        first_seen(not_cancelled(ua, ua), "user_id", "date")
-        .groupBy("date")
-        .agg(F.count("user_id").alias("new_payers"))
+    # One pass over the flagged log: each user's first action date and first
+    # paying date (null without a non-cancelled action; the inner join on
+    # date below drops that group, as grouping only paying rows would).
+    ua = with_cancel_flag(t.user_actions, t.user_actions)
+    per_user = ua.groupBy("user_id").agg(
+        F.min(day("time")).alias("first_date"),
+        F.min(F.when(paid_flag(), day("time"))).alias("first_paid_date"),
+    )
+    new_users = per_user.groupBy(F.col("first_date").alias("date")).agg(F.count("user_id").alias("new_users"))
+    new_payers = per_user.groupBy(F.col("first_paid_date").alias("date")).agg(
+        F.count("user_id").alias("new_payers")
     )
     daily = new_users.join(new_payers, "date").join(_daily_revenue_base(t), "date")
     running = daily.select(
