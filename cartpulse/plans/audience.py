@@ -72,15 +72,20 @@ def growth_rates(growth: DataFrame) -> DataFrame:
 # -- M03 -------------------------------------------------------------------
 
 
-def _paying_per_day(t: DeliveryTables) -> DataFrame:
-    """date (of action), paying_users: distinct users acting on a non-cancelled order.
+def _active_and_totals(flagged: DataFrame, key: str, flag: str, active_name: str, total_name: str) -> DataFrame:
+    """From a log with a boolean ``flag`` column: per action date, the distinct
+    ids with a flagged action (``active_name``, every action date kept), and
+    the running total of ids by first action date (``total_name``).
 
-    Every action date is present, with 0 when nobody paid that day.
+    One aggregation to (date, id) feeds both: the ids' first dates come from
+    the same rows, so the log is scanned and shuffled once.
     """
-    ua = with_cancel_flag(t.user_actions, t.user_actions)
-    return ua.groupBy(day("time").alias("date")).agg(
-        F.countDistinct(F.when(paid_flag(), F.col("user_id"))).alias("paying_users")
-    )
+    per_id_day = flagged.groupBy(day("time").alias("date"), key).agg(F.max(flag).alias(flag))
+    known = F.col(key).isNotNull()
+    active = per_id_day.groupBy("date").agg(F.count(F.when(known & F.col(flag), 1)).alias(active_name))
+    first = per_id_day.groupBy(key).agg(F.min("date").alias("start_date"))
+    totals = new_per_day(first, key, "new").select("date", running_sum("new").cast("int").alias(total_name))
+    return active.join(totals, "date")
 
 
 def active_audience(t: DeliveryTables) -> DataFrame:
@@ -88,24 +93,18 @@ def active_audience(t: DeliveryTables) -> DataFrame:
     running totals of users and couriers.
 
     Columns: date, paying_users, active_couriers, paying_users_share,
-    active_couriers_share (percent, 2 places).  Active couriers are those with
-    any action that day on an order delivered at some time.  Only dates with
-    paying-user rows, courier rows, new users and new couriers remain.
-    Sorted by date.
+    active_couriers_share (percent, 2 places).  Paying users act that day on
+    a non-cancelled order; active couriers have any action that day on an
+    order delivered at some time.  Only dates with user rows, courier rows,
+    new users and new couriers remain.  Sorted by date.
     """
-    payers = _paying_per_day(t)
+    ua = with_cancel_flag(t.user_actions, t.user_actions)
+    ua = ua.withColumn("paid", paid_flag())
+    users = _active_and_totals(ua, "user_id", "paid", "paying_users", "total_users")
     ca = flag_join(t.courier_actions, delivered_orders(t.courier_actions), "order_id", "delivered")
-    active = ca.groupBy(day("time").alias("date")).agg(
-        F.countDistinct(F.when(F.col("delivered"), F.col("courier_id"))).alias("active_couriers")
-    )
-    users = _growth(t.user_actions, "user_id", "new_users", "total_users").select("date", "total_users")
-    couriers = _growth(t.courier_actions, "courier_id", "new_couriers", "total_couriers").select(
-        "date", "total_couriers"
-    )
+    couriers = _active_and_totals(ca, "courier_id", "delivered", "active_couriers", "total_couriers")
     return (
-        payers.join(active, "date")
-        .join(users, "date")
-        .join(couriers, "date")
+        users.join(couriers, "date")
         .select(
             "date",
             "paying_users",

@@ -31,7 +31,7 @@ from cartpulse.functions.numeric import (
     units_sql,
     with_scale,
 )
-from cartpulse.operators.audience import day_order, first_seen, running_sum
+from cartpulse.operators.audience import day_order, running_sum
 from cartpulse.operators.orders import (
     not_cancelled,
     order_lines,
@@ -216,15 +216,20 @@ def new_user_revenue(t: DeliveryTables) -> DataFrame:
     # and the daily revenue is summed from them.
     totals = order_totals(_paid_lines(t), "date")
     rev = totals.groupBy("date").agg(F.sum("order_revenue").alias("revenue"))
+    # One pass over the user log: every action joins its order's total (null
+    # for cancelled or unpriced orders), the (user, date) sums give both the
+    # user's first action date and that day's revenue.
     per_user_day = (
-        t.user_actions.select(day("time").alias("date"), "user_id", "order_id")
-        .join(totals.select("order_id", "order_revenue"), "order_id")
-        .groupBy("date", "user_id")
+        t.user_actions.filter(F.col("user_id").isNotNull())
+        .select(day("time").alias("date"), "user_id", "order_id")
+        .join(totals.select("order_id", "order_revenue"), "order_id", "left")
+        .groupBy("user_id", "date")
         .agg(F.sum("order_revenue").alias("revenue"))
     )
-    first = first_seen(t.user_actions, "user_id", "date")
+    first = per_user_day.groupBy("user_id").agg(F.min("date").alias("date"))
     new_rev = (
-        per_user_day.join(first, ["user_id", "date"])
+        per_user_day.filter(F.col("revenue").isNotNull())
+        .join(first, ["user_id", "date"])
         .groupBy("date")
         .agg(F.sum("revenue").alias("new_users_revenue"))
     )
