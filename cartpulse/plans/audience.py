@@ -77,8 +77,8 @@ def _active_and_totals(flagged: DataFrame, key: str, flag: str, active_name: str
     ids with a flagged action (``active_name``, every action date kept), and
     the running total of ids by first action date (``total_name``).
 
-    One aggregation to (date, id) feeds both: the ids' first dates come from
-    the same rows, so the log is scanned and shuffled once.
+    Both come from one (date, id) aggregate; for the first dates Catalyst
+    prunes the flag and its join, leaving a narrow two-column scan.
     """
     per_id_day = flagged.groupBy(day("time").alias("date"), key).agg(F.max(flag).alias(flag))
     known = F.col(key).isNotNull()

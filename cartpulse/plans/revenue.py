@@ -127,9 +127,10 @@ def running_arpu(t: DeliveryTables) -> DataFrame:
     three daily series are inner-joined on date *before* the running sums, so
     a date without a new user or a new payer is left out of all totals.
     """
-    # One pass over the flagged log: each user's first action date and first
-    # paying date (null without a non-cancelled action; the inner join on
-    # date below drops that group, as grouping only paying rows would).
+    # Each user's first action date and first paying date from one aggregate
+    # of the flagged log (the paying date is null without a non-cancelled
+    # action; the inner join on date below drops that group, as grouping only
+    # paying rows would).
     ua = with_cancel_flag(t.user_actions, t.user_actions)
     per_user = ua.groupBy("user_id").agg(
         F.min(day("time")).alias("first_date"),
@@ -216,9 +217,9 @@ def new_user_revenue(t: DeliveryTables) -> DataFrame:
     # and the daily revenue is summed from them.
     totals = order_totals(_paid_lines(t), "date")
     rev = totals.groupBy("date").agg(F.sum("order_revenue").alias("revenue"))
-    # One pass over the user log: every action joins its order's total (null
-    # for cancelled or unpriced orders), the (user, date) sums give both the
-    # user's first action date and that day's revenue.
+    # Every action joins its order's total (null for cancelled or unpriced
+    # orders); the (user, date) sums give both the user's first action date
+    # and that day's revenue.
     per_user_day = (
         t.user_actions.filter(F.col("user_id").isNotNull())
         .select(day("time").alias("date"), "user_id", "order_id")
