@@ -50,3 +50,10 @@ def test_metrics_as_sql_views(spark, edge, edge_members):
     assert total == Decimal("690")
     first = spark.sql("SELECT min(time) AS d FROM v_user_actions").first()["d"]
     assert str(first).startswith("2022-08-30")
+
+
+def test_unknown_metric_is_rejected_before_spark_work():
+    import pytest
+
+    with pytest.raises(SystemExit):
+        jobs.main(["--tables", "/nonexistent", "--out", "/nonexistent-out", "--metrics", "daily_revenu"])
