@@ -56,3 +56,25 @@ def test_sorted_outputs(t):
     assert hours == sorted(hours)
     revs = [r["revenue"] for r in R.product_revenue_share(t).collect()]
     assert revs == sorted(revs, reverse=True)
+
+
+def test_every_final_order_by(t, spark):
+    from cartpulse.sources.tpch import campaign_members
+
+    members = campaign_members(spark, SF_SMALL)
+
+    def keys(df, *cols):
+        return [tuple(r[c] for c in cols) for r in df.collect()]
+
+    for df, cols in [
+        (A.order_frequency_shares(t), ("date",)),
+        (A.delivery_time(t), ("date",)),
+        (R.weekday_arpu(t), ("weekday_number",)),
+        (R.new_user_revenue(t), ("date",)),
+        (M.campaign_retention(t, members), ("ads_campaign", "day_number")),
+        (M.campaign_payback(t, members), ("ads_campaign", "day")),
+    ]:
+        got = keys(df, *cols)
+        assert got == sorted(got), cols
+    checks = [r["avg_check"] for r in M.campaign_avg_check(t, members).collect()]
+    assert checks == sorted(checks, reverse=True)
