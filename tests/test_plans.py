@@ -123,3 +123,13 @@ def test_member_joins_stay_broadcast_without_auto_broadcast(spark, tables):
             assert "SortMergeJoin [user_id" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_all_metrics_equal_on_bucketed_tables(spark, tables):
+    db = "cartpulse_bucket_all"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
+    tables.write_bucketed(db, buckets=4, mode="overwrite")
+    bucketed = DeliveryTables.from_catalog(spark, db)
+    for name, metric in METRICS.items():
+        plain = sorted(metric(spark, SF_SMALL, tables).collect())
+        assert sorted(metric(spark, SF_SMALL, bucketed).collect()) == plain, name
