@@ -64,6 +64,14 @@ class DeliveryTables:
         frames = {name: spark.read.parquet(os.path.join(root, f"{name}.parquet")) for name in TABLE_NAMES}
         return cls(**frames, **kwargs).conformed()
 
+    @classmethod
+    def from_paths(
+        cls, spark: SparkSession, user_actions: str, courier_actions: str, orders: str, products: str, **kwargs
+    ) -> "DeliveryTables":
+        """Read the four tables from explicit parquet paths (files or folders)."""
+        paths = {"user_actions": user_actions, "courier_actions": courier_actions, "orders": orders, "products": products}
+        return cls(**{name: spark.read.parquet(path) for name, path in paths.items()}, **kwargs).conformed()
+
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str, prefix: str = "", **kwargs) -> "DeliveryTables":
         """Read the four tables from catalog tables ``database.<prefix><table>``."""

@@ -82,3 +82,18 @@ def test_members_from_ids_matches_fixture_members(spark, edge, edge_members):
     members = members_from_ids(spark, {1: [1, 4], 2: [3]})
     assert sorted(members.collect()) == sorted(edge_members.collect())
     assert sorted(M.campaign_roi(edge, members).collect()) == sorted(M.campaign_roi(edge, edge_members).collect())
+
+
+def test_from_paths_reads_any_layout(spark):
+    import os
+
+    from cartpulse.session import scratch_dir
+
+    t = edge_tables(spark)
+    root = scratch_dir(spark, "paths-test")
+    paths = {}
+    for name in ("user_actions", "courier_actions", "orders", "products"):
+        paths[name] = os.path.join(root, f"custom_{name}")
+        getattr(t, name).write.parquet(paths[name])
+    read = DeliveryTables.from_paths(spark, **paths)
+    assert sorted(R.daily_revenue(read).collect()) == sorted(R.daily_revenue(t).collect())
