@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cartpulse.llm import langid, packing, sharding, toxicity
+from cartpulse.llm import langid, packing, sharding, signature_tree, toxicity, vector_forest
 from cartpulse.llm.common import ship
 
 
@@ -19,6 +19,10 @@ def op1_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_forest.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -26,6 +30,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.jaccard_components(_table(spark, sf_dir, "documents"), n=3, num=9, den=10)
+
+
 def op9_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,7 +46,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jump_shards": op1_jump_shards,
+    "op2_projection_forest": op2_projection_forest,
     "op5_toxicity": op5_toxicity,
+    "op8_signature_trees": op8_signature_trees,
     "op9_linear_grouping": op9_linear_grouping,
     "op10_language": op10_language,
 }
