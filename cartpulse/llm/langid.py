@@ -110,20 +110,14 @@ def judge(sizes: list[int], languages: list[str]) -> tuple[str, float, float]:
     return languages[best], score, margin
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: ``keep`` columns, lang_pred, score, margin, rejected.
-
-    Only the text is looked at, and all of it.  Null texts, texts without a
-    letter, and any text if nothing was learned: ``und``, score 0, rejected.
-    A margin under ``MARGIN_BYTES`` (ties too) is rejected, but has its best language.
-    """
-    shared = {"d": dictionaries}
+def _label(dictionaries: dict[str, bytes], text: str):
+    """Column: struct of lang_pred, score, margin, rejected."""
     state: dict[str, Compressors] = {}
 
     @F.pandas_udf("struct<lang_pred:string,score:double,margin:double,rejected:boolean>")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if "c" not in state:
-            state["c"] = Compressors(shared["d"])
+            state["c"] = Compressors(dictionaries)
         encoder = state["c"]
         for batch in batches:
             out = []
@@ -136,6 +130,22 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], key: str = "doc_id"
                 out.append((lang, score, min(margin, 1e9), margin < MARGIN_BYTES))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "margin", "rejected"])
 
-    return docs.select(*(F.col(c) for c in keep), label(F.col(text)).alias("_label")).select(
-        *keep, "_label.lang_pred", "_label.score", "_label.margin", "_label.rejected"
+    return label(F.col(text))
+
+
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: key, held_out, lang_pred, score, margin, rejected.
+
+    Only the text is looked at, and all of it.  Null texts, texts without a
+    letter, and any text if nothing was learned: ``und``, score 0, rejected.
+    A margin under ``MARGIN_BYTES`` (ties too) is rejected, but has its best language.
+    """
+    return docs.select(F.col(key), _label(dictionaries, text).alias("_label")).select(
+        key, held_out(key).alias("held_out"), "_label.lang_pred", "_label.score", "_label.margin", "_label.rejected"
     )
+
+
+def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, with the columns they have."""
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _label(dictionaries, text).alias("label"))
+    return kept.filter(~F.col("label.rejected")).select("row.*")

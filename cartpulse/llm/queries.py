@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cartpulse.llm import langid, packing, sharding, signature_tree, toxicity, vector_forest
+from cartpulse.llm import cotraining, decontamination, langid, licenses, packing, pii, sharding, signature_tree, toxicity, vector_forest
 from cartpulse.llm.common import ship
 
 
@@ -23,6 +23,14 @@ def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_forest.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("body")
+
+
+def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -30,6 +38,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_tree.jaccard_components(_table(spark, sf_dir, "documents"), n=3, num=9, den=10)
 
@@ -40,17 +57,20 @@ def op9_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    labelled = langid.predict(docs, langid.train(docs), keep=("doc_id",)).withColumn("held_out", langid.held_out())
-    return labelled.select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+    return langid.predict(docs, langid.train(docs))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jump_shards": op1_jump_shards,
     "op2_projection_forest": op2_projection_forest,
+    "op3_license_dice": op3_license_dice,
+    "op4_disclosure": op4_disclosure,
     "op5_toxicity": op5_toxicity,
+    "op6_template_windows": op6_template_windows,
+    "op7_co_training": op7_co_training,
     "op8_signature_trees": op8_signature_trees,
     "op9_linear_grouping": op9_linear_grouping,
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_license_dice": licenses.oracle()}
