@@ -50,10 +50,15 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, words, size = [], [], 0
         for i, text in enumerate(texts):
+            if text.isascii() and "<|" not in text:
+                text = text.lower()  # as the tokenizer does; fewer words to learn
             parts = text.replace("\n", " ").split(" ")
             words.append(parts)
             size += len(parts)
@@ -63,13 +68,39 @@ class WordEncoder:
         return out
 
     def _encode(self, texts: list[list[str]]) -> list[bytes]:
+        if len(self.cache) > CACHED_WORDS:
+            self.cache.clear()
+        self._learn({w for words in texts for w in words if w not in self.cache})
+        return [b"".join(map(self.cache.__getitem__, words)) for words in texts]
+
+    def _learn(self, new: set[str]) -> None:
+        """Puts words into the cache.
+
+        A run of letters is one word to the tokenizer, and its last id is a word's end: such words are
+        encoded in one call and cut at the ends.  A mark after letters is a word of its own.
+        """
         cache = self.cache
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        new = list({w for words in texts for w in words if w not in cache})
-        for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+        marked = [w for w in new if len(w) > 1 and w[-1] in ".,;:!?|" and w[:-1].lower().isalpha()]
+        plain = {w for w in new if w.isalpha()}
+        rest = new - plain - set(marked) | {w[-1] for w in marked if w[-1] not in cache}
+        plain.update(w[:-1] for w in marked if w[:-1] not in cache)
+        plain = list(plain)
+        for at in range(0, len(plain), 10_000):
+            some = plain[at : at + 10_000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(some):
+                rest.update(some)
+                continue
+            data, begin = ids.tobytes(), 0
+            for word, end in zip(some, (4 * ends).tolist(), strict=True):
+                cache[word] = data[begin:end]
+                begin = end
+        rest = list(rest)
+        for word, got in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
             cache[word] = np.array(got.ids, dtype="<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, words)) for words in texts]
+        for word in marked:
+            cache[word] = cache[word[:-1]] + cache[word[-1]]
 
 
 def _encoder(path: str) -> WordEncoder:
