@@ -144,6 +144,6 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
 def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without its contaminated documents; all others (null texts too) stay as they are."""
-    bad = written(leaks(docs, items, key, text).select(F.col(key).alias("_leak_key"), F.col("text_hash").alias("_leak_hash")).distinct(), "leaks")
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_leak_key")) & (F.xxhash64(F.col(text)) == F.col("_leak_hash"))
-    return docs.join(checked_broadcast(bad), same, "left_anti")
+    bad = checked_broadcast(written(leaks(docs, items, key, text).select(F.col(key).alias("leak"), "text_hash").distinct(), "leaks"))
+    same = docs[key].eqNullSafe(bad["leak"]) & (F.xxhash64(docs[text]) == bad["text_hash"])
+    return docs.join(bad, same, "left_anti")

@@ -149,8 +149,9 @@ def _file(n: int, num: int, den: int):
                 if len(tokens) and h not in seen:
                     seen.add(h)
                     own = part_keys(tokens, ranges)
-                    keys.append(own)
-                    owners.append(np.full(len(own), h, dtype=np.uint64))
+                    if len(own):
+                        keys.append(own)
+                        owners.append(np.full(len(own), h, dtype=np.uint64))
             classes = np.array(classes, dtype=np.uint64)
             size = np.array(sizes, dtype=np.int64)
             docs = pd.DataFrame({
