@@ -18,6 +18,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -35,7 +36,11 @@ def main() -> None:
         master=f"local[{cpus}]",
         shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(8, 2 * cpus)))),
         app_name="cartpulse-bench",
-        extra_conf={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")},
+        extra_conf={
+            "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
+            # a local run, so a local folder is one that all its tasks share
+            "spark.checkpoint.dir": os.environ.get("BENCH_SCRATCH") or tempfile.mkdtemp(prefix="cartpulse-bench-"),
+        },
     )
 
     # Untimed warm-up: JVM class loading and JIT, not part of any query.

@@ -5,7 +5,7 @@ decimal division first rounds the quotient to a scale chosen by its precision
 rules (often only 6 digits), and a second ``round`` on top of that can cross
 a half-way point the exact quotient does not reach (double rounding).  These
 helpers avoid that: both operands are turned into integers (counts, cents)
-and the rounded quotient is computed with integral division (SQL ``div``),
+and the remainder is taken off before dividing,
 so the result is exactly ``round(factor * num / den, places)`` with HALF_UP,
 the rounding of SQL NUMERIC.
 
@@ -35,23 +35,27 @@ def half_up_div_sql(num: str, den: str, int_type: str = _INT) -> str:
     """SQL text: integer quotient ``num / den`` rounded half away from zero.
 
     Both operands must be integral.  A zero denominator raises under ANSI
-    mode, as NUMERIC division does.  The result is BIGINT, so the rounded
-    quotient (not the operands) must stay below 9.2e18: true for every ratio
-    here (at most 1e14 for a 12-place percentage).  ``int_type``
-    BIGINT (primitive arithmetic) is for operands known to stay far below
-    2**62; the default DECIMAL(38,0) is for sums of any size.
+    mode, as NUMERIC division does.  The quotient stays DECIMAL(38,0): the
+    remainder is taken off first, so the decimal division is exact, and a value
+    beyond 38 digits raises under ANSI mode (SQL ``div`` would return BIGINT and
+    wrap).  ``int_type`` BIGINT (primitive arithmetic, BIGINT result) is for
+    operands known to stay far below 2**62.
     """
     n, d = f"CAST(({num}) AS {int_type})", f"CAST(({den}) AS {int_type})"
-    q = f"((abs({n}) * 2 + abs({d})) div (abs({d}) * 2))"
+    top, twice = f"(abs({n}) * 2 + abs({d}))", f"(abs({d}) * 2)"
+    if int_type == _INT:
+        q = f"CAST(({top} - {top} % {twice}) / {twice} AS {_INT})"
+    else:
+        q = f"({top} div {twice})"
     return f"(CASE WHEN ({n} < 0) <> ({d} < 0) THEN -{q} ELSE {q} END)"
 
 
 def with_scale_sql(q: str, places: int) -> str:
     """SQL text: integer ``q`` read as ``q * 10**-places``, exactly."""
     if places == 0:
-        return f"CAST(({q}) AS DECIMAL(20,0))"
+        return f"CAST(({q}) AS {_INT})"
     step = "0." + "0" * (places - 1) + "1"
-    return f"(CAST(({q}) AS DECIMAL(20,0)) * {step})"
+    return f"(CAST(({q}) AS DECIMAL({37 - places},0)) * {step})"
 
 
 def round_div_sql(num: str, den: str, places: int, factor: int = 1) -> str:
@@ -60,7 +64,7 @@ def round_div_sql(num: str, den: str, places: int, factor: int = 1) -> str:
 
 
 def half_up_div(num: str, den: str, int_type: str = _INT) -> Column:
-    """Integer ``num / den`` rounded half away from zero (BIGINT)."""
+    """Integer ``num / den`` rounded half away from zero."""
     return F.expr(half_up_div_sql(num, den, int_type))
 
 

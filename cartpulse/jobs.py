@@ -66,11 +66,14 @@ def run_metric(
     campaigns: P.Campaigns | None = None,
     threshold: str | None = None,
     reduced_vat=None,
+    cost: P.CostModel | None = None,
+    options: dict[str, dict] | None = None,
 ) -> DataFrame:
     """One metric with the job's parameters (None keeps a metric's default).
 
-    ``reduced_vat`` (names or a Column on ``name``) applies to the gross
-    profit and its break-even readout.
+    ``reduced_vat`` (names or a Column on ``name``) and ``cost`` apply to the
+    gross profit and its break-even readout.  ``options`` holds further keyword
+    arguments by metric name (report windows, labels, ``delivered_only``, ...).
     """
     fn, needs_members = METRIC_FUNCTIONS[name]
     args: list = [tables]
@@ -85,6 +88,9 @@ def run_metric(
         kwargs["threshold"] = threshold
     if name in ("gross_profit", "break_even_dates") and reduced_vat is not None:
         kwargs["reduced_vat"] = reduced_vat
+    if name in ("gross_profit", "break_even_dates") and cost is not None:
+        kwargs["cost"] = cost
+    kwargs.update((options or {}).get(name, {}))
     return fn(*args, **kwargs)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartpulse import schema as S
-from cartpulse.operators.joins import DEFAULT_BROADCAST_MAX_ROWS, bounded_broadcast
 
 
 def members_from_ids(spark, ids: dict[int, list[int]]) -> DataFrame:
@@ -16,10 +17,12 @@ def members_from_ids(spark, ids: dict[int, list[int]]) -> DataFrame:
     return spark.createDataFrame(rows, S.CAMPAIGN_MEMBERS)
 
 
-def members_side(members: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Membership (ads_campaign, user_id) typed and size-checked for broadcast."""
-    m = S.conform(members, S.CAMPAIGN_MEMBERS, "campaign_members").filter(F.col("user_id").isNotNull())
-    return bounded_broadcast(m, max_rows)
+def members_side(members: DataFrame) -> DataFrame:
+    """Membership (ads_campaign, user_id): typed, without null users, each pair once.
+
+    An id list is a set, so a member named twice counts once.
+    """
+    return S.conform(members, S.CAMPAIGN_MEMBERS, "campaign_members").filter(F.col("user_id").isNotNull()).distinct()
 
 
 def with_campaign(df: DataFrame, members: DataFrame) -> DataFrame:
@@ -37,11 +40,16 @@ def campaign_label(number: Column | str, prefix: str) -> Column:
     return F.concat(F.lit(prefix), c.cast("string"))
 
 
-def campaign_dim(spark, spend: dict[int, int]) -> DataFrame:
+def campaign_dim(spark, spend: dict[int, Decimal]) -> DataFrame:
     """The campaigns as a small DataFrame: ads_campaign INT, spend DECIMAL(20,2).
 
     Built from a parameter with a handful of entries, so it is broadcast.
+    Spend keeps its cents; more than two decimals raise.
     """
-    rows = [(int(k), int(v)) for k, v in sorted(spend.items())]
-    df = spark.createDataFrame(rows, "ads_campaign int, spend bigint")
-    return F.broadcast(df.select("ads_campaign", F.col("spend").cast("decimal(20,2)").alias("spend")))
+    rows = []
+    for number, amount in sorted(spend.items()):
+        value = Decimal(str(amount))
+        if value != value.quantize(Decimal("0.01")):
+            raise ValueError(f"campaign {number}: spend {amount} has fractions of a cent")
+        rows.append((int(number), value.quantize(Decimal("0.01"))))
+    return F.broadcast(spark.createDataFrame(rows, "ads_campaign int, spend decimal(20,2)"))

@@ -1,27 +1,14 @@
-"""Join helpers with an explicit size check before broadcasting."""
+"""Join helpers.
+
+No helper hints a broadcast: Spark's byte threshold, and AQE with the sizes
+it has measured, pick the join; a skewed side is split by AQE.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Upper bound on rows for a side we broadcast.  A dimension row here is a few
-# tens of bytes (id, name, price), so 2 million rows stay well below the
-# default 8 GB broadcast limit and fit on every executor.
-DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``.
-
-    The check counts at most ``max_rows + 1`` rows, so it is cheap even when
-    the side is large.  Beyond the bound the join is left to the planner: a
-    shuffled sort-merge join, which AQE may still turn into a broadcast join
-    from runtime statistics, and whose skewed partitions AQE splits.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def flag_join(df: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:
     """Left-join a set of distinct ``key`` values as a boolean column ``flag``.

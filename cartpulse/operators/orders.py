@@ -13,7 +13,7 @@ dropped here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartpulse import schema as S
@@ -54,6 +54,19 @@ def with_cancel_flag(df: DataFrame, user_actions: DataFrame, flag: str = "cancel
     return flag_join(df, cancelled_orders(user_actions), "order_id", flag)
 
 
+def with_own_flag(actions: DataFrame, action: str, flag: str) -> DataFrame:
+    """``actions`` plus a boolean column: has the row's order ``action`` anywhere in this log?
+
+    The same as a flag join of the log to its own ids, with one scan and one
+    shuffle: a window over the few rows of an order.  Rows without an order id
+    are never flagged and are spread by their content instead of meeting in one
+    partition.
+    """
+    spread = F.when(F.col("order_id").isNull(), F.xxhash64(*actions.columns))
+    has = F.max(F.col("action") == action).over(Window.partitionBy("order_id", spread))
+    return actions.withColumn(flag, F.col("order_id").isNotNull() & F.coalesce(has, F.lit(False)))
+
+
 def paid_flag(flag: str = "cancelled") -> F.Column:
     """True for a row that counts as paying: a non-null, non-cancelled order.
 

@@ -1,13 +1,15 @@
 """Business parameters of the metrics (tariffs, VAT, campaigns, windows).
 
-Every constant the original analysis wrote into its queries is a parameter
-here, with the original value as the default.
+The constants the original analysis wrote into its queries are parameters
+here, with the original value as the default.  Its lists of campaign members are data
+(a table), and its payer counts are computed unless given.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the original analysis for equal results).
@@ -87,4 +89,4 @@ class Campaigns:
     this, since member lists are data, not code.
     """
 
-    spend: dict[int, int] = field(default_factory=lambda: {1: CAMPAIGN_SPEND, 2: CAMPAIGN_SPEND})
+    spend: dict[int, Decimal | int | str] = field(default_factory=lambda: {1: CAMPAIGN_SPEND, 2: CAMPAIGN_SPEND})

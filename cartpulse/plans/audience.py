@@ -11,14 +11,15 @@ a date missing on one side disappears from the result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartpulse import schema as S
 from cartpulse.functions.dates import day, hour_of, micros_between
 from cartpulse.functions.numeric import half_up_div, pct, round_div
 from cartpulse.operators.audience import day_order, first_seen, new_per_day, running_sum
 from cartpulse.operators.joins import flag_join
-from cartpulse.operators.orders import delivered_orders, not_cancelled, paid_flag, with_cancel_flag
+from cartpulse.operators.orders import delivered_orders, not_cancelled, paid_flag, with_cancel_flag, with_own_flag
 from cartpulse.sources.tables import DeliveryTables
 
 
@@ -74,18 +75,24 @@ def growth_rates(growth: DataFrame) -> DataFrame:
 
 def _active_and_totals(flagged: DataFrame, key: str, flag: str, active_name: str, total_name: str) -> DataFrame:
     """From a log with a boolean ``flag`` column: per action date, the distinct
-    ids with a flagged action (``active_name``, every action date kept), and
-    the running total of ids by first action date (``total_name``).
+    ids with a flagged action (``active_name``), and the running total of ids by
+    first action date (``total_name``), on the dates that have new ids.
 
-    Both come from one (date, id) aggregate; for the first dates Catalyst
-    prunes the flag and its join, leaving a narrow two-column scan.
+    One (date, id) aggregate; a window over an id's dates marks its first one,
+    so both counts come from the same rows.
     """
     per_id_day = flagged.groupBy(day("time").alias("date"), key).agg(F.max(flag).alias(flag))
+    first = F.min("date").over(Window.partitionBy(key))
     known = F.col(key).isNotNull()
-    active = per_id_day.groupBy("date").agg(F.count(F.when(known & F.col(flag), 1)).alias(active_name))
-    first = per_id_day.groupBy(key).agg(F.min("date").alias("start_date"))
-    totals = new_per_day(first, key, "new").select("date", running_sum("new").cast("int").alias(total_name))
-    return active.join(totals, "date")
+    # rows without an id count for neither and stay out of the window
+    daily = (
+        per_id_day.filter(known)
+        .withColumn("new", F.col("date") == first)
+        .groupBy("date")
+        .agg(F.count(F.when(F.col(flag), 1)).alias(active_name), F.count(F.when(F.col("new"), 1)).alias("new"))
+        .filter(F.col("new") > 0)
+    )
+    return daily.select("date", active_name, running_sum("new").cast("int").alias(total_name))
 
 
 def active_audience(t: DeliveryTables) -> DataFrame:
@@ -98,10 +105,9 @@ def active_audience(t: DeliveryTables) -> DataFrame:
     order delivered at some time.  Only dates with user rows, courier rows,
     new users and new couriers remain.  Sorted by date.
     """
-    ua = with_cancel_flag(t.user_actions, t.user_actions)
-    ua = ua.withColumn("paid", paid_flag())
+    ua = with_own_flag(t.user_actions, S.CANCEL_ORDER, "cancelled").withColumn("paid", paid_flag())
     users = _active_and_totals(ua, "user_id", "paid", "paying_users", "total_users")
-    ca = flag_join(t.courier_actions, delivered_orders(t.courier_actions), "order_id", "delivered")
+    ca = with_own_flag(t.courier_actions, S.DELIVER_ORDER, "delivered")
     couriers = _active_and_totals(ca, "courier_id", "delivered", "active_couriers", "total_couriers")
     return (
         users.join(couriers, "date")
@@ -157,22 +163,31 @@ def courier_load(t: DeliveryTables) -> DataFrame:
     actions (an order with no such action is not counted; one with two is
     counted twice).  Only dates with payers, active couriers and orders.
     """
-    paid = not_cancelled(t.user_actions, t.user_actions)
-    payers = paid.groupBy(day("time").alias("date")).agg(F.countDistinct("user_id").alias("paying_users"))
+    # One scan of each log.  A user log row says who paid on its date, and its
+    # order's creation date where the order counts: two dated rows.
+    paid = with_own_flag(t.user_actions, S.CANCEL_ORDER, "cancelled").filter(paid_flag())
+    created = t.orders.filter(F.col("order_id").isNotNull()).select(F.col("order_id").alias("id"), day("creation_time").alias("created"), F.lit(1).alias("found"))
+    dated = paid.select("order_id", "user_id", day("time").alias("acted")).join(created, F.col("order_id") == F.col("id"), "left")
+    kinds = F.array(
+        F.struct(F.col("acted").alias("date"), F.col("user_id").alias("payer"), F.lit(1).alias("paid"), F.lit(0).alias("ordered")),
+        F.struct(F.col("created").alias("date"), F.lit(None).cast("bigint").alias("payer"), F.lit(0).alias("paid"), F.coalesce("found", F.lit(0)).alias("ordered")),
+    )
+    users = (
+        dated.select(F.inline(kinds))
+        .groupBy("date", "payer")
+        .agg(F.sum("paid").alias("paid"), F.sum("ordered").alias("ordered"))
+        .groupBy("date")
+        .agg(F.count("payer").alias("paying_users"), F.sum("paid").alias("paid"), F.sum("ordered").alias("orders"))
+        .filter((F.col("paid") > 0) & (F.col("orders") > 0) & F.col("date").isNotNull())
+    )
     active = (
-        t.courier_actions.join(delivered_orders(t.courier_actions), "order_id", "left_semi")
+        with_own_flag(t.courier_actions, S.DELIVER_ORDER, "delivered")
+        .filter("delivered")
         .groupBy(day("time").alias("date"))
         .agg(F.countDistinct("courier_id").alias("active_couriers"))
     )
-    orders = (
-        t.orders.select("order_id", "creation_time")
-        .join(paid.select("order_id"), "order_id", "inner")
-        .groupBy(day("creation_time").alias("date"))
-        .agg(F.count("order_id").alias("orders"))
-    )
     return (
-        payers.join(active, "date")
-        .join(orders, "date")
+        users.join(active, "date")
         .select(
             "date",
             round_div("paying_users", "active_couriers", 2).alias("users_per_courier"),
@@ -213,16 +228,21 @@ def delivery_time(t: DeliveryTables, delivered_only: bool = False) -> DataFrame:
 # -- M07 -------------------------------------------------------------------
 
 
-def hourly_cancel_rate(t: DeliveryTables) -> DataFrame:
+def hourly_cancel_rate(t: DeliveryTables, delivered_only: bool = False) -> DataFrame:
     """Successful and cancelled orders by hour of creation, and the cancel rate.
 
     Columns: hour, successful_orders, canceled_orders, cancel_rate (a
-    fraction, 3 places).  "Successful" means not cancelled (delivery is not
-    checked).  Hours lacking either kind are dropped.  Sorted by hour.
+    fraction, 3 places).  "Successful" means not cancelled; with
+    ``delivered_only=True`` also delivered.  Hours lacking either kind are
+    dropped.  Sorted by hour.
     """
     o = with_cancel_flag(t.orders.select("order_id", "creation_time"), t.user_actions)
+    successful = paid_flag()
+    if delivered_only:
+        o = flag_join(o, delivered_orders(t.courier_actions), "order_id", "delivered")
+        successful = successful & F.col("delivered")
     hourly = o.groupBy(hour_of("creation_time").alias("hour")).agg(
-        F.count(F.when(paid_flag(), 1)).alias("successful_orders"),
+        F.count(F.when(successful, 1)).alias("successful_orders"),
         F.count(F.when(F.col("order_id").isNotNull() & F.col("cancelled"), 1)).alias("canceled_orders"),
     )
     return (

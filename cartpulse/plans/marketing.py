@@ -1,11 +1,14 @@
 """Advertising-campaign metrics: CAC, ROI, average check, retention, payback.
 
 ``members`` is a DataFrame (ads_campaign INT, user_id BIGINT); ``campaigns``
-gives each campaign's spend.  Membership is joined first (a size-checked
-broadcast, so the user log is filtered map-side), and only then are the
+gives each campaign's spend.  Membership is joined first, and only then are the
 member rows tested against the cancelled orders, which keeps the large anti
-join small.  Per-user windows run on rows pre-aggregated to (user, day), so
-a hot user contributes at most one row per day to a window partition.
+join small.  Spark broadcasts the members when their bytes are below the
+session's threshold.  Per-user windows run on rows pre-aggregated to (user, day),
+so a hot user contributes at most one row per day to a window partition.
+
+A campaign that the members name but ``campaigns`` doesn't keeps its rows, with a
+null cost.
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ def _member_lines(t: DeliveryTables, actions: DataFrame, *keep: str, how: str =
     user log does.  ``keep`` names action columns to carry along.
     """
     orders = t.orders.join(actions.select("order_id", *keep), "order_id")
-    return priced_lines(order_lines(orders, *keep), t.products_side(), how)
+    return priced_lines(order_lines(orders, *keep), t.products, how)
 
 
 def paying_members(t: DeliveryTables, members: DataFrame) -> DataFrame:
@@ -73,7 +76,7 @@ def campaign_cac(t: DeliveryTables, members: DataFrame, campaigns: P.Campaigns =
     places).  A campaign without paying members has no row.
     """
     dim = campaign_dim(t.spark, campaigns.spend)
-    return paying_members(t, members).join(dim, "ads_campaign").select(
+    return paying_members(t, members).join(dim, "ads_campaign", "left").select(
         campaign_label("ads_campaign", P.CAMPAIGN_LABEL_TIGHT).alias("ads_campaign"),
         money_ratio("spend", "payers").alias("cac"),
     )
@@ -86,14 +89,15 @@ def campaign_roi(t: DeliveryTables, members: DataFrame, campaigns: P.Campaigns =
     """Return on ad spend in percent: (members' revenue - spend) / spend.
 
     Columns: ads_campaign (label with a space), roi (2 places).  Every
-    campaign of ``campaigns`` has a row; null when its members bought nothing.
+    campaign of ``campaigns`` and every campaign with revenue has a row; null
+    when its members bought nothing or its spend isn't known.
     """
     actions = _member_paid_actions(t, members_side(members))
     revenue = (
         _member_lines(t, actions, "ads_campaign").groupBy("ads_campaign").agg(F.sum("price").alias("revenue"))
     )
     dim = campaign_dim(t.spark, campaigns.spend)
-    return dim.join(revenue, "ads_campaign", "left").select(
+    return dim.join(revenue, "ads_campaign", "full").select(
         campaign_label("ads_campaign", P.CAMPAIGN_LABEL_SPACED).alias("ads_campaign"),
         money_pct("revenue - spend", "spend").alias("roi"),
     )
@@ -107,13 +111,15 @@ def campaign_avg_check(
     members: DataFrame,
     start: dt.date = P.AVG_CHECK_FROM,
     end: dt.date = P.AVG_CHECK_TO,
+    per_order: bool = False,
 ) -> DataFrame:
     """Mean over members of each member's mean order value, per campaign.
 
     Orders count on the dates of their non-cancelled member actions within
     [start, end].  Columns: ads_campaign (label with a space), avg_check (2
     places).  The per-user mean is kept to 1e-10 cent, the final mean
-    rounded half up.  Sorted by avg_check, descending.
+    rounded half up.  Sorted by avg_check, descending.  ``per_order=True`` takes the
+    mean over the campaign's orders instead of over its members' means.
     """
     actions = _member_paid_actions(t, members_side(members)).filter(
         day("time").between(F.lit(start), F.lit(end))
@@ -123,14 +129,23 @@ def campaign_avg_check(
         .groupBy("ads_campaign", "user_id", "order_id")
         .agg(F.sum("price").alias("order_check"))
     )
+    if per_order:
+        sums = checks.groupBy("ads_campaign").agg(F.sum("order_check").alias("checks"), F.count("order_check").alias("orders"))
+        return sums.select(
+            campaign_label("ads_campaign", P.CAMPAIGN_LABEL_SPACED).alias("ads_campaign"),
+            money_ratio("checks", "nullif(orders, 0)").alias("avg_check"),
+        ).orderBy(F.desc("avg_check"))
     per_user = checks.groupBy("ads_campaign", "user_id").agg(
         F.sum("order_check").alias("checks"), F.count("order_check").alias("orders")
     )
-    mean_e = half_up_div(f"{units_sql('checks', 2)} * {10**MEAN_EXTRA_PLACES}", "orders").cast("decimal(38,0)")
-    per_campaign = per_user.groupBy("ads_campaign").agg(
-        F.sum(mean_e).alias("mean_e"), F.count(F.lit(1)).alias("users")
+    # A user without a priced order has no mean, and a mean over users skips them.
+    mean_e = half_up_div(f"{units_sql('checks', 2)} * {10**MEAN_EXTRA_PLACES}", "nullif(orders, 0)")
+    per_campaign = (
+        per_user.select("ads_campaign", mean_e.alias("mean_e"))
+        .groupBy("ads_campaign")
+        .agg(F.sum("mean_e").alias("mean_e"), F.count("mean_e").alias("users"))
     )
-    avg = half_up_div_sql("mean_e", f"users * {10**MEAN_EXTRA_PLACES}")
+    avg = half_up_div_sql("mean_e", f"nullif(users, 0) * {10**MEAN_EXTRA_PLACES}")
     return per_campaign.select(
         campaign_label("ads_campaign", P.CAMPAIGN_LABEL_SPACED).alias("ads_campaign"),
         with_scale(avg, 2).alias("avg_check"),
@@ -140,19 +155,25 @@ def campaign_avg_check(
 # -- M18 -------------------------------------------------------------------
 
 
-def _cohort_retention(user_days: DataFrame, *group: str) -> DataFrame:
-    """From distinct (group..., user_id, date) rows: group..., start_date, date,
-    day_number, retention (share of the cohort's day-0 size, 2 places)."""
-    by_user = Window.partitionBy(*group, "user_id")
-    cohorts = user_days.withColumn("start_date", F.min("date").over(by_user))
-    sizes = cohorts.groupBy(*group, "start_date", "date").agg(F.count("user_id").alias("users"))
+def _cohort_retention(actions: DataFrame, *group: str) -> DataFrame:
+    """From action rows (group..., user_id, date): group..., start_date, date,
+    day_number, retention (share of the cohort's day-0 size, 2 places).
+
+    One shuffle of the actions, by user: a user's days are gathered as a set,
+    which holds at most one entry per calendar day however active the user is.
+    """
+    by_user = actions.groupBy(*group, "user_id").agg(
+        F.min("date").alias("start_date"), F.collect_set(F.struct("date")).alias("days")
+    )
+    user_days = by_user.select(*group, "user_id", "start_date", F.inline("days"))
+    sizes = user_days.groupBy(*group, "start_date", "date").agg(F.count("user_id").alias("users"))
     peak = F.max("users").over(Window.partitionBy(*group, "start_date"))
     return sizes.select("*", peak.alias("cohort_size")).select(
         *group,
         "start_date",
         "date",
         days_between("date", "start_date").alias("day_number"),
-        round_div("users", "cohort_size", 2).alias("retention"),
+        round_div("users", "nullif(cohort_size, 0)", 2).alias("retention"),
     )
 
 
@@ -161,16 +182,9 @@ def retention(t: DeliveryTables) -> DataFrame:
 
     Columns: start_month, start_date, day_number, retention (users active on
     ``start_date + day_number`` over the cohort size, 2 places).  Any action
-    counts, cancellations included.  The log is reduced to distinct
-    (user, date) before the per-user window.
+    counts, cancellations included.
     """
-    return retention_from_user_days(t.user_actions.select("user_id", day("time").alias("date")).distinct())
-
-
-def retention_from_user_days(user_days: DataFrame) -> DataFrame:
-    """Retention (M18 columns) from distinct (user_id, date) activity rows."""
-    r = _cohort_retention(user_days)
-    return r.select(
+    return _cohort_retention(t.user_actions.select("user_id", day("time").alias("date"))).select(
         F.trunc("start_date", "month").alias("start_month"), "start_date", "day_number", "retention"
     )
 
@@ -190,12 +204,8 @@ def campaign_retention(
     Columns: ads_campaign (label with a space), start_date, day_number,
     retention.  Sorted by campaign and day number.
     """
-    user_days = (
-        _member_paid_actions(t, members_side(members))
-        .select("ads_campaign", "user_id", day("time").alias("date"))
-        .distinct()
-    )
-    r = _cohort_retention(user_days, "ads_campaign")
+    actions = _member_paid_actions(t, members_side(members)).select("ads_campaign", "user_id", day("time").alias("date"))
+    r = _cohort_retention(actions, "ads_campaign")
     return (
         r.filter((F.col("start_date") == F.lit(start_date)) & F.col("day_number").isin(list(days)))
         .select(
@@ -224,19 +234,21 @@ def campaign_payback(
     (2 places).  ``day`` counts from the member's first non-cancelled order
     (by creation date); unknown products add no revenue.  ``payers`` (per
     campaign) defaults to the paying members counted as in
-    :func:`campaign_cac`.  A member of several campaigns counts for the
+    :func:`campaign_cac`; a campaign that a given ``payers`` lacks keeps its
+    rows with null ratios.  A member of several campaigns counts for the
     lowest-numbered one.  Sorted by campaign and day.
 
     Plan: the per-user window of the original runs on (user, day) sums of
     member orders only, and the running sum on (campaign, day) sums, instead
     of on order rows partitioned by the two campaigns.
     """
-    # One pass over the member actions serves both the payer count (per
-    # membership) and the revenue (per user's lowest campaign number).
-    member_actions = _member_paid_actions(t, members_side(members))
-    lowest = members.groupBy("user_id").agg(F.min("ads_campaign").alias("ads_campaign"))
-    first_campaign = members_side(lowest).withColumnRenamed("ads_campaign", "first_campaign")
-    actions = member_actions.join(first_campaign, "user_id").filter(F.col("ads_campaign") == F.col("first_campaign"))
+    # One pass over the members: each membership knows its user's lowest
+    # campaign, so the same member actions give the payer count (every
+    # membership) and the revenue (the lowest campaign's rows).
+    lowest = F.min("ads_campaign").over(Window.partitionBy("user_id"))
+    side = members_side(members).withColumn("lowest", F.col("ads_campaign") == lowest)
+    member_actions = _member_paid_actions(t, side)
+    actions = member_actions.filter("lowest")
     per_user_day = (
         _member_lines(t, actions, "ads_campaign", "user_id", how="left")
         .groupBy("ads_campaign", "user_id", "date")
@@ -256,11 +268,10 @@ def campaign_payback(
         payer_df = t.spark.createDataFrame(
             [(int(k), int(v)) for k, v in sorted(payers.items())], "ads_campaign int, payers bigint"
         )
-    # One row per campaign on both sides: bounded by the campaign parameter.
-    dim = campaign_dim(t.spark, campaigns.spend).join(F.broadcast(payer_df), "ads_campaign")
+    dim = payer_df.join(campaign_dim(t.spark, campaigns.spend), "ads_campaign", "left")
     return (
         per_day.select("ads_campaign", "day", cumulative.alias("cumulative"))
-        .join(F.broadcast(dim), "ads_campaign")
+        .join(dim, "ads_campaign", "left")
         .select(
             campaign_label("ads_campaign", P.CAMPAIGN_LABEL_SPACED).alias("ads_campaign"),
             "day",

@@ -9,21 +9,34 @@ Decimal columns are cast to DOUBLE at this boundary only.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartpulse import params as P
 from cartpulse.functions.dates import day
 from cartpulse.jobs import METRIC_FUNCTIONS, run_metric
 from cartpulse.operators import orders as O
 from cartpulse.operators.audience import first_seen
 from cartpulse.operators.campaign import members_side, with_campaign
 from cartpulse.sources.tables import DeliveryTables
-from cartpulse.sources.tpch import SHARE_THRESHOLD, campaign_members, derive_tables, reduced_vat_predicate
+from cartpulse.sources.tpch import (
+    SHARE_THRESHOLD,
+    TEST_FIXED_COSTS,
+    TEST_SPEND,
+    campaign_members,
+    derive_tables,
+    reduced_vat_predicate,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TEST_COSTS = P.CostModel(
+    tariffs=tuple(replace(t, fixed_per_day=f) for t, f in zip(P.CostModel().tariffs, TEST_FIXED_COSTS, strict=True))
+)
+
 
 def to_boundary(df: DataFrame) -> DataFrame:
     """Cast DECIMAL columns to DOUBLE (exact decimals become the nearest double)."""
@@ -46,6 +59,8 @@ def _with_test_parameters(name: str) -> Callable[[SparkSession, str, DeliveryTab
             members=campaign_members(spark, sf_dir) if needs_members else None,
             threshold=SHARE_THRESHOLD,
             reduced_vat=reduced_vat_predicate(),
+            campaigns=P.Campaigns(spend=TEST_SPEND),
+            cost=TEST_COSTS,
         )
 
     return run
@@ -65,7 +80,7 @@ def _blocks() -> dict[str, Callable[[SparkSession, str, DeliveryTables], DataFra
         return paid.select("user_id", "order_id", "action", day("time").alias("date"))
 
     def priced(spark, sf, t):
-        return O.priced_lines(O.order_lines(t.orders), t.products_side(), "left")
+        return O.priced_lines(O.order_lines(t.orders), t.products, "left")
 
     def paying_members(spark, sf, t):
         members = members_side(campaign_members(spark, sf))

@@ -39,6 +39,7 @@ from cartpulse.operators.orders import (
     paid_flag,
     priced_lines,
     with_cancel_flag,
+    with_own_flag,
 )
 from cartpulse.sources.tables import DeliveryTables
 
@@ -46,7 +47,7 @@ from cartpulse.sources.tables import DeliveryTables
 def _paid_lines(t: DeliveryTables, *extra: str) -> DataFrame:
     """Priced units of non-cancelled orders: date, order_id, product_id, name, price."""
     orders = not_cancelled(t.orders, t.user_actions)
-    return priced_lines(order_lines(orders, *extra), t.products_side())
+    return priced_lines(order_lines(orders, *extra), t.products)
 
 
 def _daily_revenue_base(t: DeliveryTables) -> DataFrame:
@@ -86,7 +87,7 @@ def _users_per_day(ua: DataFrame) -> DataFrame:
     counts come from one aggregation instead of an Expand that doubles the
     rows; a hot user collapses to one row per day in the partial aggregate.
     """
-    flagged = with_cancel_flag(ua, ua)
+    flagged = with_own_flag(ua, S.CANCEL_ORDER, "cancelled")
     per_user = flagged.groupBy(day("time").alias("date"), "user_id").agg(F.max(paid_flag()).alias("paid"))
     known = F.col("user_id").isNotNull()
     return per_user.groupBy("date").agg(
@@ -127,20 +128,30 @@ def running_arpu(t: DeliveryTables) -> DataFrame:
     three daily series are inner-joined on date *before* the running sums, so
     a date without a new user or a new payer is left out of all totals.
     """
-    # Each user's first action date and first paying date from one aggregate
-    # of the flagged log (the paying date is null without a non-cancelled
-    # action; the inner join on date below drops that group, as grouping only
-    # paying rows would).
-    ua = with_cancel_flag(t.user_actions, t.user_actions)
-    per_user = ua.groupBy("user_id").agg(
-        F.min(day("time")).alias("first_date"),
-        F.min(F.when(paid_flag(), day("time"))).alias("first_paid_date"),
+    # One scan of the log: its orders' flags, then each user's first action
+    # date and first paying date, which become two dated rows of one aggregate.
+    # A date without rows of either kind drops out, as in an inner join.
+    per_user = (
+        with_own_flag(t.user_actions, S.CANCEL_ORDER, "cancelled")
+        .groupBy("user_id")
+        .agg(F.min(day("time")).alias("first"), F.min(F.when(paid_flag(), day("time"))).alias("paid"))
     )
-    new_users = per_user.groupBy(F.col("first_date").alias("date")).agg(F.count("user_id").alias("new_users"))
-    new_payers = per_user.groupBy(F.col("first_paid_date").alias("date")).agg(
-        F.count("user_id").alias("new_payers")
+    kinds = F.array(
+        F.struct(F.col("first").alias("date"), F.lit(True).alias("new")),
+        F.struct(F.col("paid").alias("date"), F.lit(False).alias("new")),
     )
-    daily = new_users.join(new_payers, "date").join(_daily_revenue_base(t), "date")
+    dated = per_user.select("user_id", F.inline(kinds)).filter(F.col("date").isNotNull())
+    users = (
+        dated.groupBy("date")
+        .agg(
+            F.count(F.when(F.col("new"), 1)).alias("new_rows"),
+            F.count(F.when(~F.col("new"), 1)).alias("payer_rows"),
+            F.count(F.when(F.col("new"), F.col("user_id"))).alias("new_users"),
+            F.count(F.when(~F.col("new"), F.col("user_id"))).alias("new_payers"),
+        )
+        .filter((F.col("new_rows") > 0) & (F.col("payer_rows") > 0))
+    )
+    daily = users.join(_daily_revenue_base(t), "date")
     running = daily.select(
         "date",
         running_sum("new_users").alias("users"),
@@ -173,7 +184,7 @@ def weekday_arpu(t: DeliveryTables, start=P.WEEKDAY_FROM, end=P.WEEKDAY_TO) -> D
     lo, hi = _ts_lit(start), _ts_lit(end)
     orders = t.orders.filter(F.col("creation_time").between(lo, hi))
     lines = priced_lines(
-        order_lines(not_cancelled(orders, t.user_actions), "creation_time"), t.products_side()
+        order_lines(not_cancelled(orders, t.user_actions), "creation_time"), t.products
     )
     rev = lines.groupBy(
         weekday_name("creation_time").alias("weekday"), iso_weekday("creation_time").alias("weekday_number")
@@ -213,13 +224,14 @@ def new_user_revenue(t: DeliveryTables) -> DataFrame:
     per action date and user, kept where that date is the user's first action
     date.  Dates without new-user revenue are dropped.  Sorted by date.
     """
-    # One pass over the order lines: totals per order keep the creation date,
-    # and the daily revenue is summed from them.
+    # Totals per order, with the creation date, serve both sides from one
+    # exchange: the two daily sums are united and grouped, as a join on date
+    # would push a filter into one of them and part their plans.
     totals = order_totals(_paid_lines(t), "date")
     rev = totals.groupBy("date").agg(F.sum("order_revenue").alias("revenue"))
     # Every action joins its order's total (null for cancelled or unpriced
-    # orders); the (user, date) sums give both the user's first action date
-    # and that day's revenue.
+    # orders); the (user, date) sums give that day's revenue, and a window over a
+    # user's days the first one.
     per_user_day = (
         t.user_actions.filter(F.col("user_id").isNotNull())
         .select(day("time").alias("date"), "user_id", "order_id")
@@ -227,17 +239,24 @@ def new_user_revenue(t: DeliveryTables) -> DataFrame:
         .groupBy("user_id", "date")
         .agg(F.sum("order_revenue").alias("revenue"))
     )
-    first = per_user_day.groupBy("user_id").agg(F.min("date").alias("date"))
+    first = F.min("date").over(Window.partitionBy("user_id"))
     new_rev = (
-        per_user_day.filter(F.col("revenue").isNotNull())
-        .join(first, ["user_id", "date"])
+        per_user_day.withColumn("first", first)
+        .filter((F.col("date") == F.col("first")) & F.col("revenue").isNotNull())
         .groupBy("date")
         .agg(F.sum("revenue").alias("new_users_revenue"))
     )
+    both = rev.select("date", "revenue", F.lit(None).cast("decimal(38,2)").alias("new_users_revenue"), F.lit(1).alias("days")).unionByName(
+        new_rev.select("date", F.lit(None).cast("decimal(38,2)").alias("revenue"), "new_users_revenue", F.lit(2).alias("days"))
+    )
+    daily = (
+        both.groupBy("date")
+        .agg(F.sum("revenue").alias("revenue"), F.sum("new_users_revenue").alias("new_users_revenue"), F.sum("days").alias("days"))
+        .filter(F.col("days") == 3)  # both sides have the date; the new users' side has no null one
+    )
     share = money_pct("new_users_revenue", "revenue")
     return (
-        rev.join(new_rev, "date")
-        .select(
+        daily.select(
             "date",
             "revenue",
             "new_users_revenue",
@@ -321,13 +340,13 @@ def gross_profit(
     total_gross_profit_ratio (percent, 2 places).
     """
     # VAT of one unit depends on the product only: round it to cents once per
-    # product on the (broadcast) dimension side, then sum it over the lines.
+    # product on the dimension side, then sum it over the lines.
     (rn, rd), (sn, sd) = cost.reduced_vat_rate, cost.standard_vat_rate
     cents = "CAST(price * 100 AS BIGINT)"
     unit_tax_c = F.when(
         _reduced_vat(reduced_vat), half_up_div(f"{cents} * {rn}", str(rd), "BIGINT")
     ).otherwise(half_up_div(f"{cents} * {sn}", str(sd), "BIGINT"))
-    taxed = t.products_side(t.products.select("product_id", "price", unit_tax_c.alias("tax_c")))
+    taxed = t.products.select("product_id", "price", unit_tax_c.alias("tax_c"))
     orders = not_cancelled(t.orders, t.user_actions)
     sales = (
         priced_lines(order_lines(orders), taxed)

@@ -3,14 +3,13 @@
 The library never creates a session on its own inside a metric; callers pass
 one in.  ``build_session`` is a convenience for tests, the bench and scripts,
 and ``scratch_dir`` finds the shared folder where intermediate tables may be
-written (``spark.checkpoint.dir``), falling back to a fresh local folder only
-when the session names none (local runs and tests).
+written (``spark.checkpoint.dir``).  No folder is ever made up: a session that
+names none can run every metric, and ``scratch_dir`` raises for it.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -62,30 +61,25 @@ def build_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a local one only if unset.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder; raises when none is configured.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, object
-    store); it is read, never replaced.  A machine-local folder is created
-    only when nothing is configured, which is the case in tests and local
-    benches.
+    On a cluster ``spark.checkpoint.dir`` names a folder that all executors
+    reach (HDFS, object store); it is read, never replaced.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    local = tempfile.mkdtemp(prefix="cartpulse-ckpt-")
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
+    base = checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartpulse import schema as S
-from cartpulse.operators.joins import DEFAULT_BROADCAST_MAX_ROWS, bounded_broadcast
 
 TABLE_NAMES = ("user_actions", "courier_actions", "orders", "products")
 
@@ -18,16 +17,14 @@ TABLE_NAMES = ("user_actions", "courier_actions", "orders", "products")
 class DeliveryTables:
     """user_actions, courier_actions, orders, products as DataFrames.
 
-    ``products`` is the only dimension table; it is broadcast to the large
-    order-line side when its size check passes (see ``products_side``).
+    ``products`` is the only dimension table; Spark broadcasts it to the large
+    order-line side when its bytes are below the session's threshold.
     """
 
     user_actions: DataFrame
     courier_actions: DataFrame
     orders: DataFrame
     products: DataFrame
-    products_broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS
-    _products_small: bool | None = field(default=None, repr=False, compare=False)
 
     @property
     def spark(self) -> SparkSession:
@@ -40,43 +37,29 @@ class DeliveryTables:
             S.conform(self.courier_actions, S.COURIER_ACTIONS, "courier_actions"),
             S.conform(self.orders, S.ORDERS, "orders"),
             S.conform(self.products, S.PRODUCTS, "products"),
-            self.products_broadcast_max_rows,
         )
 
-    def products_side(self, products: DataFrame | None = None) -> DataFrame:
-        """``products`` (or a per-product projection of it) prepared for joining
-        to order lines: broadcast when the size check on ``products`` passes.
-
-        The check runs once per instance; beyond the bound the join is left to
-        the planner (sort-merge, or AQE's runtime choice).
-        """
-        if self._products_small is None:
-            side = bounded_broadcast(self.products, self.products_broadcast_max_rows)
-            self._products_small = side is not self.products
-        df = self.products if products is None else products
-        return F.broadcast(df) if self._products_small else df
-
     # -- parquet I/O ------------------------------------------------------
 
     @classmethod
-    def from_parquet(cls, spark: SparkSession, root: str, **kwargs) -> "DeliveryTables":
+    def from_parquet(cls, spark: SparkSession, root: str) -> "DeliveryTables":
         """Read ``<root>/<table>.parquet`` (file or folder) for the four tables."""
         frames = {name: spark.read.parquet(os.path.join(root, f"{name}.parquet")) for name in TABLE_NAMES}
-        return cls(**frames, **kwargs).conformed()
+        return cls(**frames).conformed()
 
     @classmethod
     def from_paths(
-        cls, spark: SparkSession, user_actions: str, courier_actions: str, orders: str, products: str, **kwargs
+        cls, spark: SparkSession, user_actions: str, courier_actions: str, orders: str, products: str
     ) -> "DeliveryTables":
         """Read the four tables from explicit parquet paths (files or folders)."""
         paths = {"user_actions": user_actions, "courier_actions": courier_actions, "orders": orders, "products": products}
-        return cls(**{name: spark.read.parquet(path) for name, path in paths.items()}, **kwargs).conformed()
+        return cls(**{name: spark.read.parquet(path) for name, path in paths.items()}).conformed()
 
     @classmethod
-    def from_catalog(cls, spark: SparkSession, database: str, prefix: str = "", **kwargs) -> "DeliveryTables":
+    def from_catalog(cls, spark: SparkSession, database: str, prefix: str = "") -> "DeliveryTables":
         """Read the four tables from catalog tables ``database.<prefix><table>``."""
         frames = {name: spark.table(f"{database}.{prefix}{name}") for name in TABLE_NAMES}
-        return cls(**frames, **kwargs).conformed()
+        return cls(**frames).conformed()
 
     def write_bucketed(self, database: str, buckets: int, prefix: str = "", mode: str = "errorifexists") -> None:
         """Save the tables as catalog tables, the three order-keyed ones bucketed
@@ -85,7 +68,7 @@ class DeliveryTables:
         With this layout every ``order_id`` join between them (the "not
         cancelled" anti join, the semi and flag joins, orders to user
         actions) reads co-partitioned buckets and needs no shuffle of either
-        side.  ``products`` is saved plain: it is broadcast.
+        side.  ``products`` is saved plain.
         """
         for name in TABLE_NAMES:
             writer = getattr(self, name).write.mode(mode).format("parquet")

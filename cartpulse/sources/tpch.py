@@ -34,6 +34,7 @@ is produced in one pass with ``inline`` instead of a union of two scans.
 from __future__ import annotations
 
 import os
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,10 @@ CAMPAIGN_RULE = {1: 8, 2: 22}  # campaign -> o_custkey % 28
 CAMPAIGN_MODULUS = 28
 REDUCED_VAT_SECOND_WORDS = ("widget", "rod")
 SHARE_THRESHOLD = "1.5"
+# Spend and monthly fixed costs of the registered queries: large enough that payback and
+# break-even fall inside the data, with cents, and one campaign that never pays back.
+TEST_SPEND = {1: Decimal("1000000.75"), 2: Decimal("5000000.50")}
+TEST_FIXED_COSTS = (1500000, 2000000)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,10 @@ def spark():
         master="local[*]",
         shuffle_partitions=8,
         app_name="cartpulse-tests",
-        extra_conf={"spark.sql.warehouse.dir": warehouse},
+        extra_conf={
+            "spark.sql.warehouse.dir": warehouse,
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="cartpulse-checkpoints-"),
+        },
     )
     yield s
     s.stop()

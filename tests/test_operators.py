@@ -1,5 +1,4 @@
-"""Building blocks: null-safe anti join, size-checked broadcast and its
-fallback, schema validation."""
+"""Building blocks: null-safe anti join, flags, joins without a broadcast, schema validation."""
 
 from __future__ import annotations
 
@@ -9,8 +8,7 @@ import pytest
 from conftest import edge_tables, rows
 
 from cartpulse import schema as S
-from cartpulse.operators.joins import bounded_broadcast
-from cartpulse.operators.orders import cancelled_orders, not_cancelled, with_cancel_flag
+from cartpulse.operators.orders import cancelled_orders, not_cancelled, with_cancel_flag, with_own_flag
 from cartpulse.plans import revenue as R
 from cartpulse.sources.tables import DeliveryTables
 
@@ -36,31 +34,22 @@ def test_not_cancelled_drops_null_and_cancelled_ids(spark):
     assert with_cancel_flag(ua, ua).count() == ua.count()  # the flag join never multiplies rows
 
 
-def test_bounded_broadcast_hints_only_under_the_bound(spark):
-    small = spark.range(10).withColumnRenamed("id", "k")
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        hinted = big.join(bounded_broadcast(small, max_rows=100), "k")
-        plain = big.join(bounded_broadcast(small, max_rows=5), "k")
-        assert "BroadcastHashJoin" in hinted._jdf.queryExecution().sparkPlan().toString()
-        assert "SortMergeJoin" in plain._jdf.queryExecution().sparkPlan().toString()
-        assert hinted.count() == plain.count() == 10
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+def test_own_flag_equals_the_flag_join(spark):
+    rows_ = [(u, o, a, T0 if u else None) for u in (1, 2, None) for o in (10, 11, None) for a in (S.CREATE_ORDER, S.CANCEL_ORDER) if (o, a) != (11, S.CANCEL_ORDER)]
+    log = spark.createDataFrame(rows_ * 3, S.USER_ACTIONS)
+    own = with_own_flag(log, S.CANCEL_ORDER, "cancelled").collect()
+    assert sorted(map(str, own)) == sorted(map(str, with_cancel_flag(log, log).select(*log.columns, "cancelled").collect()))
 
 
 def test_metrics_equal_when_products_are_not_broadcast(spark):
     t = edge_tables(spark)
-    over = DeliveryTables(t.user_actions, t.courier_actions, t.orders, t.products, products_broadcast_max_rows=0)
+    metrics = (R.daily_revenue, R.gross_profit, R.product_revenue_share)
+    want = [sorted(metric(t).collect()) for metric in metrics]
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for metric in (R.daily_revenue, R.gross_profit, R.product_revenue_share):
-            assert sorted(metric(over).collect()) == sorted(metric(t).collect())
-        plan = R.daily_revenue(over)._jdf.queryExecution().sparkPlan().toString()
-        assert "SortMergeJoin" in plan
+        assert [sorted(metric(t).collect()) for metric in metrics] == want
+        assert "SortMergeJoin" in R.daily_revenue(t)._jdf.queryExecution().sparkPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
 

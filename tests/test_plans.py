@@ -7,6 +7,7 @@ from __future__ import annotations
 import pytest
 from conftest import SF_SMALL
 
+from cartpulse.jobs import METRIC_FUNCTIONS
 from cartpulse.plans.registry import METRICS
 from cartpulse.sources.tables import DeliveryTables
 from cartpulse.sources.tpch import derive_tables
@@ -109,22 +110,50 @@ def test_report_windows_reach_the_scan(spark, tables):
     assert "GreaterThanOrEqual(time,2022-09-01T00:00), LessThan(time,2022-09-08T00:00)" in week
 
 
-def test_member_joins_stay_broadcast_without_auto_broadcast(spark, tables):
-    from cartpulse.plans import marketing as M
+def test_building_metrics_and_views_starts_no_job(spark, tables):
+    from cartpulse.jobs import register_views
     from cartpulse.sources.tpch import campaign_members
 
+    members = campaign_members(spark, SF_SMALL)
+    sc = spark.sparkContext
+    sc.setJobGroup("lazy", "lazy")
+    try:
+        register_views(spark, tables, members, prefix="lazy_")
+        for name in METRICS:
+            METRICS[name](spark, SF_SMALL, tables)
+        # reading a parquet schema is a job of its own, and campaign_members reads one per call
+        assert len(sc.statusTracker().getJobIdsForGroup("lazy")) <= sum(needs for _, needs in METRIC_FUNCTIONS.values())
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def executed(spark, df) -> str:
+    """The final plan with broadcasts off, exchanges that are reused printed once."""
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        members = campaign_members(spark, SF_SMALL)
-        for df in (M.campaign_payback(tables, members), M.campaign_cac(tables, members)):
-            plan = df._jdf.queryExecution().sparkPlan().toString()
-            # the user log is never shuffled by user_id to meet the members
-            assert "SortMergeJoin [user_id" not in plan
+        return df.select("*")._jdf.queryExecution().executedPlan().toString()
     finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
 
 
+@pytest.mark.parametrize(
+    ("name", "scans", "explodes"),
+    [("active_audience", 2, 0), ("courier_load", 3, 0), ("running_arpu", 4, 1), ("new_user_revenue", 4, 1), ("retention", 1, 0)],
+)
+def test_large_tables_are_read_once(spark, tables, name, scans, explodes):
+    text = executed(spark, METRICS[name](spark, SF_SMALL, tables))
+    assert text.count("FileScan parquet") <= scans, text
+    assert text.count("Generate explode") == explodes, text
+
+
+def test_retention_shuffles_the_log_once(spark, tables):
+    text = executed(spark, METRICS["retention"](spark, SF_SMALL, tables))
+    assert text.count("Exchange hashpartitioning(user_id") == 1
+
+
 def test_all_metrics_equal_on_bucketed_tables(spark, tables):
     db = "cartpulse_bucket_all"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
