@@ -13,11 +13,14 @@ through the driver).  Parameters default to the original analysis' values.
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import json
 import os
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cartpulse import params as P
 from cartpulse.plans import audience as A
@@ -100,6 +103,8 @@ def register_views(
     members: DataFrame | None = None,
     campaigns: P.Campaigns | None = None,
     prefix: str = "",
+    cost: P.CostModel | None = None,
+    options: dict[str, dict] | None = None,
 ) -> list[str]:
     """Register the four tables and every applicable metric as temporary views.
 
@@ -117,7 +122,7 @@ def register_views(
     for name, (_, needs_members) in METRIC_FUNCTIONS.items():
         if needs_members and members is None:
             continue
-        run_metric(name, tables, members, campaigns).createOrReplaceTempView(prefix + name)
+        run_metric(name, tables, members, campaigns, cost=cost, options=options).createOrReplaceTempView(prefix + name)
         names.append(prefix + name)
     return names
 
@@ -131,6 +136,8 @@ def run_job(
     campaigns: P.Campaigns | None = None,
     threshold: str | None = None,
     fmt: str = "parquet",
+    cost: P.CostModel | None = None,
+    options: dict[str, dict] | None = None,
 ) -> list[str]:
     """Write each metric to ``<out>/<name>``; returns the names written.
 
@@ -139,7 +146,7 @@ def run_job(
     """
     chosen = names or [n for n, (_, needs) in METRIC_FUNCTIONS.items() if members is not None or not needs]
     for name in chosen:
-        df = run_metric(name, tables, members, campaigns, threshold)
+        df = run_metric(name, tables, members, campaigns, threshold, cost=cost, options=options)
         writer = df.write.mode("overwrite").format(fmt)
         if fmt == "csv":
             writer = writer.option("header", "true")
@@ -147,19 +154,63 @@ def run_job(
     return chosen
 
 
+# Report parameters that the command line may give, as JSON, by metric; dates and times as ISO text.
+_DATE_OPTIONS = {"start", "end", "start_date"}
+
+
+def parse_options(text: str) -> dict[str, dict]:
+    """``{"campaign_avg_check": {"start": "2024-01-01", ...}, ...}`` as keyword arguments of the metrics."""
+    out = {}
+    for name, given in json.loads(text).items():
+        if name not in METRIC_FUNCTIONS:
+            raise ValueError(f"unknown metric: {name}")
+        kwargs = {}
+        for key, value in given.items():
+            if key in _DATE_OPTIONS:
+                value = dt.datetime.fromisoformat(value) if len(value) > 10 else dt.date.fromisoformat(value)
+            elif key == "days":
+                value = tuple(int(x) for x in value)
+            elif key == "payers":
+                value = {int(k): int(v) for k, v in value.items()}
+            kwargs[key] = value
+        out[name] = kwargs
+    return out
+
+
+def parse_tariffs(text: str) -> P.CostModel:
+    """``[["2024-01-01", assembly, fixed per day, courier bonus], ...]`` as a cost model."""
+    rows = [P.Tariff(dt.date.fromisoformat(month), *map(int, rest)) for month, *rest in json.loads(text)]
+    return P.CostModel(tariffs=tuple(rows))
+
+
+def write_layout(tables: DeliveryTables, database: str, buckets: int) -> None:
+    """Save the tables bucketed by ``order_id`` in ``database``, and each log also by action date (``<log>_by_date``)."""
+    tables.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    tables.write_bucketed(database, buckets)
+    for name in ("user_actions", "courier_actions"):
+        log = getattr(tables, name).withColumn("action_date", F.to_date("time"))
+        log.write.partitionBy("action_date").format("parquet").saveAsTable(f"{database}.{name}_by_date")
+
+
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="cartpulse", description=__doc__.split("\n\n")[0])
     src = ap.add_mutually_exclusive_group(required=True)
     src.add_argument("--tables", help="folder with <table>.parquet folders")
     src.add_argument("--database", help="catalog database holding the four tables")
     ap.add_argument("--members", help="parquet folder of (ads_campaign, user_id)")
-    ap.add_argument("--out", required=True, help="output folder; one sub-folder per metric")
+    ap.add_argument("--out", help="output folder; one sub-folder per metric")
+    ap.add_argument("--layout", help="instead of metrics: save the tables bucketed by order in this catalog database")
+    ap.add_argument("--buckets", type=int, default=256, help="buckets of --layout")
+    ap.add_argument("--tariffs", help='monthly tariffs as JSON: [["2022-08-01", 140, 120000, 400], ...]')
+    ap.add_argument("--options", help='report parameters as JSON by metric: {"campaign_avg_check": {"start": "2022-09-01"}}')
     ap.add_argument("--metrics", help="comma-separated metric names (default: all that apply)")
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv", "json", "orc"])
     ap.add_argument("--spend", help='campaign spend as JSON, e.g. {"1": 250000, "2": 250000}')
     ap.add_argument("--threshold", help="product share threshold in percent (default 0.5)")
     args = ap.parse_args(argv)
     names = [n.strip() for n in args.metrics.split(",")] if args.metrics else None
+    if not args.out and not args.layout:
+        ap.error("--out or --layout is needed")
     unknown = sorted(set(names or []) - set(METRIC_FUNCTIONS))
     if unknown:
         ap.error(f"unknown metrics: {unknown}; known: {sorted(METRIC_FUNCTIONS)}")
@@ -172,6 +223,12 @@ def main(argv: list[str] | None = None) -> None:
         tables = DeliveryTables.from_parquet(spark, args.tables)
     else:
         tables = DeliveryTables.from_catalog(spark, args.database)
+    if args.layout:
+        write_layout(tables, args.layout, args.buckets)
+        return
     members = spark.read.parquet(args.members) if args.members else None
-    campaigns = P.Campaigns(spend={int(k): int(v) for k, v in json.loads(args.spend).items()}) if args.spend else None
-    run_job(spark, tables, args.out, names, members, campaigns, args.threshold, args.format)
+    spend = json.loads(args.spend, parse_float=Decimal) if args.spend else None
+    campaigns = P.Campaigns(spend={int(k): Decimal(str(v)) for k, v in spend.items()}) if spend else None
+    cost = parse_tariffs(args.tariffs) if args.tariffs else None
+    options = parse_options(args.options) if args.options else None
+    run_job(spark, tables, args.out, names, members, campaigns, args.threshold, args.format, cost, options)

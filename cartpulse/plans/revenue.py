@@ -273,14 +273,18 @@ SHARE_PLACES = 12
 
 
 def product_revenue_share(
-    t: DeliveryTables, threshold: str = P.OTHER_SHARE_THRESHOLD, other_label: str = P.OTHER_LABEL
+    t: DeliveryTables,
+    threshold: str = P.OTHER_SHARE_THRESHOLD,
+    other_label: str = P.OTHER_LABEL,
+    rounded: bool = False,
 ) -> DataFrame:
     """Revenue per product name and its share of all revenue, small names merged.
 
     Columns: product_name, revenue, share_in_revenue (percent, unrounded in
     the analysis; here exact to 12 places).  Names whose share is below
     ``threshold`` percent are merged under ``other_label`` (revenues and
-    shares summed).  Sorted by revenue, descending.
+    shares summed); with ``rounded=True`` the share rounded to 2 places is
+    compared instead.  Sorted by revenue, descending.
 
     The total is a one-row aggregate joined to every name (a broadcast of one
     row), not a window over all lines.
@@ -290,6 +294,8 @@ def product_revenue_share(
     rev_c, tot_c = units_sql("revenue", 2), units_sql("total", 2)
     small = F.expr(f"{rev_c} * 100 < {tot_c} * {Decimal(str(threshold))}")
     share = half_up_div_sql(f"{rev_c} * {100 * 10**SHARE_PLACES}", tot_c)
+    if rounded:
+        small = F.expr(f"{half_up_div_sql(f'{rev_c} * 10000', tot_c)} < {Decimal(str(threshold)) * 100}")
     labelled = per_name.crossJoin(F.broadcast(total)).select(
         F.when(small, F.lit(other_label)).otherwise(F.col("product_name")).alias("product_name"),
         "revenue",

@@ -63,11 +63,10 @@ def test_new_users_with_hot_user(hot):
     assert got == {k: int(v) for k, v in first.items()}
 
 
-def test_per_user_window_sees_deduplicated_rows(hot):
+def test_retention_gathers_days_not_actions(hot):
     t, _ = hot
     df = M.retention(t)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    # The window partitioned by user_id sits above the (user, date) aggregate.
-    window_at = plan.find("Window [min(")
-    agg_at = plan.find("Aggregate [user_id", window_at)
-    assert window_at >= 0 and agg_at > window_at
+    # A user's rows become a set of days in one aggregate; the window runs on (start date, date) rows.
+    assert "collect_set" in plan
+    assert plan.find("Window [max(users") < plan.find("Aggregate [user_id")
