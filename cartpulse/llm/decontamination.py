@@ -147,3 +147,45 @@ def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     bad = checked_broadcast(written(leaks(docs, items, key, text).select(F.col(key).alias("leak"), "text_hash").distinct(), "leaks"))
     same = docs[key].eqNullSafe(bad["leak"]) & (F.xxhash64(docs[text]) == bad["text_hash"])
     return docs.join(bad, same, "left_anti")
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``leaks`` over ``documents`` and ``benchmark`` (without ``text_hash``): windows as lists, joined by value."""
+    token = _TOKEN.replace("\\n", "\n")
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    plain = lambda w: f"CASE WHEN lower({w}) IN ({units}) THEN '{UNIT}' ELSE lower({w}) END"
+    bare = r"regexp_replace(w, '^[^\p{L}\p{N}]+', '')"
+    canonical = (
+        f"list_transform(raw, lambda w, i: CASE WHEN w[1] BETWEEN '0' AND '9' THEN '{NUMBER}' "
+        f"WHEN w[1] IN ('.', '!', '?', chr(10)) THEN CASE WHEN regexp_matches({bare}, '^[0-9]') THEN '{NUMBER}' ELSE {plain(bare)} END "
+        f"WHEN i > 1 AND w[1] <> lower(w[1]) THEN '{NAME}' ELSE {plain('w')} END)"
+    )
+    parsed = f"SELECT id, raw, {canonical} AS tokens, list_transform(raw, lambda w: {bare}) AS vals FROM (SELECT <id> AS id, regexp_extract_all(text, '{token}') AS raw FROM <table> WHERE text IS NOT NULL)"
+    of = lambda name, table: parsed.replace("<id>", name).replace("<table>", table)
+    slot = f"IN ('{NUMBER}', '{NAME}', '{UNIT}')"
+    return f"""
+WITH item AS (SELECT *, len(tokens) AS n, least(len(tokens), {WINDOW}) AS width FROM ({of('item_id', 'benchmark')}) WHERE len(tokens) >= {MIN_ITEM}),
+doc AS ({of('doc_id', '(SELECT DISTINCT doc_id, text FROM documents)')}),
+iw AS (SELECT id, width, pos, tokens[pos + 1:pos + width] AS win FROM (SELECT *, unnest(range(0, n - width + 1)) AS pos FROM item)),
+known AS (SELECT * FROM iw WHERE len(list_filter(win, lambda w: w NOT {slot})) >= least({MIN_WORDS}, width)),
+dw AS (SELECT id, width, place, tokens[place + 1:place + width] AS win
+       FROM (SELECT id, tokens, width, unnest(range(0, greatest(len(tokens) - width + 1, 0))) AS place
+             FROM doc, (SELECT DISTINCT width FROM known))),
+met AS (SELECT DISTINCT dw.id AS doc_id, k.id AS item_id, k.pos, k.width, dw.place - k.pos AS shift
+        FROM dw JOIN known k ON k.width = dw.width AND k.win = dw.win),
+windows AS (SELECT doc_id, item_id, shift, count(*) AS windows FROM met GROUP BY ALL),
+covered AS (SELECT DISTINCT doc_id, item_id, shift, pos + unnest(range(0, width)) AS q FROM met),
+slots AS (SELECT c.*, i.n, i.tokens[q + 1] {slot} AS slot, i.tokens[q + 1] AS kind, i.vals[q + 1] AS ours, d.vals[q + shift + 1] AS theirs
+          FROM covered c JOIN item i ON i.id = c.item_id JOIN doc d ON d.id = c.doc_id),
+aligned AS (SELECT doc_id, item_id, shift, count(*) FILTER (slot) AS slots, count(*) FILTER (slot AND ours <> theirs) AS changed,
+                   count(DISTINCT (kind, ours, theirs)) FILTER (slot) AS pairs, count(DISTINCT (kind, ours)) FILTER (slot) AS left_,
+                   count(DISTINCT (kind, theirs)) FILTER (slot) AS right_
+            FROM slots GROUP BY ALL),
+good AS (SELECT a.*, w.windows FROM aligned a JOIN windows w USING (doc_id, item_id, shift) WHERE pairs = left_ AND pairs = right_),
+tokens AS (SELECT s.doc_id, s.item_id, count(DISTINCT s.q) AS tokens, max(s.n) AS n
+           FROM slots s JOIN good g USING (doc_id, item_id, shift) GROUP BY ALL),
+whole AS (SELECT doc_id, item_id, sum(windows) AS n_windows, sum(slots) AS n_slots, sum(changed) AS n_changed FROM good GROUP BY ALL)
+SELECT doc_id, item_id, CAST(t.tokens AS DOUBLE) / t.n AS coverage, CAST(n_windows AS BIGINT) AS n_windows, CAST(n_slots AS BIGINT) AS n_slots,
+       CAST(n_changed AS BIGINT) AS n_changed, CASE WHEN n_changed > 0 THEN 'reparameterised' ELSE 'verbatim' END AS kind
+FROM whole JOIN tokens t USING (doc_id, item_id) WHERE CAST(t.tokens AS DOUBLE) / t.n >= {COVERAGE}
+"""

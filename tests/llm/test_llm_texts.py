@@ -135,13 +135,14 @@ def test_license_units_equal_brute_force(spark):
     assert sorted(((r.doc_id, r.level, r.unit, r.license_id, r.dice) for r in got), key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("name", ["op3_license_dice"])
+@pytest.mark.parametrize("name", ["op3_license_dice", "op6_template_windows"])
 def test_sql_gives_the_same(spark, name):
     import duckdb
 
     from cartpulse.llm import queries
 
     con = duckdb.connect()
-    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
     have = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert sorted(map(tuple, have.collect())) == sorted(con.execute(queries.ORACLE_SQL[name]).fetchall())
