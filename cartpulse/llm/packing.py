@@ -32,6 +32,10 @@ CAPACITY = 2048
 END_ID = 0
 CACHED_WORDS = 400_000  # a task's word cache is emptied beyond this, so its memory is bounded
 
+# Byte-level vocabularies write a byte that is no visible Latin-1 character as the next free one from 256 on (the space here stays).
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_BYTES = {b: 256 + n for n, b in enumerate(_HIDDEN) if b != 32}
+
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -45,11 +49,15 @@ class WordEncoder:
     def __init__(self, path: str):
         import os
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        # For lower-case Latin-1 letters normalising and splitting do nothing, so this one leaves them out
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -84,10 +92,13 @@ class WordEncoder:
         plain = {w for w in new if w.isalpha()}
         rest = new - plain - set(marked) | {w[-1] for w in marked if w[-1] not in cache}
         plain.update(w[:-1] for w in marked if w[:-1] not in cache)
-        plain = list(plain)
-        for at in range(0, len(plain), 10_000):
-            some = plain[at : at + 10_000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+        odd = {w for w in plain if not w.isascii() and max(w) > "\xff"}
+        rest |= odd
+        plain = list(plain - odd)
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            seen = " ".join(some).lower().encode().decode("latin-1").translate(_BYTES)
+            ids = np.array(self.letters.encode(seen, add_special_tokens=False).ids, dtype="<u4")
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) != len(some):
                 rest.update(some)
