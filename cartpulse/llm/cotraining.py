@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pd.DataFrame({"k": batch["k"].astype(str), "y": batch["y"], "a": list(a), "b": list(b)})
 
     schema = "k string, y double, a array<double>, b array<double>"
-    learn = rows.join(F.broadcast(chosen), "k").dropDuplicates(["k"]).mapInPandas(vectors, schema).collect()
+    learn = rows.join(F.broadcast(chosen), "k").mapInPandas(vectors, schema).groupBy("k").agg(F.min(F.struct("y", "a", "b")).alias("x")).select("k", "x.*").limit(TRAIN_ROWS).collect()
     pool = (
         rows.filter(draw(22, POOL_ROWS, n_rows) & ~held_out("k")).join(marked.select("k"), "k", "left_anti").withColumn("y", F.lit(0.0))
         .limit(POOL_ROWS).mapInPandas(vectors, schema).collect()

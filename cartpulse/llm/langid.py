@@ -61,7 +61,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         return {}
     draw = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1 << 30))
     share = F.create_map(*(F.lit(x) for l, n in sorted(counts.items()) for x in (l, min(1 << 30, int((1 << 30) * TRAIN_ROWS * 0.75 / n) + 1))))
-    sample = rows.withColumn("d", draw).filter(F.col("d") < share[F.col("l")]).dropDuplicates(["l", "t"])
+    drawn = rows.withColumn("d", draw).filter(F.col("d") < share[F.col("l")])
+    sample = drawn.groupBy("l", "t").agg(F.min(F.struct("d", "k")).alias("x")).select("l", "t", "x.d", "x.k")  # copies once, always the same way
     got: dict[str, list[tuple[int, int, str]]] = {l: [] for l in counts}
     for r in sample.select("l", "k", "d", "t").limit(TRAIN_ROWS * len(counts)).collect():
         got[r["l"]].append((r["d"], r["k"], r["t"]))

@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pd.DataFrame({"k": batch["k"], "y": batch["y"], "s": [features(t or "", last).tobytes() for t in batch["t"]]})
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = sample.mapInPandas(slots, f"k {kind}, y int, s binary").dropDuplicates(["k"]).limit(2 * TRAIN_ROWS).collect()
+    rows = sample.mapInPandas(slots, f"k {kind}, y int, s binary").groupBy("k").agg(F.min(F.struct("y", "s")).alias("x")).select("k", "x.y", "x.s").limit(2 * TRAIN_ROWS).collect()
     rows.sort(key=lambda r: r["k"])
     return fit([np.frombuffer(r["s"], dtype=np.int32) for r in rows], np.array([r["y"] for r in rows]), prior)
 
