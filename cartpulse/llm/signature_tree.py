@@ -7,8 +7,10 @@ A document is the set of its word n-grams.  Two documents link when
 2. The root of the tree deals classes out.  Its entries are size ranges, and in each range the token space is cut
    into P parts.  Two linked sets of a range differ in at most H tokens, so at least P - H parts hold
    the same tokens in both: each set is filed under the hash of its tokens in each part,
-   and every linked pair meets in a subtree (exactly: no sampling, no probability).  Parts of at most one token are
-   left out unless a set has more than ``P - H - 1`` of them, as then another part must agree.
+   and every linked pair meets in a subtree (exactly: no sampling, no probability).  Weak parts, which hold only
+   frequent n-grams or none, are left out unless a set has more than ``P - H - 1`` of them, as then a part that isn't
+   weak must agree too; so documents that merely share a common passage don't meet.  Which n-grams count as frequent is read off
+   a bounded sample of texts; whatever it says, the same pairs are found, at another cost.
 3. Classes that meet, directly or through others, form a subtree (connected components in Spark), and their texts
    are gathered.  In a subtree, hierarchical nodes hold OR-combined token bitmaps and size ranges; a dual
    traversal from the top prunes pairs of nodes whose maximum possible overlap can't reach the threshold, and
@@ -34,10 +36,12 @@ from pyspark.sql import functions as F
 
 from cartpulse.llm.common import checked_broadcast, component_roots, written
 
-GROUP_TOKENS = 2_000_000  # n-grams of a block: 16 MB of hashes
+GROUP_TOKENS = 1_000_000  # n-grams of a block: 8 MB of hashes
 LEAF = 32
 BITMAP_WORDS = 64  # 64-bit words of a bitmap: 4096 bits
 RANGE = 1.25  # ratio of the ends of a size range
+SAMPLE_TEXTS = 4096  # texts in which frequent n-grams are looked for: those that two of them share
+FREQUENT = 400_000  # at most so many, the most frequent ones
 CACHED_WORDS = 500_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -106,13 +110,18 @@ class Ranges:
         differ = (self.den - self.num) * most // (self.den + self.num)
         if not differ:
             return 0, 0
-        spare = 1 + differ // 12
+        spare = 1 + differ // 6
         return differ + 1 + spare, spare
 
 
-def part_keys(tokens: np.ndarray, ranges: Ranges) -> np.ndarray:
-    """The keys a set is filed under."""
+def part_keys(tokens: np.ndarray, ranges: Ranges, frequent: np.ndarray | None = None) -> np.ndarray:
+    """The keys a set is filed under.  ``frequent``: sorted hashes of n-grams that make no part strong."""
     out = []
+    rare = np.ones(len(tokens), dtype=bool)
+    if frequent is not None and len(frequent):
+        at = np.searchsorted(frequent, tokens)
+        at[at == len(frequent)] = 0
+        rare = frequent[at] != tokens
     for k in ranges.of(len(tokens)):
         parts, spare = ranges.parts(k)
         if not parts:
@@ -124,12 +133,12 @@ def part_keys(tokens: np.ndarray, ranges: Ranges) -> np.ndarray:
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed(tokens[order]), dtype=np.uint64)])
         keys = sums[ends] - sums[ends - sizes]
         keys = mixed(keys + mixed(np.arange(parts, dtype=np.uint64) + np.uint64(k << 32)))
-        weak = sizes <= 1
+        weak = np.bincount(part[rare], minlength=parts) == 0
         out.append(keys if weak.sum() > spare else keys[~weak])
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def _file(n: int, num: int, den: int):
+def _file(n: int, num: int, den: int, frequent: np.ndarray):
     """Per batch: a row (spread key, class, document) per document, and rows (key, class) for the keys.
 
     Of the classes of a batch that share a key only the smallest is filed under it; the others are tied to
@@ -148,7 +157,7 @@ def _file(n: int, num: int, den: int):
                 classes.append(h)
                 if len(tokens) and h not in seen:
                     seen.add(h)
-                    own = part_keys(tokens, ranges)
+                    own = part_keys(tokens, ranges, frequent)
                     if len(own):
                         keys.append(own)
                         owners.append(np.full(len(own), h, dtype=np.uint64))
@@ -322,6 +331,22 @@ def _compare(n: int, num: int, den: int):
     return run
 
 
+def frequent_shingles(docs: DataFrame, text: str, n: int) -> np.ndarray:
+    """Sorted hashes of the n-grams that at least two of ``SAMPLE_TEXTS`` different texts share (at most ``FREQUENT``)."""
+    texts = docs.select(F.col(text).alias("_text")).filter(F.length("_text") > 0)
+    share = int((1 << 30) * min(1.0, 0.95 * SAMPLE_TEXTS / max(texts.count(), 1))) + 1
+    sample = texts.filter(F.pmod(F.xxhash64("_text", F.lit(13)), F.lit(1 << 30)) < share).distinct().limit(SAMPLE_TEXTS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for t in batch["_text"].tolist():
+                yield pd.DataFrame({"token": shingles(t, n).view(np.int64)})
+
+    counts = sample.mapInPandas(run, "token long").groupBy("token").count().filter("count > 1")
+    rows = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).select("token").toPandas()
+    return np.sort(rows["token"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
 def jaccard_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 9, den: int = 10
 ) -> DataFrame:
@@ -333,7 +358,7 @@ def jaccard_components(
     """
     kind = docs.schema[key].dataType.simpleString()
     filed = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(
-        _file(n, num, den), f"key long, class long, doc {kind}, size long"
+        _file(n, num, den, frequent_shingles(docs, text, n)), f"key long, class long, doc {kind}, size long"
     )
     # rows of a key lie side by side after one shuffle; a key's smallest class stands for it
     met = written(
