@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,7 +83,9 @@ def scan(
     wordless texts have no unit; repeated rows give repeated results.
     """
     sets = {name: bigrams(body) for name, body in sorted(templates.items()) if bigrams(body)}
-    bound = threshold / (2 - threshold)
+    t = Fraction(str(threshold))
+    least = lambda n: math.ceil(n * t / (2 - t))  # noqa: E731  sizes that can reach the threshold with n bigrams
+    most = lambda n: math.floor(n * (2 - t) / t)
     lines = F.split("t", "\n")
     paragraphs = F.split("t", r"\n[ \t]*\n")
     units = F.expr(
@@ -90,30 +93,32 @@ def scan(
         "filter(transform(paragraphs, (x, i) -> named_struct('level', 'paragraph', 'unit', i, 'body', x)), p -> size(paragraphs) > 1 AND instr(trim('\\n', p.body), '\\n') > 0), "
         "CASE WHEN size(lines) > 1 THEN array(named_struct('level', 'text', 'unit', 0, 'body', t)) ELSE array() END)"
     )
-    low = min(math.ceil(len(s) * bound) for s in sets.values())
-    high = max(int(len(s) / bound) for s in sets.values())
-    first = sorted({b for s in sets.values() for b in s[: len(s) - math.ceil(threshold / 2 * (len(s) + math.ceil(len(s) * bound))) + 1]})
+    low = min(least(len(s)) for s in sets.values())
+    high = max(most(len(s)) for s in sets.values())
+    first = sorted({b for s in sets.values() for b in s[: len(s) - math.ceil(t / 2 * (len(s) + least(len(s)))) + 1]})
+    once = lambda name, expr: F.explode(F.array(F.expr(expr))).alias(name)  # noqa: E731  a filter isn't pushed below a generator, so it is computed once
     scored = (
         docs.select(F.col(key).alias("name"), F.col(text).alias("t")).filter("t IS NOT NULL")
         .select("name", "t", lines.alias("lines"), paragraphs.alias("paragraphs"))
         .select("name", F.explode(units).alias("u"))
-        .select("name", "u.level", "u.unit", "u.body", F.expr("filter(split(lower(u.body), '[^a-z0-9]+'), w -> w <> '')").alias("words"))
+        .select("name", "u", once("words", "filter(split(lower(u.body), '[^a-z0-9]+'), w -> w <> '')"))
         # a unit with repeated bigrams may have many more words, so only the lower bound holds for words
         .filter(F.size("words") > low)
-        .withColumn("grams", F.expr("array_distinct(zip_with(slice(words, 1, size(words) - 1), slice(words, 2, size(words) - 1), (a, b) -> concat(a, ' ', b)))"))
+        .select("name", "u", once("grams", "array_distinct(zip_with(slice(words, 1, size(words) - 1), slice(words, 2, size(words) - 1), (a, b) -> concat(a, ' ', b)))"))
         .filter(F.size("grams").between(low, high))
         .filter(F.expr(f"exists(grams, g -> g IN ({_array(first)[6:-1]}))"))
+        .select("name", "u.level", "u.unit", "u.body", "grams")
     )
     tests = []
     for name, s in sets.items():
         n = len(s)
         tests.append(
-            f"CASE WHEN size(grams) BETWEEN {math.ceil(n * bound)} AND {int(n / bound)} THEN named_struct('dice', "
+            f"CASE WHEN size(grams) BETWEEN {least(n)} AND {most(n)} THEN named_struct('dice', "
             f"CAST(2 * size(array_intersect(grams, {_array(s)})) AS DOUBLE) / (size(grams) + {n}), 'license_id', '{name}') END"
         )
     best = f"array_sort(filter(array({', '.join(tests)}), x -> x.dice >= {threshold}D), (a, b) -> CASE WHEN a.dice > b.dice THEN -1 WHEN a.dice < b.dice THEN 1 WHEN a.license_id < b.license_id THEN -1 ELSE 1 END)"
     return (
-        scored.withColumn("best", F.expr(f"try_element_at({best}, 1)"))
+        scored.select("name", "level", "unit", "body", once("best", f"try_element_at({best}, 1)"))
         .filter("best IS NOT NULL")
         .select(F.col("name").alias(key), "level", "unit", "best.license_id", "best.dice", "body")
     )
