@@ -11,9 +11,9 @@ def personal_rows() -> list[tuple]:
     rng = random.Random(2)
     parts = ["a@b.c", "1.2.3.4", "4111 1111 1111 1111", "+1 (555) 222-3333", "é", "\U0001f600 ", " ", "\n", "x", "9", "-", "+", ".", "@",
              "300.1.1.1", "007.0.0.1", "ab.c%d@e-f.gh.", "5500-0000-0000-0004", "word", "call", "%", "_d@e.f"]
-    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 40)))) for i in range(600)]
-    rows += [(5000, None), (5001, ""), (5002, "a" * 200_000), (5003, "a@b.c " * 600), (5004, "1." * 2000), (5005, "1 " * 20_000)]
-    rows += [(5006, "a." * 20_000 + "@" + "b." * 20_000), (5007, "+" + "1 " * 20_000), (None, "mail a@b.c now"), (7, "dup 1.2.3.4"), (7, "dup 1.2.3.4")]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 40)))) for i in range(150)]
+    rows += [(5000, None), (5001, ""), (5002, "a" * 200_000), (5003, "a@b.c " * 60), (5004, "1." * 200), (5005, "1 " * 2000)]
+    rows += [(5006, "a." * 2000 + "@" + "b." * 2000), (5007, "+" + "1 " * 2000), (None, "mail a@b.c now"), (7, "dup 1.2.3.4"), (7, "dup 1.2.3.4")]
     return rows
 
 
