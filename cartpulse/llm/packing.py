@@ -30,7 +30,8 @@ from cartpulse.llm.common import numbered, positioned
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_WORDS = 400_000  # a task's word cache is emptied beyond this, so its memory is bounded
+BATCH_WORDS = 400_000
+CACHED_WORDS = 1_000_000  # a task's word cache is emptied beyond this, so its memory is bounded
 
 # Byte-level vocabularies write a byte that is no visible Latin-1 character as the next free one from 256 on (the space here stays).
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
@@ -70,7 +71,7 @@ class WordEncoder:
             parts = text.replace("\n", " ").split(" ")
             words.append(parts)
             size += len(parts)
-            if size > CACHED_WORDS or i + 1 == len(texts):
+            if size > BATCH_WORDS or i + 1 == len(texts):
                 out += self._encode(words)
                 words, size = [], 0
         return out
@@ -78,7 +79,7 @@ class WordEncoder:
     def _encode(self, texts: list[list[str]]) -> list[bytes]:
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
-        self._learn({w for words in texts for w in words if w not in self.cache})
+        self._learn(set().union(*texts).difference(self.cache))
         return [b"".join(map(self.cache.__getitem__, words)) for words in texts]
 
     def _learn(self, new: set[str]) -> None:
