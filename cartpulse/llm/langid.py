@@ -3,7 +3,9 @@
 Benedetto, Caglioti and Loreto's idea with zstandard: a raw-content
 dictionary per language is cut from training texts, a text is encoded with each
 of them, and the language whose dictionary gives the fewest bytes wins.
-Margins that are narrow make the prediction a rejected one.
+Margins that are narrow make the prediction a rejected one: narrow for the encoded size, as texts of that
+language that the dictionary has not seen measure it.  So texts in languages without a dictionary and gibberish are
+rejected too.  With a single dictionary there is no second best, and only texts without a letter are.
 """
 
 from __future__ import annotations
@@ -26,8 +28,16 @@ LEVEL = 5
 CHUNK = 4 * 1024  # long texts are encoded in chunks of this many bytes, each with the dictionary
 SHORT = 1024  # texts below this many bytes are encoded at SHORT_LEVEL
 SHORT_LEVEL = 12
-# Bytes saved by the best dictionary over the second best: below, the prediction is rejected.
-MARGIN_BYTES = 1.0
+# Bytes saved by the best dictionary over the second best: below this many, or below the language's share of
+# the encoded bytes, the prediction is rejected.
+MARGIN_BYTES = 3.0
+# The share is a third of what all but 5% of CALIBRATION texts of the language reach with dictionaries that lack them,
+# MOST_SHARE at most.
+CALIBRATION = 40  # texts a language
+CALIBRATION_QUANTILE, CALIBRATION_PART = 0.05, 1 / 3
+MOST_SHARE = 0.05  # texts of no learned language seldom reach more, and repetitive texts of a learned one save little
+FEWEST = 8  # fewer texts calibrate nothing: MARGIN_SHARE is taken
+MARGIN_SHARE = 0.03
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -43,8 +53,36 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """Dictionary bytes per language, from rows that aren't held out and have a language.
+class Model(dict):
+    """Dictionary bytes per language; ``shares``: the least margin per language, as a share of the encoded bytes."""
+
+    def __init__(self, dictionaries: dict[str, bytes], shares: dict[str, float]):
+        super().__init__(dictionaries)
+        self.shares = shares
+
+
+def _dictionary(texts: list[bytes]) -> bytes:
+    return b"".join(texts)[-DICTIONARY_BYTES:]
+
+
+def calibrated(texts: dict[str, list[bytes]]) -> dict[str, float]:
+    """Least margin per language, as a share of the encoded bytes: every fourth text is measured with dictionaries of the others."""
+    encoder = Compressors({l: _dictionary([t for i, t in enumerate(x) if i % 4]) for l, x in texts.items() if len(x) > 1})
+    shares = {}
+    for l in encoder.languages:
+        margins = []
+        for data in texts[l][::4][-CALIBRATION:]:
+            sizes = encoder.sizes(data)
+            best, _, margin = judge(sizes, encoder.languages)
+            if best == l:
+                margins.append(margin / min(sizes))
+        if len(encoder.languages) > 1 and len(margins) >= FEWEST:
+            shares[l] = min(MOST_SHARE, sorted(margins)[int(len(margins) * CALIBRATION_QUANTILE)] * CALIBRATION_PART)
+    return shares
+
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """Dictionary bytes per language, and its least margin, from rows that aren't held out and have a language.
 
     A sample of at most ``TRAIN_ROWS`` texts a language, chosen by a hash of
     the key (so by no order of the input) with a threshold taken from exact
@@ -58,7 +96,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
-        return {}
+        return Model({}, {})
     draw = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1 << 30))
     share = F.create_map(*(F.lit(x) for l, n in sorted(counts.items()) for x in (l, min(1 << 30, int((1 << 30) * TRAIN_ROWS * 0.75 / n) + 1))))
     drawn = rows.withColumn("d", draw).filter(F.col("d") < share[F.col("l")])
@@ -66,12 +104,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     got: dict[str, list[tuple[int, int, str]]] = {l: [] for l in counts}
     for r in sample.select("l", "k", "d", "t").limit(TRAIN_ROWS * len(counts)).collect():
         got[r["l"]].append((r["d"], r["k"], r["t"]))
-    out = {}
-    for l, texts in got.items():
-        body = b"".join(letters(t) for _, _, t in sorted(texts, reverse=True)[:TRAIN_ROWS])
-        if body.strip():
-            out[l] = body[-DICTIONARY_BYTES:]
-    return out
+    encoded = {l: [x for _, _, t in sorted(texts, reverse=True)[:TRAIN_ROWS] if (x := letters(t)).strip()] for l, texts in got.items()}
+    encoded = {l: texts for l, texts in encoded.items() if texts}
+    return Model({l: _dictionary(texts) for l, texts in encoded.items()}, calibrated(encoded))
 
 
 class Compressors:
@@ -111,9 +146,16 @@ def judge(sizes: list[int], languages: list[str]) -> tuple[str, float, float]:
     return languages[best], score, margin
 
 
+def narrow(margin: float, least: int, share: float) -> bool:
+    """Is the margin too narrow for ``least`` encoded bytes (always in a tie)?"""
+    return margin < max(MARGIN_BYTES, share * least)
+
+
 def _label(dictionaries: dict[str, bytes], text: str):
     """Column: struct of lang_pred, score, margin, rejected."""
     state: dict[str, Compressors] = {}
+    shares = dict(getattr(dictionaries, "shares", {}))
+    dictionaries = dict(dictionaries)
 
     @F.pandas_udf("struct<lang_pred:string,score:double,margin:double,rejected:boolean>")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -127,8 +169,9 @@ def _label(dictionaries: dict[str, bytes], text: str):
                 if not data.strip():
                     out.append((UNKNOWN, 0.0, 0.0, True))
                     continue
-                lang, score, margin = judge(encoder.sizes(data), encoder.languages)
-                out.append((lang, score, min(margin, 1e9), margin < MARGIN_BYTES))
+                sizes = encoder.sizes(data)
+                lang, score, margin = judge(sizes, encoder.languages)
+                out.append((lang, score, min(margin, 1e9), narrow(margin, min(sizes), shares.get(lang, MARGIN_SHARE))))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "margin", "rejected"])
 
     return label(F.col(text))
@@ -139,7 +182,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], key: str = "doc_id"
 
     Only the text is looked at, and all of it.  Null texts, texts without a
     letter, and any text if nothing was learned: ``und``, score 0, rejected.
-    A margin under ``MARGIN_BYTES`` (ties too) is rejected, but has its best language.
+    A margin under ``MARGIN_BYTES`` (ties too), or under the language's share of the encoded bytes, is rejected, but
+    has its best language.
     """
     return docs.select(F.col(key), _label(dictionaries, text).alias("_label")).select(
         key, held_out(key).alias("held_out"), "_label.lang_pred", "_label.score", "_label.margin", "_label.rejected"

@@ -42,6 +42,21 @@ def test_language_edge_rows(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_texts_of_no_learned_language_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs.filter("lang <> 'en'"))
+    assert "en" not in model
+    foreign = docs.filter("lang = 'en' AND length(text) >= 200")
+    got = [r.rejected for r in langid.predict(foreign, model).collect()]
+    assert sum(got) >= 0.9 * len(got)  # a margin of one byte rejected under a tenth of them
+    known = [r.rejected for r in langid.predict(docs.filter("lang <> 'en'"), model).collect()]
+    assert sum(known) <= 0.03 * len(known)
+    rng = random.Random(1)
+    noise = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(100))) for i in range(100)]
+    full = langid.train(docs)
+    assert langid.accepted(spark.createDataFrame(noise, "doc_id long, text string"), full).count() <= 3
+
+
 def test_smallest_encoding_wins_and_ties_are_rejected():
     assert langid.judge([10, 12, 30], ["a", "b", "c"])[0] == "a"
     lang, score, margin = langid.judge([10, 10], ["a", "b"])
