@@ -3,9 +3,10 @@
 Texts become sequences of words in which numbers, names (capitalised words inside a sentence) and units are
 typed placeholders.  Windows of ``WINDOW`` such tokens of the documents are hash-joined with those of the benchmark
 items, so that a question with other numbers or names still meets its template.  Where a document covers
-enough of an item, the slots are checked: within an alignment a value of the item must always stand for the
-same value of the document and the other way round, as in a copy whose parameters were changed, and not
-in a chance meeting of templates.
+enough of an item, the slots are checked: within an alignment a name of the item must always stand for the
+same name of the document and the other way round, as in a copy whose parameters were changed, and not
+in a chance meeting of templates.  Numbers and units may be equal by chance (3 and 3 become 5 and 8): a slot that goes against
+the more frequent (then the earlier) pairs of values only doesn't count as covered.  The SQL drops such alignments.
 
 DataFrame functions only.  The windows of the documents are never shuffled if the benchmark's windows are proven
 few (they are counted); beyond that both sides are joined by hash.
@@ -64,6 +65,19 @@ def _windows(tokens: str, width: str) -> str:
     )
 
 
+# SQL of the slot check: the pair of values at a slot, the pairs of names, their type
+_PAIR = "named_struct('type', tokens[q], 'ours', vals[q], 'theirs', theirs[q + shift])"
+_NAME_PAIRS = f"filter(pairs, p -> p.type = '{NAME}')"
+_PAIRS = "ARRAY<STRUCT<type: STRING, ours: STRING, theirs: STRING>>"
+
+
+def _one_to_one(pairs: str) -> str:
+    """SQL: does each value stand for one other, both ways, within its type?"""
+    return " AND ".join(
+        f"size({pairs}) = size(array_distinct(transform({pairs}, p -> named_struct('type', p.type, 'v', p.{side}))))" for side in ("ours", "theirs")
+    )
+
+
 def templates(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """item, tokens (canonical), vals, width of its windows, for items that have ``MIN_ITEM`` tokens."""
     df = items.select(F.col(key).alias("item"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
@@ -114,15 +128,18 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         .join(items_, "item")
         .withColumn("covered", F.expr("array_distinct(flatten(transform(ats, p -> sequence(p, p + width - 1))))"))
         .withColumn("slots", F.expr(f"filter(covered, q -> tokens[q] IN ('{NUMBER}', '{NAME}', '{UNIT}'))"))
-        .withColumn("pairs", F.expr("array_distinct(transform(slots, q -> named_struct('type', tokens[q], 'ours', vals[q], 'theirs', theirs[q + shift])))"))
+        .withColumn("pairs", F.expr(f"array_distinct(transform(slots, q -> {_PAIR}))"))
+        .filter(_one_to_one(_NAME_PAIRS))
+        # numbers and units: pairs by frequency, then place; one that shares one side with a pair before it is against it
         .withColumn(
-            "consistent",
+            "against",
             F.expr(
-                "size(pairs) = size(array_distinct(transform(pairs, p -> named_struct('type', p.type, 'v', p.ours)))) "
-                "AND size(pairs) = size(array_distinct(transform(pairs, p -> named_struct('type', p.type, 'v', p.theirs))))"
+                f"CASE WHEN {_one_to_one('pairs')} THEN CAST(array() AS {_PAIRS}) ELSE array_except(pairs, aggregate(array_sort(transform(pairs, (p, i) -> "
+                f"named_struct('rare', -size(filter(slots, q -> {_PAIR} = p)), 'i', i, 'p', p))), CAST(array() AS {_PAIRS}), "
+                "(kept, x) -> CASE WHEN exists(kept, k -> k.type = x.p.type AND (k.ours = x.p.ours OR k.theirs = x.p.theirs)) THEN kept ELSE concat(kept, array(x.p)) END)) END"
             ),
         )
-        .filter("consistent")
+        .withColumn("covered", F.expr(f"CASE WHEN size(against) = 0 THEN covered ELSE filter(covered, q -> NOT array_contains(slots, q) OR NOT array_contains(against, {_PAIR})) END"))
         .select(
             "name", "id", "item", F.size("tokens").alias("size"), "covered", F.size("ats").alias("windows"), F.size("slots").alias("slots"),
             F.expr("size(filter(slots, q -> vals[q] <> theirs[q + shift]))").alias("changed"),

@@ -85,6 +85,18 @@ def test_templates_catch_changed_questions(spark):
     assert sorted(r.doc_id for r in left.collect()) == [2, 3, 4, 5, 8]
 
 
+def test_numbers_that_are_equal_by_chance_hide_no_item(spark):
+    same = "Anna has a bag with {} red and {} blue marbles in it and takes one out without looking, what is the chance of red?"
+    rows = [(1, same.format(5, 8)), (2, same.format(4, 4)), (3, same.format(3, 3)), (4, same.replace("Anna", "Otto").format(7, 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, same.format(3, 3)), (2, same.format(5, 3))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.kind, r.coverage) for r in decontamination.leaks(docs, items).collect()}
+    assert set(got) == {(d, i) for d in (1, 2, 3, 4) for i in (1, 2)}
+    assert got[3, 1] == ("verbatim", 1.0) and got[1, 2] == ("reparameterised", 1.0)
+    assert 0.9 < got[1, 1][1] < 1 and got[1, 1][0] == "reparameterised"  # the slot of 8 goes against 3 -> 5
+    assert decontamination.without_leaks(docs, items).count() == 0
+
+
 def test_contained_items_are_found_in_the_test_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
