@@ -8,6 +8,9 @@ same name of the document and the other way round, as in a copy whose parameters
 in a chance meeting of templates.  Numbers and units may be equal by chance (3 and 3 become 5 and 8): a slot that goes against
 the more frequent (then the earlier) pairs of values only doesn't count as covered.  The SQL drops such alignments.
 
+Windows that are mostly placeholders, and those of items below ``MIN_ITEM`` tokens (down to one), are literal: they are joined by
+what stands in them (in lower case), so they meet verbatim copies only.  The SQL leaves them out.
+
 DataFrame functions only.  The windows of the documents are never shuffled if the benchmark's windows are proven
 few (they are counted); beyond that both sides are joined by hash.
 """
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 from cartpulse.llm.common import checked_broadcast, written
 
 WINDOW = 8
-MIN_WORDS = 4  # a window has at least so many words that aren't placeholders, or all of them in items below WINDOW tokens
-MIN_ITEM = 5  # shorter items are no templates and aren't looked for
+MIN_WORDS = 4  # a template's window has at least so many words that aren't placeholders, or all of them in items below WINDOW tokens
+MIN_ITEM = 5  # shorter items are no templates
 COVERAGE = 0.6  # share of an item's tokens within common windows
 
 # Units of measure and currency that stand for a unit slot.
@@ -57,12 +60,24 @@ def _values(raw: str) -> str:
     return rf"transform({raw}, w -> regexp_replace(w, r'^[^\p{{L}}\p{{N}}]+', ''))"
 
 
-def _windows(tokens: str, width: str) -> str:
-    """SQL: hashes of the windows of ``width`` tokens, by position."""
-    return (
-        f"CASE WHEN size({tokens}) >= {width} THEN transform(sequence(0, size({tokens}) - {width}), "
-        f"i -> xxhash64({width}, slice({tokens}, i + 1, {width}))) ELSE CAST(array() AS ARRAY<BIGINT>) END"
-    )
+def _windows(width: str, kind: str = "template") -> str:
+    """SQL: hashes of the windows of ``width`` tokens, by position, over the columns ``tokens`` and ``lows`` (values in lower case).
+
+    ``kind``: ``template`` (by tokens), ``literal`` (by values), or ``mixed`` (by values where the window is mostly placeholders).
+    """
+    template = f"xxhash64({width}, slice(tokens, i + 1, {width}))"
+    literal = f"xxhash64({width}, 'literal', slice(lows, i + 1, {width}))"
+    mixed = f"CASE WHEN {_words('i', width)} >= least({MIN_WORDS}, {width}) THEN {template} ELSE {literal} END"
+    one = {"template": template, "literal": literal, "mixed": mixed}[kind]
+    return f"CASE WHEN size(tokens) >= {width} THEN transform(sequence(0, size(tokens) - {width}), i -> {one}) ELSE CAST(array() AS ARRAY<BIGINT>) END"
+
+
+def _words(at: str, width: str) -> str:
+    """SQL: how many tokens of the window aren't placeholders?"""
+    return f"size(filter(slice(tokens, {at} + 1, {width}), w -> w NOT IN ('{NUMBER}', '{NAME}', '{UNIT}')))"
+
+
+_LOWS = "transform(vals, v -> lower(v))"
 
 
 # SQL of the slot check: the pair of values at a slot, the pairs of names, their type
@@ -79,11 +94,25 @@ def _one_to_one(pairs: str) -> str:
 
 
 def templates(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """item, tokens (canonical), vals, width of its windows, for items that have ``MIN_ITEM`` tokens."""
+    """item, tokens (canonical), vals, width of its windows, for items that have a token."""
     df = items.select(F.col(key).alias("item"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
     df = df.select("item", F.expr(_raw("t")).alias("raw"))
     df = df.select("item", F.expr(_canonical("raw")).alias("tokens"), F.expr(_values("raw")).alias("vals"))
-    return df.filter(F.size("tokens") >= MIN_ITEM).withColumn("width", F.least(F.size("tokens"), F.lit(WINDOW)))
+    return df.filter(F.size("tokens") > 0).withColumn("width", F.least(F.size("tokens"), F.lit(WINDOW)))
+
+
+def _known(items: DataFrame) -> DataFrame:
+    """The windows of the items: item, at, hash, width, literal."""
+    whole = F.size("tokens") <= WINDOW
+    # the first token is no name in the item; inside a sentence of a document it may be one, which counts where no other window is left
+    named = F.expr(f"CASE WHEN substring(vals[0], 1, 1) <> lower(substring(vals[0], 1, 1)) THEN concat(array('{NAME}'), slice(tokens, 2, size(tokens))) ELSE tokens END")
+    both = items.unionByName(items.filter(whole & (F.size("tokens") >= MIN_ITEM)).withColumn("tokens", named)).withColumn("lows", F.expr(_LOWS))
+    at = lambda kind: F.posexplode(F.expr(_windows("width", kind))).alias("at", "hash")
+    columns = ["item", "width", "tokens", "lows"]
+    enough = F.expr(f"{_words('at', 'width')} >= least({MIN_WORDS}, width)")
+    template = both.filter(F.size("tokens") >= MIN_ITEM).select(*columns, at("template")).filter(enough).withColumn("literal", F.lit(False))
+    literal = both.select(*columns, at("literal")).filter(~enough | (F.size("tokens") < MIN_ITEM)).withColumn("literal", F.lit(True))
+    return template.unionByName(literal).select("item", "at", "hash", "width", "literal").distinct()
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -94,14 +123,19 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     ``text_hash``; whole rows that repeat give one row.
     """
     items_ = written(templates(items, item_key, item_text), "templates")
-    hashed = items_.select("item", F.size("tokens").alias("size"), "width", F.posexplode(F.expr(_windows("tokens", "width"))).alias("at", "hash"), "tokens")
-    words = F.expr(f"size(filter(slice(tokens, at + 1, width), w -> w NOT IN ('{NUMBER}', '{NAME}', '{UNIT}')))")
-    known = written(hashed.filter(words >= F.least(F.lit(MIN_WORDS), F.col("width"))).select("item", "at", "hash", "width"), "template-windows")
-    # short items have windows of their own width; there are at most WINDOW - MIN_ITEM + 1 widths
-    widths = sorted(r["width"] for r in known.select("width").distinct().collect()) or [WINDOW]
+    known = written(_known(items_), "template-windows")
+    # short items have windows of their own width; there are at most WINDOW widths
+    kinds: dict[int, set[bool]] = {}
+    for r in known.select("width", "literal").distinct().collect():
+        kinds.setdefault(r["width"], set()).add(r["literal"])
+    widths = sorted(kinds) or [WINDOW]
+    kind = lambda w: "literal" if w < MIN_ITEM else "mixed" if True in kinds.get(w, ()) else "template"
+    windows = ", ".join(_windows(str(w), kind(w)) for w in widths)
+    literal = any(kind(w) != "template" for w in widths)
     texts = docs.select(F.col(key).alias("name"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
-    tokens = texts.select("name", F.xxhash64("t").alias("id"), F.expr(_raw("t")).alias("raw")).select("name", "id", F.expr(_canonical("raw")).alias("tokens"))
-    seen = tokens.select("name", "id", F.posexplode(F.expr(f"concat({', '.join(_windows('tokens', str(w)) for w in widths)})")).alias("place", "hash"), *([] if len(widths) == 1 else [F.size("tokens").alias("n")]))
+    tokens = texts.select("name", F.xxhash64("t").alias("id"), F.expr(_raw("t")).alias("raw"))
+    tokens = tokens.select("name", "id", F.expr(_canonical("raw")).alias("tokens"), *([F.expr(f"transform({_values('raw')}, v -> lower(v))").alias("lows")] if literal else []))
+    seen = tokens.select("name", "id", F.posexplode(F.expr(f"concat({windows})")).alias("place", "hash"), *([] if len(widths) == 1 else [F.size("tokens").alias("n")]))
     if len(widths) > 1:  # positions of the second and further widths follow those of the first
         start = F.lit(0)
         place = F.col("place")

@@ -97,6 +97,19 @@ def test_numbers_that_are_equal_by_chance_hide_no_item(spark):
     assert decontamination.without_leaks(docs, items).count() == 0
 
 
+def test_verbatim_items_of_numbers_names_and_few_words_are_found(spark):
+    texts = [
+        "Compute 12 * 7 + 5 - 3 * 2", "Choose among Anna Karenina, Emma Bovary, Effi Briest, Jane Eyre, Moby Dick and Don Quixote now",
+        "1) 12 2) 15 3) 18 4) 21 5) 24", "Who wrote Hamlet?", "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u3002", "Seven plus nine makes how many?", "Add 3 + 4 quickly",
+    ]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(i, f"some words before: {t} And after, some 9 words.") for i, t in enumerate(texts)]
+    rows += [(50, "Compute 13 * 7 + 5 - 3 * 2"), (51, "Who wrote Macbeth?"), (52, "Seven plus 9 makes how many?"), (53, "Add 3 + 5 quickly"), (54, "7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontamination.leaks(docs, items).collect()}
+    assert got == {(i, i, "verbatim") for i in range(len(texts))}
+
+
 def test_contained_items_are_found_in_the_test_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
