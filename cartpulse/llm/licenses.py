@@ -5,6 +5,9 @@ has several lines.  A unit's bigrams (a set) are compared only with templates wh
 ``dice >= t`` needs ``smaller / larger >= t / (2 - t)``.  A unit that can match a template also holds one of its first
 ``size - needed + 1`` bigrams, so units without any of those are passed over; no match is lost by that.
 DataFrame functions only, no join and no shuffle: the templates are a fixed list.
+
+``windows`` finds notices that no unit isolates (inside a longer line, or wrapped between other lines): runs of words that start
+where one of a template's first bigrams stands, at every position of the text.  The SQL has the units only.
 """
 
 from __future__ import annotations
@@ -70,6 +73,10 @@ def bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
+_SPLIT = "filter(split(lower({}), '[^a-z0-9]+'), w -> w <> '')"
+_PAIRS = "zip_with(slice({0}, 1, greatest(size({0}) - 1, 0)), slice({0}, 2, greatest(size({0}) - 1, 0)), (a, b) -> concat(a, ' ', b))"
+
+
 def _array(items: list[str]) -> str:
     return "array(" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + ")"
 
@@ -124,6 +131,63 @@ def scan(
     )
 
 
+def windows(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD
+) -> DataFrame:
+    """One row per notice that lies in no matching unit of ``scan``, in its columns: level is ``window``, unit the number of its first word, body its words.
+
+    A window starts at one of the first bigrams of a template and ends at one of its bigrams; of those that overlap the best counts
+    (then the longer, then the first by name).
+    """
+    sets = {name: bigrams(body) for name, body in sorted(templates.items()) if bigrams(body)}
+    t = Fraction(str(threshold))
+    tests, firsts, longest, most = [], set(), 0, 0
+    for name, s in sets.items():
+        n, low, high = len(s), math.ceil(len(s) * t / (2 - t)), math.floor(len(s) * (2 - t) / t)
+        words = [w for w in re.split("[^a-z0-9]+", templates[name].lower()) if w]
+        length = math.floor((len(words) - 1) * (2 - t) / t)  # in bigrams; a template may repeat some
+        needed = math.ceil(t / 2 * (n + low))
+        first, all_ = s[: n - needed + 1], _array(s)
+        firsts, longest, most = firsts | set(first), max(longest, length), max(most, high)
+        part = "slice(x.w, 1, k)"
+        # only ends at a bigram of the template: what follows the last one lowers the coefficient
+        tests.append(
+            f"CASE WHEN x.w[0] IN ({_array(first)[6:-1]}) AND size(array_intersect(slice(x.w, 1, {length}), {all_})) >= {needed} THEN "
+            f"array_max(transform(filter(sequence({low}, least({length}, size(x.w))), k -> k >= {low} AND x.w[k - 1] IN ({all_[6:-1]}) AND size(array_distinct({part})) BETWEEN {low} AND {high}), "
+            f"k -> named_struct('dice', CAST(2 * size(array_intersect({part}, {all_})) AS DOUBLE) / (size(array_distinct({part})) + {n}), 'size', k, 'license_id', '{name}'))) END"
+        )
+    order = "(a, b) -> CASE WHEN a.dice > b.dice THEN -1 WHEN a.dice < b.dice THEN 1 WHEN a.size > b.size THEN -1 WHEN a.size < b.size THEN 1 WHEN a.license_id < b.license_id THEN -1 ELSE 1 END"
+    best = f"try_element_at(array_sort(filter(array({', '.join(tests)}), c -> c.dice >= {threshold}D), {order}), 1)"
+    once = lambda name, expr: F.explode(F.array(F.expr(expr))).alias(name)
+    place = "STRUCT<start: INT, stop: INT, dice: DOUBLE, license_id: STRING>"
+    # in the order of their starts: one that overlaps the last kept takes its place if it is better
+    sweep = (
+        f"aggregate(places, CAST(array() AS ARRAY<{place}>), (kept, p) -> CASE WHEN size(kept) = 0 OR element_at(kept, -1).stop < p.start THEN concat(kept, array(p)) "
+        "WHEN p.dice > element_at(kept, -1).dice THEN concat(slice(kept, 1, size(kept) - 1), array(p)) ELSE kept END)"
+    )
+    numbers = lambda parts: f"flatten(transform({parts}, (x, i) -> array_repeat(i, size({_SPLIT.format('x')}))))"  # noqa: E731  the part of each word
+    found = (
+        docs.select(F.col(key).alias("name"), F.col(text).alias("t")).filter("t IS NOT NULL")
+        .select("name", "t", once("words", _SPLIT.format("t")))
+        .filter(F.size("words") > 1)
+        .select("name", "t", "words", once("grams", _PAIRS.format("words")))
+        .filter(F.expr(f"exists(grams, g -> g IN ({_array(sorted(firsts))[6:-1]}))"))
+        .select("name", "t", "words", once("starts", f"filter(transform(grams, (g, i) -> CASE WHEN g IN ({_array(sorted(firsts))[6:-1]}) THEN named_struct('at', i, 'w', slice(grams, i + 1, {longest})) END), x -> x IS NOT NULL)"))
+        .select("name", "t", "words", once("places", f"filter(transform(transform(starts, x -> named_struct('at', x.at, 'b', {best})), x -> CASE WHEN x.b IS NOT NULL THEN CAST(named_struct('start', x.at, 'stop', x.at + x.b.size, 'dice', x.b.dice, 'license_id', x.b.license_id) AS {place}) END), x -> x IS NOT NULL)"))
+        .filter(F.size("places") > 0)
+        .select("name", "words", F.expr(numbers("split(t, '\n')")).alias("line"), F.expr(numbers(r"split(t, '\n[ \t]*\n')")).alias("paragraph"), F.explode(F.expr(sweep)).alias("p"))
+    )
+    # the units around the window: a match of one of them is reported by scan
+    around = lambda c: f"CASE WHEN {c}[p.start] = {c}[p.stop] THEN slice(words, array_position({c}, {c}[p.start]), size(filter({c}, x -> x = {c}[p.start]))) END"
+    held = found.select("name", "words", "p", once("units", f"filter(array({around('line')}, {around('paragraph')}, words), u -> u IS NOT NULL)"))
+    held = held.select("name", "words", "p", once("bags", f"filter(transform(units, u -> array_distinct({_PAIRS.format('u')})), g -> size(g) <= {most})"))
+    matches = " OR ".join(f"2 * size(array_intersect(g, {_array(s)})) >= {threshold}D * (size(g) + {len(s)})" for s in sets.values())
+    return held.filter(f"NOT exists(bags, g -> {matches})").select(
+        F.col("name").alias(key), F.lit("window").alias("level"), F.col("p.start").alias("unit"), "p.license_id", "p.dice",
+        F.expr("array_join(slice(words, p.start + 1, p.stop - p.start + 1), ' ')").alias("body"),
+    )
+
+
 def oracle(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
     """DuckDB SQL for ``scan`` over ``documents`` (columns without the body): every unit against every template."""
     rows = ", ".join("('{}', '{}')".format(n, b.replace("'", "''")) for n, b in sorted(templates.items()))

@@ -24,7 +24,8 @@ def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents")).drop("body")
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.scan(docs).unionByName(licenses.windows(docs)).drop("body")
 
 
 def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,6 +160,21 @@ def test_license_units_equal_brute_force(spark):
     assert sorted(((r.doc_id, r.level, r.unit, r.license_id, r.dice) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_notices_inside_other_words_are_found(spark):
+    header = licenses.TEMPLATES["Apache-2.0-header"].split()
+    wrapped = "\n".join(["package org.foo;", "import x.y.z;", *(" * " + " ".join(header[i : i + 9]) for i in range(0, len(header), 9)), "public class Foo {", "int a;", "}"] + [f"x{i} = y{i} + z{i};" for i in range(60)])
+    rows = [
+        (1, "Copyright 2020 Foo. Released under the MIT License. All rights reserved."),
+        (2, "We like it. This work is licensed under the GNU General Public License, version 3. Come and see us on Monday morning, please do."),
+        (3, wrapped), (4, "Released under the MIT License."), (5, "First\nReleased under the MIT License.\nlast"),
+        (6, "Released under the terms of any other thing."), (7, None), (8, ""), (9, "a, Released under the MIT License, b, Released under the MIT License, c d e f g h i j"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.unit, r.license_id, r.dice) for r in licenses.windows(docs).collect())
+    assert got == [(1, 3, "MIT-notice", 1.0), (2, 3, "GPL-3.0-notice", 1.0), (3, 7, "Apache-2.0-header", 1.0), (9, 1, "MIT-notice", 1.0), (9, 7, "MIT-notice", 1.0)]
+    assert {r.doc_id for r in licenses.scan(docs).collect()} & {1, 2, 9} == set()
+
+
 @pytest.mark.parametrize("name", ["op3_license_dice", "op6_template_windows"])
 def test_sql_gives_the_same(spark, name):
     import duckdb
