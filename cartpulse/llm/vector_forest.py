@@ -6,7 +6,8 @@ in all of them.  Vectors are compared within leaves, in double precision, and li
 
 * The trees are fitted on a bounded sample (``SAMPLE`` vectors) on the driver; every vector is put into its leaves.
   Of several random directions and thresholds a node takes the one with the fewest sample vectors near
-  it, so dense groups stay whole and are seldom copied.
+  it, so dense groups stay whole and are seldom copied.  A node that is dense even there is no longer split.
+* Trees are added until of ``PROBES`` pairs at the very threshold (a sample vector and one made for it) ``MISSED`` at most share no leaf.
 * Equal vectors are one class with a count (64-bit hash of the array), so copies aren't compared.
 * A leaf above ``LEAF_ROWS`` is cut into blocks and each pair of blocks is a task of its own: all its pairs are compared.
   So a group of near copies is compared in full; its cost grows with the square of its blocks.
@@ -25,7 +26,10 @@ from pyspark.sql import functions as F
 from cartpulse.llm.common import checked_broadcast, component_roots, written
 
 SAMPLE = 16_384
-TREES = 4
+TREES = 4  # at least
+MOST_TREES = 24
+PROBES, MISSED = 2048, 0.001
+DENSE = 2.5  # a node isn't split where its vectors lie so many times denser than those of a uniform sphere
 SPILL = 0.025  # on unit vectors
 LEAF_TARGET = 256
 LEAF_ROWS = 1024
@@ -65,7 +69,9 @@ class Tree:
                 near = int((np.abs(at - threshold) <= SPILL).sum())
                 if best is None or near < best[0]:
                     best = (near, direction, float(threshold), at)
-        _, direction, threshold, at = best
+        near, direction, threshold, at = best
+        if near > DENSE * 0.4 * np.sqrt(x.shape[1]) * 2 * SPILL * len(x):
+            return None
         larger = max((at <= threshold + SPILL).sum(), (at >= threshold - SPILL).sum())
         return None if larger > 0.9 * len(x) else (direction, threshold, at)
 
@@ -91,7 +97,31 @@ def unit(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_forest(sample: list, total: int, trees: int = TREES, seed: int = 5) -> dict[int, list[Tree]]:
+def _apart(tree: Tree, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of ``x`` share no leaf of the tree with the same row of ``y``?"""
+    codes = [np.concatenate([leaf * len(z) + rows for leaf, rows in tree.put(z)]) for z in (x, y)]
+    apart = np.ones(len(x), dtype=bool)
+    apart[np.intersect1d(*codes) % len(x)] = False
+    return apart
+
+
+def _grown(x: np.ndarray, leaf: int, trees: int, cosine: float, seed: list[int]) -> list[Tree]:
+    """``trees`` or more trees, until pairs at the threshold meet."""
+    rng = np.random.default_rng([*seed, MOST_TREES])
+    ours = x[rng.permutation(len(x))[:PROBES]]
+    away = rng.standard_normal(ours.shape)
+    away -= (away * ours).sum(axis=1, keepdims=True) * ours
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+    theirs = cosine * ours + np.sqrt(max(0.0, 1 - cosine * cosine)) * away
+    forest: list[Tree] = []
+    missed = np.ones(len(ours), dtype=bool)
+    while len(forest) < trees or (missed.mean() > MISSED and len(forest) < MOST_TREES):
+        forest.append(Tree(x, leaf, np.random.default_rng([*seed, len(forest)])))
+        missed &= _apart(forest[-1], ours, theirs)
+    return forest
+
+
+def fit_forest(sample: list, total: int, trees: int = TREES, seed: int = 5, cosine: float = 0.9) -> dict[int, list[Tree]]:
     """A forest per number of components: vectors of different lengths never link."""
     out = {}
     by: dict[int, list] = {}
@@ -100,7 +130,7 @@ def fit_forest(sample: list, total: int, trees: int = TREES, seed: int = 5) -> d
     leaf = max(8, LEAF_TARGET * len(sample) // max(total, 1))
     for width, vectors in sorted(by.items()):
         x = unit(vectors)
-        out[width] = [Tree(x, leaf, np.random.default_rng([seed, width, t])) for t in range(trees)]
+        out[width] = _grown(x, leaf, trees, cosine, [seed, width])
     return out
 
 
@@ -179,7 +209,7 @@ def near_vectors(
     share = min(1.0, SAMPLE * 0.95 / max(total, 1))
     drawn = classes.filter(F.pmod(F.xxhash64("class", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     sample = [r["vector"] for r in drawn.orderBy("class").select("vector").limit(SAMPLE).collect()]
-    forest = fit_forest(sample, total, trees)
+    forest = fit_forest(sample, total, trees, cosine=cosine)
     homes = written(classes.mapInPandas(_leaves(forest), "class long, leaves array<long>"), "vector-leaves")
     sizes = (
         homes.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

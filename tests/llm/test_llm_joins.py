@@ -87,5 +87,29 @@ def test_vectors_of_the_test_table_equal_brute_force(spark):
     assert sorted(tuple(r)[:3] for r in vector_forest.near_vectors(table).collect()) == brute.cosine(rows)
 
 
+def test_forest_keeps_the_links_of_a_hot_group():
+    rng = np.random.default_rng(4)
+    total, hot = 100_000, 33_333
+    centre = vector_forest.unit([rng.standard_normal(64)])
+    x = rng.standard_normal((total, 64))
+    x[:hot] = centre * 3.27 + rng.standard_normal((hot, 64)) / 8  # mean cosine about 0.914
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sample = x[rng.permutation(total)[: vector_forest.SAMPLE]]
+    forest = vector_forest.fit_forest(list(sample), total)[64]
+    a, b = rng.integers(0, hot, 20_000), rng.integers(0, hot, 20_000)
+    near = (x[a] * x[b]).sum(axis=1) >= 0.9
+    missed = np.ones(int(near.sum()), dtype=bool)
+    other = rng.standard_normal((2000, 64)) / 8
+    other = x[hot : hot + 2000] + other * 0.46
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    close = (other * x[hot : hot + 2000]).sum(axis=1) >= 0.9
+    far = np.ones(int(close.sum()), dtype=bool)
+    for tree in forest:
+        missed &= vector_forest._apart(tree, x[a][near], x[b][near])
+        far &= vector_forest._apart(tree, x[hot : hot + 2000][close], other[close])
+    assert len(missed) > 5000 and len(far) > 500
+    assert missed.mean() <= 0.002 and far.mean() <= 0.005
+
+
 def test_vectors_empty_table(spark):
     assert vector_forest.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
