@@ -5,8 +5,8 @@ address, IP address, card or phone number) has the information content ``-log2 p
 share of the corpus (in characters) within ``CONTEXT`` characters of an entity.  A term of those contexts discloses
 ``log2(p(context | term) / p)`` bits of it, where p(context | term) is the share of all the term's occurrences in the corpus
 that are in a context.  A term that discloses more than ``GENERALISE`` of the information content is replaced
-by a general word, more than ``REMOVE`` is removed, in the documents and contexts where it accompanies an
-entity.  Terms seen in fewer than ``SUPPORT`` contexts say nothing reliable and stay.
+by a general word, more than ``REMOVE`` is removed, at every place in the documents that hold an entity.  p(context | term)
+is smoothed by ``SUPPORT`` occurrences at p, so rare terms count for what little is known of them.
 
 DataFrame functions only.  Positions are code points; starts of matches are prefix sums over the parts between them,
 in two levels so that a text with many thousand matches costs no quadratic work.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartpulse.llm.common import at_most, written
+from cartpulse.llm.common import at_most, checked_broadcast, written
 
 CONTEXT = 60
 SUPPORT = 5
@@ -145,7 +145,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Data
     near = near.withColumn("terms", F.expr(f"filter(terms, t -> {_whole('t')})"))
     near = written(near.withColumn("id", F.sha2(F.concat_ws("\x01", F.col("name").cast("string"), "text_"), 256)), "pii-near")
     seen = near.select(F.explode("terms").alias("t")).groupBy(F.col("t.term").alias("term")).agg(F.count(F.lit(1)).alias("near"))
-    seen = written(seen.filter(F.col("near") >= SUPPORT), "pii-terms")
+    seen = written(seen, "pii-terms")
     occurrences = docs.select(F.explode(F.expr(f"regexp_extract_all({text}, {_quoted(_WORD)}, 0)")).alias("w")).select(F.lower("w").alias("term"))
     if at_most(seen):  # few terms: their occurrences are picked before the count, else all words are counted first
         counted = occurrences.join(F.broadcast(seen.select("term")), "term", "left_semi").groupBy("term").count()
@@ -160,22 +160,26 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Data
     if not prior:
         return near, seen.select("term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action")).limit(0)
     telling = seen.join(counted, "term").select(
-        "term", (F.log2(F.col("near") / F.col("count") / F.lit(prior)) / -F.log2(F.lit(prior))).alias("disclosure")
+        "term", (F.log2((F.col("near") + F.lit(SUPPORT * prior)) / (F.col("count") + SUPPORT) / F.lit(prior)) / -F.log2(F.lit(prior))).alias("disclosure")
     ).filter(F.col("disclosure") >= GENERALISE)
     return near, telling.withColumn("action", F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise"))
 
 
 def _told(near: DataFrame, telling: DataFrame) -> DataFrame:
-    """``near`` plus ``told``: the disclosing terms' places, sorted: (start, end, action)."""
+    """``near`` plus ``told``: the disclosing terms' places outside the masks in documents with an entity, sorted: (start, end, action)."""
+    words = near.filter(F.size("masks") > 0).select("id", "text_").withColumn("words", F.expr(f"transform(regexp_extract_all(text_, {_quoted(_WORD)}, 0), w -> lower(w))"))
+    # every match is valid, so words and places go together
     places = (
-        near.select("id", "terms").dropDuplicates(["id"]).select("id", F.explode("terms").alias("t"))
-        .select("id", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-        .join(telling, "term")
+        _spans(words, "text_", _WORD, "true", 4, "at")
+        .select("id", F.explode(F.arrays_zip("words", "at")).alias("t"))
+        .select("id", F.col("t.words").alias("term"), F.col("t.at.start").alias("start"), F.col("t.at.end").alias("end"))
+        .join(checked_broadcast(written(telling, "pii-telling")), "term")
         .groupBy("id")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("told"))
+        .agg(F.array_sort(F.collect_set(F.struct("start", "end", "action"))).alias("told"))
     )
+    outside = "filter(told, t -> NOT exists(masks, m -> t.start < m.end AND t.end > greatest(m.from, m.start)))"
     return near.join(places, "id", "left").withColumn(
-        "told", F.coalesce("told", F.expr("CAST(array() AS ARRAY<STRUCT<start: BIGINT, end: BIGINT, action: STRING>>)"))
+        "told", F.coalesce(F.expr(outside), F.expr("CAST(array() AS ARRAY<STRUCT<start: BIGINT, end: BIGINT, action: STRING>>)"))
     )
 
 

@@ -44,6 +44,22 @@ def test_terms_that_disclose_are_masked(spark):
     assert all("@" not in after[1000 + i] and "mailbox" not in after[1000 + i] and "[EMAIL]" in after[1000 + i] for i in range(30))
 
 
+def test_flagged_terms_are_masked_in_the_whole_document(spark):
+    rng = random.Random(4)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, text(300)) for i in range(400)] + [(399, "a mailbox without any address " + text(50))]
+    rows += [(1000 + i, f"Mailbox {text(60)} mailbox q{i}@x.org {text(60)} Mailbox") for i in range(30)]
+    rows += [(2000 + i, f"{text(100)} zimmerli r{i}@x.org {text(100)} zimmerli") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    after = {r.doc_id: r.text for r in pii.sanitise(docs.filter("doc_id <> 399")).collect()}
+    assert all("mailbox" not in after[1000 + i].lower() and "[EMAIL]" in after[1000 + i] for i in range(30))
+    assert all("zimmerli" not in after[2000 + i] for i in range(3))  # fewer than SUPPORT contexts
+    assert all(len(after[1000 + i].split()) >= 100 for i in range(30))
+    kept = {r.text for r in pii.sanitise(docs).collect()}
+    assert rows[400][1] in kept  # no entity, nothing to disclose
+
+
 def test_masks_never_leave_a_span(spark):
     rows = [r for r in personal_rows() if r[1] and len(r[1]) < 2000]
     after = {}
