@@ -59,7 +59,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``written`` (or ``positioned``) gave and that no later plan reads."""
+    for table in tables:
+        session = table.sparkSession
+        folder = session.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_path)
+        folder.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

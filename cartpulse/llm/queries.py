@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cartpulse.llm import cotraining, decontamination, langid, licenses, packing, pii, sharding, signature_tree, toxicity, vector_forest
+from cartpulse.llm import cotraining, decontamination, langid, licenses, packing, pii, prefix_trie, sharding, signature_tree, toxicity, vector_forest
 from cartpulse.llm.common import ship
 
 
@@ -61,6 +61,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jump_shards": op1_jump_shards,
     "op2_projection_forest": op2_projection_forest,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_signature_trees": op8_signature_trees,
     "op9_linear_grouping": op9_linear_grouping,
     "op10_language": op10_language,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
