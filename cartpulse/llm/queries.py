@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cartpulse.llm import cotraining, decontamination, langid, licenses, packing, pii, prefix_trie, sharding, signature_tree, toxicity, vector_forest
+from cartpulse.llm import (
+    article_text,
+    cotraining,
+    decontamination,
+    langid,
+    licenses,
+    packing,
+    pii,
+    prefix_trie,
+    sharding,
+    signature_tree,
+    toxicity,
+    vector_codes,
+    vector_forest,
+)
 from cartpulse.llm.common import ship
 
 
@@ -61,6 +75,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return article_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
@@ -76,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_signature_trees": op8_signature_trees,
     "op9_linear_grouping": op9_linear_grouping,
     "op10_language": op10_language,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_host_paths": op12_host_paths,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
