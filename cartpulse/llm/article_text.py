@@ -92,6 +92,7 @@ class _Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.marks, self.flag = ["body"], [-1], [""], [0]
         self.pieces: list[tuple[int, str | None]] = []
+        self._open: dict[str, int] = {}  # open elements by tag
         self._read(source)
         self._holds()
 
@@ -103,7 +104,7 @@ class _Page:
             if stop > at:
                 text = source[at:stop]
                 if self.tag[stack[-1]] == "head" and not text.isspace():
-                    stack.pop()
+                    self._end(stack, -1)
                 pieces.append((stack[-1], html.unescape(text) if "&" in text else text))
             if not found:
                 return
@@ -120,7 +121,7 @@ class _Page:
             if name == "html":
                 continue
             if name == "body":
-                del stack[1:]
+                self._end(stack, 1)
                 continue
             self._make_room(stack, name)
             node = len(self.tag)
@@ -132,42 +133,43 @@ class _Page:
             if name in RAW:
                 closing = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
                 at = closing.start() if closing else end
+            if name not in VOID:
                 stack.append(node)
-            elif name not in VOID:
-                stack.append(node)
-
-    def _close(self, stack: list[int], name: str) -> None:
+                self._open[name] = self._open.get(name, 0) + 1
+
+    def _end(self, stack: list[int], at: int) -> None:
+        """End the open elements from position ``at`` of the stack on."""
+        for node in stack[at:]:
+            self._open[self.tag[node]] -= 1
+        del stack[at:]
+
+    def _end_up_to(self, stack: list[int], names: set[str], stop) -> None:
+        """End the innermost open element with one of ``names``, and all inside it, unless ``stop`` holds for a tag before."""
+        if not any(self._open.get(n) for n in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[i]]
-            if tag == name:
-                del stack[i:]
+            if tag in names:
+                self._end(stack, i)
                 return
-            # an inline end tag doesn't reach beyond its block, nor a block's beyond its table cell
-            if (name not in BLOCKS and tag in BLOCKS) or (tag in ("td", "th", "template") and name not in ("tr", "table", "tbody", "thead", "tfoot")):
+            if stop(tag):
                 return
 
+    def _close(self, stack: list[int], name: str) -> None:
+        # an inline end tag doesn't reach beyond its block, nor a block's beyond its table cell
+        rows = name in ("tr", "table", "tbody", "thead", "tfoot")
+        self._end_up_to(stack, {name}, lambda tag: (name not in BLOCKS and tag in BLOCKS) or (tag in ("td", "th", "template") and not rows))
+
     def _make_room(self, stack: list[int], name: str) -> None:
         if self.tag[stack[-1]] == "head" and name not in IN_HEAD:
-            stack.pop()
+            self._end(stack, -1)
         if name in ENDS:
             ended, within = ENDS[name]
-            for i in range(len(stack) - 1, 0, -1):
-                tag = self.tag[stack[i]]
-                if tag in ended:
-                    del stack[i:]
-                    break
-                if tag in within:
-                    break
+            self._end_up_to(stack, ended, within.__contains__)
         if name in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                tag = self.tag[stack[i]]
-                if tag == "p":
-                    del stack[i:]
-                    break
-                if tag in SCOPE:
-                    break
+            self._end_up_to(stack, {"p"}, SCOPE.__contains__)
             if name in HEADINGS and self.tag[stack[-1]] in HEADINGS:
-                stack.pop()
+                self._end(stack, -1)
 
     def _holds(self) -> None:
         """An element known by layout words alone stays if it holds the page's heading, or an article and most of the text."""
@@ -191,6 +193,23 @@ class _Page:
             node = self.parent[node]
         return ">".join(reversed(steps)) or "body"
 
+    def places(self, paths: list[str]) -> dict[str, set[int]]:
+        """The elements at each of ``paths``."""
+        # a step's number is that of the way to it: no path of a deep page is ever written out
+        by_way = {}
+        for path in paths:
+            at = hash(())
+            for step in path.split(">") if path != "body" else ():
+                at = hash((at, step))
+            by_way[at] = path
+        way, found = [hash(())] * len(self.tag), {}
+        for i in range(len(self.tag)):
+            if i:
+                way[i] = hash((way[self.parent[i]], self.tag[i] + self.marks[i]))
+            if way[i] in by_way and (i == 0 or self.tag[i] in CONTAINERS) and self.path(i) == by_way[way[i]]:
+                found.setdefault(by_way[way[i]], set()).add(i)
+        return found
+
     def best(self) -> tuple[int, float]:
         """The container with the highest score, the earlier of equal ones, and its score."""
         found = self._best(True)
@@ -239,7 +258,7 @@ def _judged(name: str, attributes: str) -> tuple[str, int]:
     """Generalised classes (``.post-#.wide``) and whether the element is left out: 2 certainly, 1 by layout words, 0 not."""
     given = {k.lower(): a or b or c or "" for k, a, b, c in reversed(_ATTRIBUTE.findall(attributes))}
     classes = given.get("class", "").split()
-    marks = "".join("." + c for c in sorted({re.sub(r"\d+", "#", c) for c in classes}))
+    marks = "".join("." + c for c in sorted({re.sub(r"\d+", "#", c.replace(">", "")) for c in classes}))
     if name in LEFT_OUT or given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true":
         return marks, 2
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", ""), re.I):
@@ -268,12 +287,7 @@ def vote(source: str | None) -> tuple[str | None, float]:
 def extract(source: str | None, paths: list[str]) -> str:
     """The text at the first of ``paths`` that has any, else that of the page's best container."""
     page = _Page(source or "")
-    wanted = set(paths)
-    places: dict[str, set[int]] = {}
-    if wanted:
-        for i in range(len(page.tag)):
-            if (i == 0 or page.tag[i] in CONTAINERS) and (path := page.path(i)) in wanted:
-                places.setdefault(path, set()).add(i)
+    places = page.places(paths) if paths else {}
     for path in paths:
         if path in places and (text := page.text(places[path])):
             return text

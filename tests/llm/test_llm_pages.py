@@ -60,7 +60,7 @@ def test_time_grows_with_length_only():
 
 def test_host_consensus_corrects_a_page(spark):
     """A page whose notice outweighs its article is read where its host's other pages have theirs."""
-    shop = "<div class='c1'><p>{}</p></div><div class='c2'><p>{}</p></div>"
+    shop = "<div class='left7'><p>{}</p></div><div class='right'><p>{}</p></div>"
     rows = [(i, "https://User@Shop.example:80/x", page(shop.format("An article of some length, really. " * 5, "Offers of the day.")), "", "", "") for i in range(9)]
     rows.append((9, "http://shop.example/y?z#u", page(shop.format("Short.", "A very long unmarked block about offers. " * 9)), "", "", ""))
     rows.append((10, "http://other.example/", page(shop.format("Short.", "A long unmarked block, the only one here.")), "", "", ""))
@@ -68,7 +68,7 @@ def test_host_consensus_corrects_a_page(spark):
     got = {(r.page_id, r.text, r.n_chars) for r in A.main_text(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     assert {(9, "Short.", 6), (10, "A long unmarked block, the only one here.", 41), (11, "", 0), (12, "plain words", 11), (None, "", 0)} <= got
     assert len(got) == 14 and A.main_text(spark.createDataFrame(rows, SCHEMA)).count() == len(rows)
-    assert A.consensus(spark.createDataFrame(rows, SCHEMA)).filter("host = 'shop.example'").first().paths[0] == "div.c#"
+    assert A.consensus(spark.createDataFrame(rows, SCHEMA)).filter("host = 'shop.example'").first().paths[0] == "div.left#"
 
 
 def test_empty_table(spark):
