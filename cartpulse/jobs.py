@@ -20,14 +20,14 @@ from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cartpulse import params as P
+from cartpulse.operators.blocks import write_shared
 from cartpulse.plans import audience as A
 from cartpulse.plans import marketing as M
 from cartpulse.plans import readouts as D
 from cartpulse.plans import revenue as R
-from cartpulse.session import SCALE_CONF
+from cartpulse.session import SCALE_CONF, has_checkpoint_dir, remove_dir, scratch_dir
 from cartpulse.sources.tables import DeliveryTables
 
 Metric = Callable[..., DataFrame]
@@ -142,15 +142,25 @@ def run_job(
     """Write each metric to ``<out>/<name>``; returns the names written.
 
     Campaign metrics are skipped when no members are given and no explicit
-    list of names asks for them.
+    list of names asks for them.  A run of several metrics writes the blocks they
+    share (flagged user log, user and courier days, order totals, units) once
+    under the session's checkpoint folder, reads them in every metric, and
+    deletes them at the end, also after a failure; without such a folder every metric derives its own.
     """
     chosen = names or [n for n, (_, needs) in METRIC_FUNCTIONS.items() if members is not None or not needs]
-    for name in chosen:
-        df = run_metric(name, tables, members, campaigns, threshold, cost=cost, options=options)
-        writer = df.write.mode("overwrite").format(fmt)
-        if fmt == "csv":
-            writer = writer.option("header", "true")
-        writer.save(os.path.join(out, name))
+    folder = scratch_dir(spark, "shared-blocks") if len(chosen) > 1 and has_checkpoint_dir(spark) else None
+    try:
+        if folder:
+            tables = write_shared(tables, folder)
+        for name in chosen:
+            df = run_metric(name, tables, members, campaigns, threshold, cost=cost, options=options)
+            writer = df.write.mode("overwrite").format(fmt)
+            if fmt == "csv":
+                writer = writer.option("header", "true")
+            writer.save(os.path.join(out, name))
+    finally:
+        if folder:
+            remove_dir(spark, folder)
     return chosen
 
 
@@ -183,13 +193,14 @@ def parse_tariffs(text: str) -> P.CostModel:
     return P.CostModel(tariffs=tuple(rows))
 
 
-def write_layout(tables: DeliveryTables, database: str, buckets: int) -> None:
-    """Save the tables bucketed by ``order_id`` in ``database``, and each log also by action date (``<log>_by_date``)."""
+def write_layout(tables: DeliveryTables, database: str, buckets: int, files_per_date: int = 8) -> None:
+    """Save the tables bucketed by ``order_id`` in ``database``, and the logs and orders also by date (``<table>_by_date``).
+
+    ``DeliveryTables.from_catalog`` finds both: joins by order read the buckets, metrics over a time window the dates.
+    """
     tables.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     tables.write_bucketed(database, buckets)
-    for name in ("user_actions", "courier_actions"):
-        log = getattr(tables, name).withColumn("action_date", F.to_date("time"))
-        log.write.partitionBy("action_date").format("parquet").saveAsTable(f"{database}.{name}_by_date")
+    tables.write_by_date(database, files_per_date=files_per_date)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -198,8 +209,9 @@ def main(argv: list[str] | None = None) -> None:
     src.add_argument("--tables", help="folder with <table>.parquet folders")
     src.add_argument("--database", help="catalog database holding the four tables")
     ap.add_argument("--members", help="parquet folder of (ads_campaign, user_id)")
+    ap.add_argument("--exact-not-in", action="store_true", help="SQL's NOT IN rules where the cancelled ids are none or hold a null")
     ap.add_argument("--out", help="output folder; one sub-folder per metric")
-    ap.add_argument("--layout", help="instead of metrics: save the tables bucketed by order in this catalog database")
+    ap.add_argument("--layout", help="instead of metrics: save the tables in this catalog database, bucketed by order and by date")
     ap.add_argument("--buckets", type=int, default=256, help="buckets of --layout")
     ap.add_argument("--tariffs", help='monthly tariffs as JSON: [["2022-08-01", 140, 120000, 400], ...]')
     ap.add_argument("--options", help='report parameters as JSON by metric: {"campaign_avg_check": {"start": "2022-09-01"}}')
@@ -220,9 +232,9 @@ def main(argv: list[str] | None = None) -> None:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     if args.tables:
-        tables = DeliveryTables.from_parquet(spark, args.tables)
+        tables = DeliveryTables.from_parquet(spark, args.tables, exact_not_in=args.exact_not_in)
     else:
-        tables = DeliveryTables.from_catalog(spark, args.database)
+        tables = DeliveryTables.from_catalog(spark, args.database, exact_not_in=args.exact_not_in)
     if args.layout:
         write_layout(tables, args.layout, args.buckets)
         return

@@ -40,16 +40,31 @@ def campaign_label(number: Column | str, prefix: str) -> Column:
     return F.concat(F.lit(prefix), c.cast("string"))
 
 
+def by_campaign(number: str, values: dict[int, Column]) -> Column:
+    """A parameter's value for the campaign numbered ``number``, null for one without: a CASE, no join."""
+    found = F.lit(None)
+    for campaign, value in sorted(values.items()):
+        found = F.when(F.col(number) == F.lit(int(campaign)), value).otherwise(found)
+    return found
+
+
+def _cents(campaign: int, amount) -> Decimal:
+    value = Decimal(str(amount))
+    if value != value.quantize(Decimal("0.01")):
+        raise ValueError(f"campaign {campaign}: spend {amount} has fractions of a cent")
+    return value.quantize(Decimal("0.01"))
+
+
+def campaign_spend(number: str, spend: dict[int, Decimal]) -> Column:
+    """Spend of the campaign numbered ``number``, DECIMAL(20,2), null for one without.  More than two decimals raise."""
+    return by_campaign(number, {c: F.lit(_cents(c, amount)) for c, amount in spend.items()}).cast("decimal(20,2)")
+
+
 def campaign_dim(spark, spend: dict[int, Decimal]) -> DataFrame:
     """The campaigns as a small DataFrame: ads_campaign INT, spend DECIMAL(20,2).
 
     Built from a parameter with a handful of entries, so it is broadcast.
     Spend keeps its cents; more than two decimals raise.
     """
-    rows = []
-    for number, amount in sorted(spend.items()):
-        value = Decimal(str(amount))
-        if value != value.quantize(Decimal("0.01")):
-            raise ValueError(f"campaign {number}: spend {amount} has fractions of a cent")
-        rows.append((int(number), value.quantize(Decimal("0.01"))))
+    rows = [(int(number), _cents(number, amount)) for number, amount in sorted(spend.items())]
     return F.broadcast(spark.createDataFrame(rows, "ads_campaign int, spend decimal(20,2)"))

@@ -11,21 +11,21 @@ a date missing on one side disappears from the result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartpulse import schema as S
 from cartpulse.functions.dates import day, hour_of, micros_between
 from cartpulse.functions.numeric import half_up_div, pct, round_div
-from cartpulse.operators.audience import day_order, first_seen, new_per_day, running_sum
+from cartpulse.operators.audience import day_order, new_per_day, running_sum
+from cartpulse.operators.blocks import cancelled_ids, courier_days, facts, first_dates, user_days, user_log, without_cancelled
 from cartpulse.operators.joins import flag_join
-from cartpulse.operators.orders import delivered_orders, not_cancelled, paid_flag, with_cancel_flag, with_own_flag
+from cartpulse.operators.orders import delivered_orders
 from cartpulse.sources.tables import DeliveryTables
 
 
-def _growth(actions: DataFrame, key: str, new_name: str, total_name: str) -> DataFrame:
+def _growth(t: DeliveryTables, key: str, new_name: str, total_name: str) -> DataFrame:
     """date, new ids that day, running total of new ids (INT)."""
-    daily = new_per_day(first_seen(actions, key), key, new_name)
+    daily = new_per_day(first_dates(t, key), key, new_name)
     return daily.withColumn(total_name, running_sum(new_name).cast("int"))
 
 
@@ -40,8 +40,8 @@ def audience_growth(t: DeliveryTables) -> DataFrame:
     date, so a date present on one side only has nulls (count and total) on
     the other.
     """
-    users = _growth(t.user_actions, "user_id", "new_users", "total_users")
-    couriers = _growth(t.courier_actions, "courier_id", "new_couriers", "total_couriers")
+    users = _growth(t, "user_id", "new_users", "total_users")
+    couriers = _growth(t, "courier_id", "new_couriers", "total_couriers")
     return users.join(couriers, "date", "full").select(
         "date", "new_users", "new_couriers", "total_users", "total_couriers"
     )
@@ -73,23 +73,19 @@ def growth_rates(growth: DataFrame) -> DataFrame:
 # -- M03 -------------------------------------------------------------------
 
 
-def _active_and_totals(flagged: DataFrame, key: str, flag: str, active_name: str, total_name: str) -> DataFrame:
-    """From a log with a boolean ``flag`` column: per action date, the distinct
-    ids with a flagged action (``active_name``), and the running total of ids by
-    first action date (``total_name``), on the dates that have new ids.
+def _active_and_totals(days: DataFrame, key: str, active: Column, active_name: str, total_name: str) -> DataFrame:
+    """From one row per date and id: per date, the ids with ``active`` (``active_name``), and the running total of ids
+    by first action date (``total_name``), on the dates that have new ids.
 
-    One (date, id) aggregate; a window over an id's dates marks its first one,
-    so both counts come from the same rows.
+    A window over an id's dates marks its first one, so both counts come from the same rows.
     """
-    per_id_day = flagged.groupBy(day("time").alias("date"), key).agg(F.max(flag).alias(flag))
     first = F.min("date").over(Window.partitionBy(key))
-    known = F.col(key).isNotNull()
     # rows without an id count for neither and stay out of the window
     daily = (
-        per_id_day.filter(known)
+        days.filter(F.col(key).isNotNull())
         .withColumn("new", F.col("date") == first)
         .groupBy("date")
-        .agg(F.count(F.when(F.col(flag), 1)).alias(active_name), F.count(F.when(F.col("new"), 1)).alias("new"))
+        .agg(F.count(F.when(active, 1)).alias(active_name), F.count(F.when(F.col("new"), 1)).alias("new"))
         .filter(F.col("new") > 0)
     )
     return daily.select("date", active_name, running_sum("new").cast("int").alias(total_name))
@@ -105,10 +101,8 @@ def active_audience(t: DeliveryTables) -> DataFrame:
     order delivered at some time.  Only dates with user rows, courier rows,
     new users and new couriers remain.  Sorted by date.
     """
-    ua = with_own_flag(t.user_actions, S.CANCEL_ORDER, "cancelled").withColumn("paid", paid_flag())
-    users = _active_and_totals(ua, "user_id", "paid", "paying_users", "total_users")
-    ca = with_own_flag(t.courier_actions, S.DELIVER_ORDER, "delivered")
-    couriers = _active_and_totals(ca, "courier_id", "delivered", "active_couriers", "total_couriers")
+    users = _active_and_totals(user_days(t), "user_id", F.col("paid_actions") > 0, "paying_users", "total_users")
+    couriers = _active_and_totals(courier_days(t), "courier_id", F.col("on_delivered") > 0, "active_couriers", "total_couriers")
     return (
         users.join(couriers, "date")
         .select(
@@ -129,17 +123,20 @@ def order_frequency_shares(t: DeliveryTables) -> DataFrame:
     """Share of paying users with exactly one / more than one order action a day.
 
     Columns: date, single_order_users_share, several_orders_users_share
-    (percent of that day's paying users).  One pass: count actions per
-    (date, user), then count users per date by that number.  Dates lacking
+    (percent of that day's paying users).  One pass: paid actions per
+    (date, user), then users per date by that number.  Dates lacking
     either kind of user are dropped.  Sorted by date.
     """
-    paid = not_cancelled(t.user_actions, t.user_actions)
-    per_user = paid.groupBy(day("time").alias("date"), "user_id").agg(F.count("order_id").alias("n"))
-    known = F.col("user_id").isNotNull()
-    per_day = per_user.groupBy("date").agg(
-        F.count(F.when(known, 1)).alias("paying_users"),
-        F.count(F.when(known & (F.col("n") == 1), 1)).alias("one_order"),
-        F.count(F.when(known & (F.col("n") > 1), 1)).alias("several_orders"),
+    n = F.col("paid_actions")
+    per_day = (
+        user_days(t)
+        .filter(F.col("user_id").isNotNull() & (n > 0))
+        .groupBy("date")
+        .agg(
+            F.count(F.lit(1)).alias("paying_users"),
+            F.count(F.when(n == 1, 1)).alias("one_order"),
+            F.count(F.when(n > 1, 1)).alias("several_orders"),
+        )
     )
     return (
         per_day.filter((F.col("one_order") > 0) & (F.col("several_orders") > 0))
@@ -165,7 +162,7 @@ def courier_load(t: DeliveryTables) -> DataFrame:
     """
     # One scan of each log.  A user log row says who paid on its date, and its
     # order's creation date where the order counts: two dated rows.
-    paid = with_own_flag(t.user_actions, S.CANCEL_ORDER, "cancelled").filter(paid_flag())
+    paid = user_log(t).filter("paid")
     created = t.orders.filter(F.col("order_id").isNotNull()).select(F.col("order_id").alias("id"), day("creation_time").alias("created"), F.lit(1).alias("found"))
     dated = paid.select("order_id", "user_id", day("time").alias("acted")).join(created, F.col("order_id") == F.col("id"), "left")
     kinds = F.array(
@@ -181,10 +178,10 @@ def courier_load(t: DeliveryTables) -> DataFrame:
         .filter((F.col("paid") > 0) & (F.col("orders") > 0) & F.col("date").isNotNull())
     )
     active = (
-        with_own_flag(t.courier_actions, S.DELIVER_ORDER, "delivered")
-        .filter("delivered")
-        .groupBy(day("time").alias("date"))
-        .agg(F.countDistinct("courier_id").alias("active_couriers"))
+        courier_days(t)
+        .filter("on_delivered > 0")
+        .groupBy("date")
+        .agg(F.count("courier_id").alias("active_couriers"))
     )
     return (
         users.join(active, "date")
@@ -209,7 +206,7 @@ def delivery_time(t: DeliveryTables, delivered_only: bool = False) -> DataFrame:
     time (0); ``delivered_only=True`` keeps orders with a delivery only.
     Sorted by date.
     """
-    ca = not_cancelled(t.courier_actions, t.user_actions)
+    ca = without_cancelled(t, t.courier_actions)
     if delivered_only:
         ca = ca.join(delivered_orders(t.courier_actions), "order_id", "left_semi")
     per_order = ca.groupBy("order_id").agg(
@@ -236,14 +233,16 @@ def hourly_cancel_rate(t: DeliveryTables, delivered_only: bool = False) -> DataF
     ``delivered_only=True`` also delivered.  Hours lacking either kind are
     dropped.  Sorted by hour.
     """
-    o = with_cancel_flag(t.orders.select("order_id", "creation_time"), t.user_actions)
-    successful = paid_flag()
+    # an order without an id is neither successful nor cancelled
+    o = t.orders.select("order_id", "creation_time").filter(F.col("order_id").isNotNull())
+    o = o.join(cancelled_ids(t).withColumn("cancelled", F.lit(True)), "order_id", "left")
+    successful = F.col("cancelled").isNull() & facts(t)[0]
     if delivered_only:
         o = flag_join(o, delivered_orders(t.courier_actions), "order_id", "delivered")
         successful = successful & F.col("delivered")
     hourly = o.groupBy(hour_of("creation_time").alias("hour")).agg(
         F.count(F.when(successful, 1)).alias("successful_orders"),
-        F.count(F.when(F.col("order_id").isNotNull() & F.col("cancelled"), 1)).alias("canceled_orders"),
+        F.count(F.when(F.col("cancelled"), 1)).alias("canceled_orders"),
     )
     return (
         hourly.filter(

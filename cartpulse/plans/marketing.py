@@ -3,7 +3,8 @@
 ``members`` is a DataFrame (ads_campaign INT, user_id BIGINT); ``campaigns``
 gives each campaign's spend.  Membership is joined first, and only then are the
 member rows tested against the cancelled orders, which keeps the large anti
-join small.  Spark broadcasts the members when their bytes are below the
+join small.  Orders are tested against a filter of the members' order ids where they are
+scanned, so product arrays are neither shuffled nor, for other orders, exploded.  Spark broadcasts the members when their bytes are below the
 session's threshold.  Per-user windows run on rows pre-aggregated to (user, day),
 so a hot user contributes at most one row per day to a window partition.
 
@@ -29,32 +30,34 @@ from cartpulse.functions.numeric import (
     units_sql,
     with_scale,
 )
-from cartpulse.operators.campaign import campaign_dim, campaign_label, members_side, with_campaign
-from cartpulse.operators.orders import not_cancelled, order_lines, priced_lines
-from cartpulse.sources.tables import DeliveryTables
+from cartpulse.operators.blocks import bought, paid_actions, user_dates
+from cartpulse.operators.campaign import by_campaign, campaign_dim, campaign_label, campaign_spend, members_side, with_campaign
+from cartpulse.sources.tables import DeliveryTables, within
 
 # Precision of the per-user mean check: 1e-10 of a cent.
 MEAN_EXTRA_PLACES = 10
 
 
-def _member_paid_actions(t: DeliveryTables, members: DataFrame) -> DataFrame:
-    """Member user actions on non-cancelled orders, with ads_campaign.
+def _member_paid_actions(t: DeliveryTables, members: DataFrame, start=None, end=None) -> DataFrame:
+    """Member user actions in [start, end] on non-cancelled orders, with the columns of ``members``.
 
-    ``members`` is a prepared side (:func:`members_side`).
+    ``members`` is a prepared side (:func:`members_side`), one row per user or membership.
     """
-    return not_cancelled(with_campaign(t.user_actions, members), t.user_actions)
+    if "user_log" in t.shared:
+        return with_campaign(within(paid_actions(t), "time", start, end), members)
+    return paid_actions(t, with_campaign(t.between("user_actions", start, end), members))
 
 
-def _member_lines(t: DeliveryTables, actions: DataFrame, *keep: str, how: str = "inner") -> DataFrame:
-    """Priced order lines of the orders behind member ``actions``.
+def _priced_actions(t: DeliveryTables, actions: DataFrame, how: str = "inner") -> DataFrame:
+    """Member ``actions`` joined to what their orders hold: ``actions``' columns, date (of creation), amount.
 
-    Orders are joined to the action rows *before* the product arrays are
-    exploded: only member orders are exploded and priced, and every line is
-    repeated once per action row of its order, as a join of lines to the
-    user log does.  ``keep`` names action columns to carry along.
+    An order's lines come once per action, as in a join of lines to the log.  ``inner`` drops unknown products; ``left``
+    keeps every action, with ``ordered`` false where the order is missing or has no line, and unknown products add nothing.
     """
-    orders = t.orders.join(actions.select("order_id", *keep), "order_id")
-    return priced_lines(order_lines(orders, *keep), t.products, how)
+    lines = bought(t, actions).withColumn("ordered", F.lit(True))
+    if how == "inner":
+        lines = lines.filter("known = 1")
+    return actions.join(lines, "order_id", how).withColumn("ordered", F.coalesce("ordered", F.lit(False)))
 
 
 def paying_members(t: DeliveryTables, members: DataFrame) -> DataFrame:
@@ -75,8 +78,7 @@ def campaign_cac(t: DeliveryTables, members: DataFrame, campaigns: P.Campaigns =
     Columns: ads_campaign (label without a space after the sign), cac (2
     places).  A campaign without paying members has no row.
     """
-    dim = campaign_dim(t.spark, campaigns.spend)
-    return paying_members(t, members).join(dim, "ads_campaign", "left").select(
+    return paying_members(t, members).withColumn("spend", campaign_spend("ads_campaign", campaigns.spend)).select(
         campaign_label("ads_campaign", P.CAMPAIGN_LABEL_TIGHT).alias("ads_campaign"),
         money_ratio("spend", "payers").alias("cac"),
     )
@@ -93,9 +95,7 @@ def campaign_roi(t: DeliveryTables, members: DataFrame, campaigns: P.Campaigns =
     when its members bought nothing or its spend isn't known.
     """
     actions = _member_paid_actions(t, members_side(members))
-    revenue = (
-        _member_lines(t, actions, "ads_campaign").groupBy("ads_campaign").agg(F.sum("price").alias("revenue"))
-    )
+    revenue = _priced_actions(t, actions).groupBy("ads_campaign").agg(F.sum("amount").cast("decimal(22,2)").alias("revenue"))
     dim = campaign_dim(t.spark, campaigns.spend)
     return dim.join(revenue, "ads_campaign", "full").select(
         campaign_label("ads_campaign", P.CAMPAIGN_LABEL_SPACED).alias("ads_campaign"),
@@ -121,13 +121,11 @@ def campaign_avg_check(
     rounded half up.  Sorted by avg_check, descending.  ``per_order=True`` takes the
     mean over the campaign's orders instead of over its members' means.
     """
-    actions = _member_paid_actions(t, members_side(members)).filter(
-        day("time").between(F.lit(start), F.lit(end))
-    )
+    actions = _member_paid_actions(t, members_side(members), start, end)
     checks = (
-        _member_lines(t, actions, "ads_campaign", "user_id")
+        _priced_actions(t, actions)
         .groupBy("ads_campaign", "user_id", "order_id")
-        .agg(F.sum("price").alias("order_check"))
+        .agg(F.sum("amount").cast("decimal(22,2)").alias("order_check"))
     )
     if per_order:
         sums = checks.groupBy("ads_campaign").agg(F.sum("order_check").alias("checks"), F.count("order_check").alias("orders"))
@@ -184,7 +182,7 @@ def retention(t: DeliveryTables) -> DataFrame:
     ``start_date + day_number`` over the cohort size, 2 places).  Any action
     counts, cancellations included.
     """
-    return _cohort_retention(t.user_actions.select("user_id", day("time").alias("date"))).select(
+    return _cohort_retention(user_dates(t)).select(
         F.trunc("start_date", "month").alias("start_month"), "start_date", "day_number", "retention"
     )
 
@@ -204,7 +202,10 @@ def campaign_retention(
     Columns: ads_campaign (label with a space), start_date, day_number,
     retention.  Sorted by campaign and day number.
     """
-    actions = _member_paid_actions(t, members_side(members)).select("ads_campaign", "user_id", day("time").alias("date"))
+    # A cohort is made by first actions, so the log is needed from its start, but not beyond the last day asked for.
+    last = start_date + dt.timedelta(days=max(days, default=0))
+    paid = _member_paid_actions(t, members_side(members), end=last)
+    actions = paid.select("ads_campaign", "user_id", day("time").alias("date"))
     r = _cohort_retention(actions, "ads_campaign")
     return (
         r.filter((F.col("start_date") == F.lit(start_date)) & F.col("day_number").isin(list(days)))
@@ -238,40 +239,46 @@ def campaign_payback(
     rows with null ratios.  A member of several campaigns counts for the
     lowest-numbered one.  Sorted by campaign and day.
 
-    Plan: the per-user window of the original runs on (user, day) sums of
-    member orders only, and the running sum on (campaign, day) sums, instead
-    of on order rows partitioned by the two campaigns.
+    Plan: one chain.  Member actions with their orders' totals are summed per (user, day); a window over a user's days
+    gives the start, and on one of them the user counts as a payer of each of its campaigns; sums per (campaign, day) and
+    a window over a campaign's days give the rest.  No window sees order rows.
     """
-    # One pass over the members: each membership knows its user's lowest
-    # campaign, so the same member actions give the payer count (every
-    # membership) and the revenue (the lowest campaign's rows).
-    lowest = F.min("ads_campaign").over(Window.partitionBy("user_id"))
-    side = members_side(members).withColumn("lowest", F.col("ads_campaign") == lowest)
-    member_actions = _member_paid_actions(t, side)
-    actions = member_actions.filter("lowest")
+    # A member's campaigns in order: the first one takes the revenue, each counts the payer.
+    side = members_side(members).groupBy("user_id").agg(F.array_sort(F.collect_set("ads_campaign")).alias("campaigns"))
+    side = side.filter(F.size("campaigns") > 0)
+    actions = _member_paid_actions(t, side)
     per_user_day = (
-        _member_lines(t, actions, "ads_campaign", "user_id", how="left")
-        .groupBy("ads_campaign", "user_id", "date")
-        .agg(F.sum("price").alias("revenue"))
+        _priced_actions(t, actions, "left")
+        .groupBy("user_id", "campaigns", "ordered", "date")
+        .agg(F.sum("amount").alias("revenue"))
     )
-    start = F.min("date").over(Window.partitionBy("user_id"))
-    per_day = (
-        per_user_day.withColumn("day", days_between(F.col("date"), start))
-        .groupBy("ads_campaign", "day")
-        .agg(F.sum("revenue").alias("revenue"))
+    by_user = Window.partitionBy("user_id").orderBy("ordered", "date")
+    whole = by_user.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dated = per_user_day.select(
+        "campaigns",
+        "ordered",
+        days_between(F.col("date"), F.min("date").over(whole)).alias("day"),
+        F.row_number().over(by_user).alias("nth"),
+        "revenue",
     )
-    cumulative = F.sum("revenue").over(Window.partitionBy("ads_campaign").orderBy("day"))
-
-    if payers is None:
-        payer_df = member_actions.groupBy("ads_campaign").agg(F.countDistinct("user_id").alias("payers"))
-    else:
-        payer_df = t.spark.createDataFrame(
-            [(int(k), int(v)) for k, v in sorted(payers.items())], "ads_campaign int, payers bigint"
-        )
-    dim = payer_df.join(campaign_dim(t.spark, campaigns.spend), "ads_campaign", "left")
+    kind = "struct<ads_campaign:int,day:int,ordered:boolean,revenue:decimal(32,2),payers:int>"
+    sale = f"CAST(named_struct('c', campaigns[0], 'd', day, 'o', true, 'r', revenue, 'p', 0) AS {kind})"
+    payer = f"transform(campaigns, c -> CAST(named_struct('c', c, 'd', null, 'o', false, 'r', null, 'p', 1) AS {kind}))"
+    rows = dated.select(F.expr(f"inline(concat(CASE WHEN ordered THEN array({sale}) ELSE array() END, CASE WHEN nth = 1 THEN {payer} ELSE array() END))"))
+    per_day = rows.groupBy("ads_campaign", "day", "ordered").agg(F.sum("revenue").alias("revenue"), F.sum("payers").alias("payers"))
+    of_campaign = Window.partitionBy("ads_campaign").orderBy("ordered", "day")
+    all_days = of_campaign.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cumulative = per_day.select(
+        "ads_campaign",
+        "day",
+        "ordered",
+        F.sum("revenue").over(of_campaign).alias("cumulative"),
+        F.sum("payers").over(all_days).alias("payers"),
+    ).filter("ordered")
+    if payers is not None:
+        cumulative = cumulative.withColumn("payers", by_campaign("ads_campaign", {k: F.lit(int(v)) for k, v in payers.items()}))
     return (
-        per_day.select("ads_campaign", "day", cumulative.alias("cumulative"))
-        .join(dim, "ads_campaign", "left")
+        cumulative.withColumn("spend", campaign_spend("ads_campaign", campaigns.spend))
         .select(
             campaign_label("ads_campaign", P.CAMPAIGN_LABEL_SPACED).alias("ads_campaign"),
             "day",

@@ -53,10 +53,14 @@ def peak_hours(t: DeliveryTables, k: int = 3) -> DataFrame:
     busiest = F.row_number().over(Window.orderBy(F.desc("orders"), "hour"))
     quietest = F.row_number().over(Window.orderBy(F.asc("orders"), "hour"))
     ranked = hourly.select("hour", "orders", busiest.alias("peak_rank"), quietest.alias("quiet_rank"))
-    peak = ranked.filter(F.col("peak_rank") <= k).select(
-        F.lit("peak").alias("kind"), F.col("peak_rank").alias("rank"), "hour", "orders"
+    # each hour is a row of either kind, a pass over the 24 of them
+    kinds = F.array(
+        F.struct(F.lit("peak").alias("kind"), F.col("peak_rank").alias("rank")),
+        F.struct(F.lit("quiet").alias("kind"), F.col("quiet_rank").alias("rank")),
     )
-    quiet = ranked.filter(F.col("quiet_rank") <= k).select(
-        F.lit("quiet").alias("kind"), F.col("quiet_rank").alias("rank"), "hour", "orders"
+    return (
+        ranked.select("hour", "orders", F.inline(kinds))
+        .filter(F.col("rank") <= k)
+        .select("kind", "rank", "hour", "orders")
+        .orderBy("kind", "rank")
     )
-    return peak.unionByName(quiet).orderBy("kind", "rank")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartpulse import params as P
+from cartpulse import schema as S
 from cartpulse.functions.dates import day
 from cartpulse.jobs import METRIC_FUNCTIONS, run_metric
 from cartpulse.operators import orders as O
@@ -76,7 +77,8 @@ def _blocks() -> dict[str, Callable[[SparkSession, str, DeliveryTables], DataFra
     """The shared building blocks (S1-S8) as queries of their own."""
 
     def paid_user_actions(spark, sf, t):
-        paid = O.not_cancelled(t.user_actions, t.user_actions)
+        cancels = t.user_actions.filter(F.col("action") == S.CANCEL_ORDER)
+        paid = O.not_in(t.user_actions, cancels)
         return paid.select("user_id", "order_id", "action", day("time").alias("date"))
 
     def priced(spark, sf, t):

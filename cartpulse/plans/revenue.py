@@ -6,11 +6,11 @@ lazy DataFrame.  Money columns are DECIMAL; ratios are DECIMAL rounded
 HALF_UP exactly (see ``cartpulse.functions.numeric``).
 
 Plan shape common to all of them: cancelled orders are removed with an
-anti join on ``order_id`` *before* the product arrays are exploded, products
-are joined to the exploded lines with a size-checked broadcast (no shuffle of
-the line rows), and every aggregation to days runs partial (map-side) first,
-so only one row per day and task crosses the network.  Windows run on the
-day-level result only.
+anti join on ``order_id`` *before* the product arrays are exploded.  Where
+orders don't matter, units are counted by day and product below the join to
+products, so no exchange carries lines; where they do, lines become one total per
+order first, and days are summed from those.  Windows run on the day-level
+result only.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartpulse import params as P
-from cartpulse import schema as S
 from cartpulse.functions.dates import day, iso_weekday, weekday_name
 from cartpulse.functions.numeric import (
     half_up_div,
@@ -32,30 +31,27 @@ from cartpulse.functions.numeric import (
     with_scale,
 )
 from cartpulse.operators.audience import day_order, running_sum
-from cartpulse.operators.orders import (
-    not_cancelled,
-    order_lines,
-    order_totals,
-    paid_flag,
-    priced_lines,
-    with_cancel_flag,
-    with_own_flag,
+from cartpulse.operators.blocks import (
+    delivery_days,
+    flagged_between,
+    order_days,
+    paid_totals,
+    paid_units,
+    user_days,
 )
+from cartpulse.operators.joins import left_join_known
+from cartpulse.operators.orders import sales
 from cartpulse.sources.tables import DeliveryTables
 
 
-def _paid_lines(t: DeliveryTables, *extra: str) -> DataFrame:
-    """Priced units of non-cancelled orders: date, order_id, product_id, name, price."""
-    orders = not_cancelled(t.orders, t.user_actions)
-    return priced_lines(order_lines(orders, *extra), t.products)
+def _per_day(totals: DataFrame, *keys: str) -> DataFrame:
+    """Revenue and number of orders from one total per order and ``keys``."""
+    return totals.groupBy(*keys).agg(F.sum("order_revenue").alias("revenue"), F.count("order_id").alias("orders"))
 
 
 def _daily_revenue_base(t: DeliveryTables) -> DataFrame:
-    """Revenue and distinct orders per creation date of non-cancelled orders."""
-    return _paid_lines(t).groupBy("date").agg(
-        F.sum("price").alias("revenue"),
-        F.countDistinct("order_id").alias("orders"),
-    )
+    """Revenue and orders per creation date of non-cancelled orders."""
+    return _per_day(paid_totals(t, date=day("creation_time")), "date")
 
 
 # -- M08 -------------------------------------------------------------------
@@ -67,7 +63,7 @@ def daily_revenue(t: DeliveryTables) -> DataFrame:
     Columns: date, revenue, total_revenue, revenue_change (null on the first
     day).  The running total uses an explicit ROWS frame.
     """
-    daily = _paid_lines(t).groupBy("date").agg(F.sum("price").alias("revenue"))
+    daily = sales(paid_units(t), t.products, "date")
     w = day_order()
     return daily.select(
         "date",
@@ -79,20 +75,13 @@ def daily_revenue(t: DeliveryTables) -> DataFrame:
     )
 
 
-def _users_per_day(ua: DataFrame) -> DataFrame:
+def _users_per_day(t: DeliveryTables) -> DataFrame:
     """date, users (distinct acting users), paying_users (distinct users acting
-    on a non-cancelled order).
-
-    Deduplicates (date, user) first with ``max(paid)``, so the two distinct
-    counts come from one aggregation instead of an Expand that doubles the
-    rows; a hot user collapses to one row per day in the partial aggregate.
-    """
-    flagged = with_own_flag(ua, S.CANCEL_ORDER, "cancelled")
-    per_user = flagged.groupBy(day("time").alias("date"), "user_id").agg(F.max(paid_flag()).alias("paid"))
+    on a non-cancelled order), from one row per user and day."""
     known = F.col("user_id").isNotNull()
-    return per_user.groupBy("date").agg(
+    return user_days(t).groupBy("date").agg(
         F.count(F.when(known, 1)).alias("users"),
-        F.count(F.when(known & F.col("paid"), 1)).alias("paying_users"),
+        F.count(F.when(known & (F.col("paid_actions") > 0), 1)).alias("paying_users"),
     )
 
 
@@ -107,7 +96,7 @@ def daily_arpu(t: DeliveryTables) -> DataFrame:
     places.  Revenue and orders are by creation date of non-cancelled
     orders; users by action date; the two are inner-joined on date.
     """
-    users = _users_per_day(t.user_actions)
+    users = _users_per_day(t)
     rev = _daily_revenue_base(t)
     return rev.join(users, "date").select(
         "date",
@@ -128,13 +117,11 @@ def running_arpu(t: DeliveryTables) -> DataFrame:
     three daily series are inner-joined on date *before* the running sums, so
     a date without a new user or a new payer is left out of all totals.
     """
-    # One scan of the log: its orders' flags, then each user's first action
-    # date and first paying date, which become two dated rows of one aggregate.
-    # A date without rows of either kind drops out, as in an inner join.
-    per_user = (
-        with_own_flag(t.user_actions, S.CANCEL_ORDER, "cancelled")
-        .groupBy("user_id")
-        .agg(F.min(day("time")).alias("first"), F.min(F.when(paid_flag(), day("time"))).alias("paid"))
+    # One scan of the log: each user's first action date and first paying date
+    # become two dated rows of one aggregate.  A date without rows of either kind
+    # drops out, as in an inner join.
+    per_user = user_days(t).groupBy("user_id").agg(
+        F.min("date").alias("first"), F.min(F.when(F.col("paid_actions") > 0, F.col("date"))).alias("paid")
     )
     kinds = F.array(
         F.struct(F.col("first").alias("date"), F.lit(True).alias("new")),
@@ -170,10 +157,6 @@ def running_arpu(t: DeliveryTables) -> DataFrame:
 # -- M11 -------------------------------------------------------------------
 
 
-def _ts_lit(value) -> Column:
-    return F.lit(str(value)).cast("timestamp_ntz")
-
-
 def weekday_arpu(t: DeliveryTables, start=P.WEEKDAY_FROM, end=P.WEEKDAY_TO) -> DataFrame:
     """ARPU, ARPPU and AOV by day of week over a time window (inclusive).
 
@@ -181,29 +164,26 @@ def weekday_arpu(t: DeliveryTables, start=P.WEEKDAY_FROM, end=P.WEEKDAY_TO) -> D
     (ISO, Monday = 1), arpu, arppu, aov.  Users are distinct over the whole
     window per weekday.  Sorted by weekday_number.
     """
-    lo, hi = _ts_lit(start), _ts_lit(end)
-    orders = t.orders.filter(F.col("creation_time").between(lo, hi))
-    lines = priced_lines(
-        order_lines(not_cancelled(orders, t.user_actions), "creation_time"), t.products
+    weekday = ["weekday", "weekday_number"]
+
+    def of(c: str) -> dict[str, Column]:
+        return {"weekday": weekday_name(c), "weekday_number": iso_weekday(c)}
+
+    rev = _per_day(paid_totals(t, start, end, **of("creation_time")), *weekday)
+    per_user = (
+        flagged_between(t, start, end)
+        .groupBy(*[c.alias(k) for k, c in of("time").items()], "user_id")
+        .agg(F.max("paid").alias("paid"))
     )
-    rev = lines.groupBy(
-        weekday_name("creation_time").alias("weekday"), iso_weekday("creation_time").alias("weekday_number")
-    ).agg(F.sum("price").alias("revenue"), F.countDistinct("order_id").alias("orders"))
-    ua = t.user_actions.filter(F.col("time").between(lo, hi))
-    flagged = with_cancel_flag(ua, t.user_actions)
-    per_user = flagged.groupBy(
-        weekday_name("time").alias("weekday"), iso_weekday("time").alias("weekday_number"), "user_id"
-    ).agg(F.max(paid_flag()).alias("paid"))
     known = F.col("user_id").isNotNull()
-    users = per_user.groupBy("weekday", "weekday_number").agg(
+    users = per_user.groupBy(*weekday).agg(
         F.count(F.when(known, 1)).alias("users"),
         F.count(F.when(known & F.col("paid"), 1)).alias("paying_users"),
     )
     return (
-        rev.join(users, ["weekday", "weekday_number"])
+        rev.join(users, weekday)
         .select(
-            "weekday",
-            "weekday_number",
+            *weekday,
             money_ratio("revenue", "users").alias("arpu"),
             money_ratio("revenue", "paying_users").alias("arppu"),
             money_ratio("revenue", "orders").alias("aov"),
@@ -227,15 +207,16 @@ def new_user_revenue(t: DeliveryTables) -> DataFrame:
     # Totals per order, with the creation date, serve both sides from one
     # exchange: the two daily sums are united and grouped, as a join on date
     # would push a filter into one of them and part their plans.
-    totals = order_totals(_paid_lines(t), "date")
+    totals = paid_totals(t, date=day("creation_time"))
     rev = totals.groupBy("date").agg(F.sum("order_revenue").alias("revenue"))
     # Every action joins its order's total (null for cancelled or unpriced
-    # orders); the (user, date) sums give that day's revenue, and a window over a
-    # user's days the first one.
+    # orders, and for actions without an order, which go past the join); the
+    # (user, date) sums give that day's revenue, and a window over a user's days the
+    # first one.
+    actions = t.user_actions.filter(F.col("user_id").isNotNull()).select(day("time").alias("date"), "user_id", "order_id")
+    revenue = totals.select("order_id", "order_revenue")
     per_user_day = (
-        t.user_actions.filter(F.col("user_id").isNotNull())
-        .select(day("time").alias("date"), "user_id", "order_id")
-        .join(totals.select("order_id", "order_revenue"), "order_id", "left")
+        left_join_known(actions, revenue, "order_id")
         .groupBy("user_id", "date")
         .agg(F.sum("order_revenue").alias("revenue"))
     )
@@ -289,7 +270,8 @@ def product_revenue_share(
     The total is a one-row aggregate joined to every name (a broadcast of one
     row), not a window over all lines.
     """
-    per_name = _paid_lines(t).groupBy(F.col("name").alias("product_name")).agg(F.sum("price").alias("revenue"))
+    units = paid_units(t).groupBy("product_id").agg(F.sum("units").alias("units"))
+    per_name = sales(units, t.products, "name").withColumnRenamed("name", "product_name")
     total = per_name.agg(F.sum("revenue").alias("total"))
     rev_c, tot_c = units_sql("revenue", 2), units_sql("total", 2)
     small = F.expr(f"{rev_c} * 100 < {tot_c} * {Decimal(str(threshold))}")
@@ -353,37 +335,24 @@ def gross_profit(
         _reduced_vat(reduced_vat), half_up_div(f"{cents} * {rn}", str(rd), "BIGINT")
     ).otherwise(half_up_div(f"{cents} * {sn}", str(sd), "BIGINT"))
     taxed = t.products.select("product_id", "price", unit_tax_c.alias("tax_c"))
-    orders = not_cancelled(t.orders, t.user_actions)
-    sales = (
-        priced_lines(order_lines(orders), taxed)
-        .groupBy("date")
-        .agg(F.sum("price").alias("revenue"), F.sum("tax_c").alias("tax_c"))
-        .select("date", "revenue", with_scale("tax_c", 2).alias("tax"))
-    )
+    sold = sales(paid_units(t), taxed, "date", tax_c=F.col("tax_c")).select("date", "revenue", with_scale("tax_c", 2).alias("tax"))
 
-    deliveries = (
-        t.courier_actions.filter(F.col("action") == S.DELIVER_ORDER)
-        .groupBy(day("time").alias("date"), "courier_id")
-        .agg(F.count("order_id").alias("n"))
-    )
-    date = F.col("date")
+    deliveries = delivery_days(t)
+    date, n = F.col("date"), F.col("deliveries")
     bonus = F.coalesce(_by_month(date, cost.tariffs, "courier_bonus"), F.lit(0))
-    bonus = F.when(F.col("n") >= cost.bonus_min_deliveries, bonus).otherwise(F.lit(0))
-    courier_pay = deliveries.groupBy("date").agg(
-        F.sum(F.col("n") * cost.pay_per_delivery + bonus).alias("courier_pay")
-    )
+    bonus = F.when(n >= cost.bonus_min_deliveries, bonus).otherwise(F.lit(0))
+    courier_pay = deliveries.groupBy("date").agg(F.sum(n * cost.pay_per_delivery + bonus).alias("courier_pay"))
     # Assembly is paid per non-cancelled user action at the month's rate (null
     # outside the tariff months), fixed costs per day.
-    paid_ua = not_cancelled(t.user_actions, t.user_actions).select(day("time").alias("date"))
-    assembly = paid_ua.groupBy("date").agg(F.count(F.lit(1)).alias("actions")).select(
+    assembly = order_days(t).select(
         "date",
-        (F.col("actions") * _by_month(date, cost.tariffs, "assembly_per_action")).alias("assembly"),
+        (F.col("paid_actions") * _by_month(date, cost.tariffs, "assembly_per_action")).alias("assembly"),
         _by_month(date, cost.tariffs, "fixed_per_day").alias("fixed"),
     )
     total = F.col("assembly") + F.col("fixed") + F.col("courier_pay")
     costs = assembly.join(courier_pay, "date", "full").select("date", total.cast("decimal(22,2)").alias("costs"))
 
-    daily = costs.join(sales, "date").withColumn(
+    daily = costs.join(sold, "date").withColumn(
         "gross_profit", F.col("revenue") - F.col("costs") - F.col("tax")
     )
     return daily.select(

@@ -34,6 +34,9 @@ SCALE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Every column expression would note the Python line that made it, several
+    # driver round trips each; a metric's plan is built in half the time without.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -64,6 +67,16 @@ def build_session(
     return spark
 
 
+def _checkpoint_setting(spark: SparkSession) -> str | None:
+    sc = spark.sparkContext
+    return sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def has_checkpoint_dir(spark: SparkSession) -> bool:
+    """Does the session name a shared checkpoint folder?"""
+    return bool(_checkpoint_setting(spark))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's shared checkpoint folder; raises when none is configured.
 
@@ -71,7 +84,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     reach (HDFS, object store); it is read, never replaced.
     """
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    folder = _checkpoint_setting(spark)
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not sc.getCheckpointDir():
@@ -83,3 +96,9 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder (that the caller made) wherever Spark can reach it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)

@@ -141,7 +141,8 @@ def executed(spark, df) -> str:
 
 @pytest.mark.parametrize(
     ("name", "scans", "explodes"),
-    [("active_audience", 2, 0), ("courier_load", 3, 0), ("running_arpu", 4, 1), ("new_user_revenue", 4, 1), ("retention", 1, 0)],
+    # new-user revenue reads the log's rows without an order id apart (IS NULL, skipped by row-group statistics)
+    [("active_audience", 2, 0), ("courier_load", 3, 0), ("running_arpu", 4, 1), ("new_user_revenue", 5, 1), ("retention", 1, 0)],
 )
 def test_large_tables_are_read_once(spark, tables, name, scans, explodes):
     text = executed(spark, METRICS[name](spark, SF_SMALL, tables))
