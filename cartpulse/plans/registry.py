@@ -48,8 +48,8 @@ def to_boundary(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def _with_test_parameters(name: str) -> Callable[[SparkSession, str, DeliveryTables], DataFrame]:
-    """The metric with the parameters used on the TPC-H-like test data."""
+def _with_test_parameters(name: str, **options) -> Callable[[SparkSession, str, DeliveryTables], DataFrame]:
+    """The metric with the parameters used on the TPC-H-like test data, and further ``options`` of its own."""
 
     needs_members = METRIC_FUNCTIONS[name][1]
 
@@ -62,6 +62,7 @@ def _with_test_parameters(name: str) -> Callable[[SparkSession, str, DeliveryTab
             reduced_vat=reduced_vat_predicate(),
             campaigns=P.Campaigns(spend=TEST_SPEND),
             cost=TEST_COSTS,
+            options={name: options},
         )
 
     return run
@@ -73,6 +74,15 @@ METRICS: dict[str, Callable[[SparkSession, str, DeliveryTables], DataFrame]] = {
 }
 
 
+# The readings of the analysis' prose: name -> the metric with that option.
+READINGS: dict[str, Callable[[SparkSession, str, DeliveryTables], DataFrame]] = {
+    "delivery_time_delivered": _with_test_parameters("delivery_time", delivered_only=True),
+    "hourly_cancel_rate_delivered": _with_test_parameters("hourly_cancel_rate", delivered_only=True),
+    "product_revenue_share_rounded": _with_test_parameters("product_revenue_share", rounded=True),
+    "campaign_avg_check_per_order": _with_test_parameters("campaign_avg_check", per_order=True),
+}
+
+
 def _blocks() -> dict[str, Callable[[SparkSession, str, DeliveryTables], DataFrame]]:
     """The shared building blocks (S1-S8) as queries of their own."""
 
@@ -106,7 +116,7 @@ BLOCKS = _blocks()
 
 
 def make_query(name: str, tables: Callable[[SparkSession, str], DeliveryTables] = derive_tables) -> Query:
-    metric = METRICS[name] if name in METRICS else BLOCKS[name]
+    metric = {**METRICS, **READINGS, **BLOCKS}[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return to_boundary(metric(spark, sf_dir, tables(spark, sf_dir)))
@@ -116,5 +126,5 @@ def make_query(name: str, tables: Callable[[SparkSession, str], DeliveryTables]
 
 
 def queries() -> dict[str, Query]:
-    """The 23 metrics and readouts, then the 9 building-block queries."""
-    return {name: make_query(name) for name in [*METRICS, *BLOCKS]}
+    """The 23 metrics and readouts, the 4 readings of the prose, then the 9 building-block queries."""
+    return {name: make_query(name) for name in [*METRICS, *READINGS, *BLOCKS]}

@@ -20,7 +20,7 @@ def con():
 def test_every_query_has_an_oracle():
     assert set(NAMES) <= set(entry.queries()) and set(NAMES) <= set(entry.oracle_sql())
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(NAMES) == 32  # 20 metrics, 3 readouts, 9 building blocks
+    assert len(NAMES) == 36  # 20 metrics, 3 readouts, 4 readings of the prose, 9 building blocks
 
 
 @pytest.mark.parametrize("name", NAMES)
