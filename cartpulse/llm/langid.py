@@ -10,10 +10,10 @@ rejected too.  With a single dictionary there is no second best, and only texts
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +39,12 @@ MOST_SHARE = 0.05  # texts of no learned language seldom reach more, and repetit
 FEWEST = 8  # fewer texts calibrate nothing: MARGIN_SHARE is taken
 MARGIN_SHARE = 0.03
 
-_WORDS = re.compile(r"[^\W\d_]+")
+# A letter by Unicode category and the letters and marks after it: no number signs, and marks stay with their letters.
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 
 
 def letters(text: str) -> bytes:
-    """What is encoded: the lower-cased words (runs of letters), space-separated."""
+    """What is encoded: the lower-cased words (runs of letters and their marks), space-separated."""
     return f" {' '.join(_WORDS.findall(text.lower()))} ".encode()
 
 

@@ -57,6 +57,14 @@ def test_texts_of_no_learned_language_are_rejected(spark):
     assert langid.accepted(spark.createDataFrame(noise, "doc_id long, text string"), full).count() <= 3
 
 
+def test_number_signs_are_no_letters_and_marks_stay(spark):
+    assert [langid.letters(t).strip() for t in ("½ ²", "Ⅷ", "①", "12 3", "\u0301", "_")] == [b""] * 6
+    assert langid.letters("हिन्दी, Ça ½").decode() == " हिन्दी ça "
+    docs = spark.createDataFrame([(i, "some words of a tongue", "aa") for i in range(40)] + [(50, "½ ²", "bb"), (51, "Ⅷ", "bb")], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.rejected) for r in langid.predict(docs, langid.train(docs)).collect()}
+    assert got[50] == got[51] == ("und", True) and got[0][0] == "aa"
+
+
 def test_smallest_encoding_wins_and_ties_are_rejected():
     assert langid.judge([10, 12, 30], ["a", "b", "c"])[0] == "a"
     lang, score, margin = langid.judge([10, 10], ["a", "b"])
