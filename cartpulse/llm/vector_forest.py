@@ -1,13 +1,14 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-Each tree splits a node along a random direction, again and again; vectors within ``SPILL`` of a
-threshold go to both sides (spill overlap), so a close pair is seldom torn apart in one tree and hardly ever
+Each tree splits a node along a random direction, again and again; vectors within a spill of the
+threshold (``SPILL`` of the spread that unit vectors of that dimension have along a direction) go to both sides (spill overlap), so a close pair is seldom torn apart in one tree and hardly ever
 in all of them.  Vectors are compared within leaves, in double precision, and links are united.
 
 * The trees are fitted on a bounded sample (``SAMPLE`` vectors) on the driver; every vector is put into its leaves.
   Of several random directions and thresholds a node takes the one with the fewest sample vectors near
   it, so dense groups stay whole and are seldom copied.  A node that is dense even there is no longer split.
 * Trees are added until of ``PROBES`` pairs at the very threshold (a sample vector and one made for it) ``MISSED`` at most share no leaf.
+  Where ``MOST_TREES`` don't reach that (vectors of few dimensions), the vectors of that length are one leaf: all its pairs are compared.
 * Equal vectors are one class with a count (64-bit hash of the array), so copies aren't compared.
 * A leaf above ``LEAF_ROWS`` is cut into blocks and each pair of blocks is a task of its own: all its pairs are compared.
   So a group of near copies is compared in full; its cost grows with the square of its blocks.
@@ -30,7 +31,7 @@ TREES = 4  # at least
 MOST_TREES = 24
 PROBES, MISSED = 2048, 0.001
 DENSE = 2.5  # a node isn't split where its vectors lie so many times denser than those of a uniform sphere
-SPILL = 0.025  # on unit vectors
+SPILL = 0.2  # of the spread of unit vectors along a direction, 1 / sqrt(dimension)
 LEAF_TARGET = 256
 LEAF_ROWS = 1024
 DIRECTIONS = 4
@@ -41,6 +42,7 @@ class Tree:
 
     def __init__(self, sample: np.ndarray, leaf: int, rng: np.random.Generator):
         self.directions, self.thresholds, self.kids, self.leaves = [], [], [], 0
+        self.spill = SPILL / np.sqrt(sample.shape[1])
         self.root = self._grow(sample, leaf, rng, 0)
 
     def _grow(self, x: np.ndarray, leaf: int, rng: np.random.Generator, depth: int) -> int:
@@ -53,26 +55,25 @@ class Tree:
         self.directions.append(direction)
         self.thresholds.append(threshold)
         self.kids.append([0, 0])
-        left = self._grow(x[at <= threshold + SPILL], leaf, rng, depth + 1)
-        right = self._grow(x[at >= threshold - SPILL], leaf, rng, depth + 1)
+        left = self._grow(x[at <= threshold + self.spill], leaf, rng, depth + 1)
+        right = self._grow(x[at >= threshold - self.spill], leaf, rng, depth + 1)
         self.kids[me] = [left, right]
         return me
 
-    @staticmethod
-    def _split(x: np.ndarray, rng: np.random.Generator) -> tuple | None:
+    def _split(self, x: np.ndarray, rng: np.random.Generator) -> tuple | None:
         best = None
         for _ in range(DIRECTIONS):
             direction = rng.standard_normal(x.shape[1])
             direction /= np.linalg.norm(direction)
             at = x @ direction
             for threshold in np.quantile(at, np.linspace(0.35, 0.65, 7)):
-                near = int((np.abs(at - threshold) <= SPILL).sum())
+                near = int((np.abs(at - threshold) <= self.spill).sum())
                 if best is None or near < best[0]:
                     best = (near, direction, float(threshold), at)
         near, direction, threshold, at = best
-        if near > DENSE * 0.4 * np.sqrt(x.shape[1]) * 2 * SPILL * len(x):
+        if near > DENSE * 0.4 * np.sqrt(x.shape[1]) * 2 * self.spill * len(x):
             return None
-        larger = max((at <= threshold + SPILL).sum(), (at >= threshold - SPILL).sum())
+        larger = max((at <= threshold + self.spill).sum(), (at >= threshold - self.spill).sum())
         return None if larger > 0.9 * len(x) else (direction, threshold, at)
 
     def put(self, x: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -85,8 +86,8 @@ class Tree:
                 continue
             at = x[rows] @ self.directions[node]
             left, right = self.kids[node]
-            stack.append((left, rows[at <= self.thresholds[node] + SPILL]))
-            stack.append((right, rows[at >= self.thresholds[node] - SPILL]))
+            stack.append((left, rows[at <= self.thresholds[node] + self.spill]))
+            stack.append((right, rows[at >= self.thresholds[node] - self.spill]))
         return [(leaf, rows) for leaf, rows in out if len(rows)]
 
 
@@ -105,8 +106,8 @@ def _apart(tree: Tree, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return apart
 
 
-def _grown(x: np.ndarray, leaf: int, trees: int, cosine: float, seed: list[int]) -> list[Tree]:
-    """``trees`` or more trees, until pairs at the threshold meet."""
+def _grown(x: np.ndarray, leaf: int, trees: int, cosine: float, seed: list[int]) -> list[Tree | None]:
+    """``trees`` or more trees, until pairs at the threshold meet; [None], a single leaf, if ``MOST_TREES`` don't bring them together."""
     rng = np.random.default_rng([*seed, MOST_TREES])
     ours = x[rng.permutation(len(x))[:PROBES]]
     away = rng.standard_normal(ours.shape)
@@ -118,10 +119,10 @@ def _grown(x: np.ndarray, leaf: int, trees: int, cosine: float, seed: list[int])
     while len(forest) < trees or (missed.mean() > MISSED and len(forest) < MOST_TREES):
         forest.append(Tree(x, leaf, np.random.default_rng([*seed, len(forest)])))
         missed &= _apart(forest[-1], ours, theirs)
-    return forest
+    return [None] if missed.mean() > MISSED else forest
 
 
-def fit_forest(sample: list, total: int, trees: int = TREES, seed: int = 5, cosine: float = 0.9) -> dict[int, list[Tree]]:
+def fit_forest(sample: list, total: int, trees: int = TREES, seed: int = 5, cosine: float = 0.9) -> dict[int, list[Tree | None]]:
     """A forest per number of components: vectors of different lengths never link."""
     out = {}
     by: dict[int, list] = {}
@@ -134,14 +135,14 @@ def fit_forest(sample: list, total: int, trees: int = TREES, seed: int = 5, cosi
     return out
 
 
-def _leaves(forest: dict[int, list[Tree]]):
+def _leaves(forest: dict[int, list[Tree | None]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             widths = batch["vector"].map(len)
             for width, rows in batch.groupby(widths):
                 x = unit(rows["vector"].tolist())
                 leaves: list[list[int]] = [[] for _ in range(len(x))]
-                # a width that the sample lacks has one leaf
+                # a width that the sample lacks, or that no trees separate well, has one leaf
                 for t, tree in enumerate(forest.get(int(width), [None])):
                     for leaf, at in tree.put(x) if tree else [(0, np.arange(len(x)))]:
                         name = (int(width) << 40) + (t << 32) + leaf

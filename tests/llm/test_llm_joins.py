@@ -113,3 +113,23 @@ def test_forest_keeps_the_links_of_a_hot_group():
 
 def test_vectors_empty_table(spark):
     assert vector_forest.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("width", [4, 64, 768])
+def test_copies_of_vectors_do_not_grow_with_the_dimension(width):
+    rng = np.random.default_rng(1)
+    x = vector_forest.unit(list(rng.standard_normal((2048, width))))
+    forest = vector_forest._grown(x, 64, 4, 0.9, [5, width])
+    assert None not in forest and len(forest) < vector_forest.MOST_TREES
+    assert all(sum(len(rows) for _, rows in tree.put(x)) < 5 * len(x) for tree in forest)
+
+
+def test_vectors_that_no_forest_separates_are_all_compared(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(3).tolist()) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vector_forest, "MOST_TREES", 1)
+    monkeypatch.setattr(vector_forest, "LEAF_TARGET", 8)
+    monkeypatch.setattr(vector_forest, "LEAF_ROWS", 100)
+    assert vector_forest.fit_forest([v for _, v in rows], len(rows), trees=1)[3] == [None]
+    assert sorted(tuple(r)[:3] for r in vector_forest.near_vectors(table, trees=1).collect()) == brute.cosine(rows)
