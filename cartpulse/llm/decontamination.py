@@ -9,7 +9,8 @@ in a chance meeting of templates.  Numbers and units may be equal by chance (3 a
 the more frequent (then the earlier) pairs of values only doesn't count as covered.  The SQL drops such alignments.
 
 Windows that are mostly placeholders, and those of items below ``MIN_ITEM`` tokens (down to one), are literal: they are joined by
-what stands in them (in lower case), so they meet verbatim copies only.  The SQL leaves them out.
+what stands in them (in lower case), so they meet verbatim copies only.  An item of at most ``FEW`` tokens ("Yes") counts where it
+is a sentence, line or answer of its own, not inside another one.  The SQL leaves them out.
 
 DataFrame functions only.  The windows of the documents are never shuffled if the benchmark's windows are proven
 few (they are counted); beyond that both sides are joined by hash.
@@ -25,6 +26,7 @@ from cartpulse.llm.common import checked_broadcast, written
 WINDOW = 8
 MIN_WORDS = 4  # a template's window has at least so many words that aren't placeholders, or all of them in items below WINDOW tokens
 MIN_ITEM = 5  # shorter items are no templates
+FEW = 2
 COVERAGE = 0.6  # share of an item's tokens within common windows
 
 # Units of measure and currency that stand for a unit slot.
@@ -77,6 +79,12 @@ def _words(at: str, width: str) -> str:
     return f"size(filter(slice(tokens, {at} + 1, {width}), w -> w NOT IN ('{NUMBER}', '{NAME}', '{UNIT}')))"
 
 
+# SQL: does the item ``body`` stand in the text ``t`` as a sentence, line or answer of its own?
+_ALONE = (
+    r"regexp_like(t, concat(r'(?iu)(?:^|[.!?:;\n。！？])[\s\x22(“]*', regexp_replace(regexp_replace(body, r'([^\p{L}\p{M}\p{N}\s])', r'\\$1'), r'\s+', r'\\s+'), "
+    r"r'[\s\x22)”]*(?:$|[.!?\n。！？])'))"
+)
+
 _LOWS = "transform(vals, v -> lower(v))"
 
 
@@ -94,10 +102,10 @@ def _one_to_one(pairs: str) -> str:
 
 
 def templates(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """item, tokens (canonical), vals, width of its windows, for items that have a token."""
+    """item, body (without punctuation around it), tokens (canonical), vals, width of its windows, for items that have a token."""
     df = items.select(F.col(key).alias("item"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
-    df = df.select("item", F.expr(_raw("t")).alias("raw"))
-    df = df.select("item", F.expr(_canonical("raw")).alias("tokens"), F.expr(_values("raw")).alias("vals"))
+    df = df.select("item", F.regexp_replace("t", r"^[^\p{L}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", "").alias("body"), F.expr(_raw("t")).alias("raw"))
+    df = df.select("item", "body", F.expr(_canonical("raw")).alias("tokens"), F.expr(_values("raw")).alias("vals"))
     return df.filter(F.size("tokens") > 0).withColumn("width", F.least(F.size("tokens"), F.lit(WINDOW)))
 
 
@@ -154,12 +162,13 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     values = (
         again.join(hit.withColumnRenamed("name", "name_").withColumnRenamed("id", "id_"), F.col("name").eqNullSafe(F.col("name_")) & (F.col("id") == F.col("id_")))
         .select("name", "id", "t").dropDuplicates(["name", "id"])
-        .select(F.col("name").alias("name_"), F.col("id").alias("id_"), F.expr(_raw("t")).alias("raw"))
-        .select("name_", "id_", F.expr(_values("raw")).alias("theirs"))
+        .select(F.col("name").alias("name_"), F.col("id").alias("id_"), "t", F.expr(_raw("t")).alias("raw"))
+        .select("name_", "id_", F.expr(_values("raw")).alias("theirs"), "t")
     )
     aligned = (
         met.join(values, F.col("name").eqNullSafe(F.col("name_")) & (F.col("id") == F.col("id_")))
         .join(items_, "item")
+        .filter(F.expr(f"CASE WHEN size(tokens) > {FEW} THEN true ELSE {_ALONE} END"))
         .withColumn("covered", F.expr("array_distinct(flatten(transform(ats, p -> sequence(p, p + width - 1))))"))
         .withColumn("slots", F.expr(f"filter(covered, q -> tokens[q] IN ('{NUMBER}', '{NAME}', '{UNIT}'))"))
         .withColumn("pairs", F.expr(f"array_distinct(transform(slots, q -> {_PAIR}))"))

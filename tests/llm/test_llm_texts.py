@@ -126,6 +126,15 @@ def test_verbatim_items_of_numbers_names_and_few_words_are_found(spark):
     assert got == {(i, i, "verbatim") for i in range(len(texts))}
 
 
+def test_items_of_one_word_count_as_answers_of_their_own(spark):
+    items = spark.createDataFrame([(1, "Yes"), (2, "C++ (1998)."), (3, "No way!")], "item_id long, text string")
+    rows = [(1, "yes we can, said the man"), (2, "The answer is yes indeed."), (3, "Is it so?\nYes.\nThen go."), (4, "Answer: Yes"), (5, "Yes"), (6, "there is no way out of here")]
+    rows += [(7, "No way! He said."), (8, "written in c++  (1998) then"), (9, "Language: C++ (1998)."), (10, None), (11, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, items).collect()} == {(3, 1), (4, 1), (5, 1), (7, 3), (9, 2)}
+    assert sorted(r.doc_id for r in decontamination.without_leaks(docs, items).collect()) == [1, 2, 6, 8, 10, 11]
+
+
 def test_contained_items_are_found_in_the_test_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
