@@ -13,7 +13,8 @@ is hidden (known by tag, role or class words); all else stays, whole.  Character
 space becomes one space, and blocks are joined by one space.
 
 Pages are parsed row by row inside tasks; only votes are shuffled, and the pages themselves only if the ranked
-paths of all hosts are beyond Spark's broadcast threshold.  Nulls: a null html is an empty page, with empty text.  A page
+paths of all hosts, which are written first, are beyond Spark's broadcast threshold (a hot host is then split by
+adaptive execution).  Nulls: a null html is an empty page, with empty text.  A page
 whose url is null or names no host votes for nothing and is read by its own best container.  Repeated rows are rows of
 their own; other columns are ignored; an empty table gives no row.
 """
@@ -28,6 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartpulse.llm.common import written
+
 # Paths that a host keeps.
 PATHS = 3
 
@@ -326,5 +329,7 @@ def consensus(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of pages (page_id, url, html)."""
     rows = pages.select("page_id", "url", "html", host().alias("host"))
-    read = rows.join(consensus(pages), "host", "left").select("page_id", "url", _texts("html", "paths").alias("text"))
+    # written first, so that its size is known when the join is planned: pages are not shuffled for a small one
+    paths = written(consensus(pages), "host-paths")
+    read = rows.join(paths, "host", "left").select("page_id", "url", _texts("html", "paths").alias("text"))
     return read.withColumn("n_chars", F.char_length("text").cast("long"))
