@@ -70,9 +70,11 @@ REMARKS = set("comment comments commentlist disqus respond reply replies discuss
 WORDS = set(
     "ad ads adbox adslot advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "notification alert popup modal overlay newsletter subscribe subscription signup login paywall nav navbar navigation menu breadcrumb breadcrumbs "
-    "pagination pager toolbar sidebar widget widgets aside footer masthead topbar header share sharing social related recommended recommendations "
+    "pagination pager toolbar sidebar widget widgets aside footer masthead topbar share sharing social related recommended recommendations "
     "teaser search skip hidden".split()
 )
+# A class "header" is one of the page alone or after these words, not in "section-header".
+OF_SITE = set("site page top main global".split())
 # "has-sidebar" and the like speak of a page, not of the element.
 OF_PAGE = set("has with no without is open".split())
 GOOD = set("content article post entry story text body main".split())
@@ -273,7 +275,8 @@ def _judged(name: str, attributes: str) -> tuple[str, int]:
             continue
         if words[0] in REMARKS or words[-1] in REMARKS:
             return marks, 2
-        if name != "article" and any(w in WORDS for w in words):
+        site_header = words[-1] == "header" and (len(words) == 1 or words[0] in OF_SITE)
+        if name != "article" and (site_header or any(w in WORDS for w in words)):
             flag = 1
     if name == "header":
         flag = 1

@@ -50,6 +50,11 @@ def test_broken_markup():
         assert A.extract(empty, ["article"]) == ("<" if empty == "<" else "")
 
 
+def test_headers_of_sections_stay():
+    body = '<div class="site-header"><p>Daily news</p></div><article><h1>A</h1><div class="section-header"><h2>B</h2></div><p>C</p><div class="share">D</div></article>'
+    assert A.extract(page(body), []) == "A B C"
+
+
 def test_time_grows_with_length_only():
     for bad in ('<a "', "<!--", "<p", "</b>", "<b>", "<div>", "&am", "<a =", "<li>", "<p><b>", "<script>"):
         began = time.perf_counter()
