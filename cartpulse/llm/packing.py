@@ -17,12 +17,16 @@ Fernandez de la Vega and Lueker's scheme on exact token counts:
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +34,9 @@ from cartpulse.llm.common import numbered, positioned
 
 CAPACITY = 2048
 END_ID = 0
-BATCH_WORDS = 400_000
-CACHED_WORDS = 1_000_000  # a task's word cache is emptied beyond this, so its memory is bounded
+BATCH_CHARS = 4_000_000
+CACHED_WORDS = 200_000  # a worker's word cache is emptied beyond this: workers live on, and later stages run beside it
+_MARKS = ".,;:!?|%#*&$"  # none starts a special token or a contraction
 
 # Byte-level vocabularies write a byte that is no visible Latin-1 character as the next free one from 256 on (the space here stays).
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
@@ -40,11 +45,21 @@ _BYTES = {b: 256 + n for n, b in enumerate(_HIDDEN) if b != 32}
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+def _is_latin(text: str) -> bool:
+    """Has the text Latin-1 characters only?"""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
     """Token ids of a text as little-endian 32-bit bytes, with a cache of words.
 
     The tokenizer splits at white space before anything else, so the ids of a
-    text are those of its space- or line-separated parts, joined.
+    text are those of its space- or line-separated parts, joined.  Arrow splits a batch of
+    texts and numbers its distinct words; only these are looked up, and the ids are put together by position.
     """
 
     def __init__(self, path: str):
@@ -64,55 +79,98 @@ class WordEncoder:
         self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, words, size = [], [], 0
+        return list(self.encoded(texts))
+
+    def encoded(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; about ``BATCH_CHARS`` characters are worked on at a time."""
+        some, size = [], 0
         for i, text in enumerate(texts):
-            if text.isascii() and "<|" not in text:
+            if _is_latin(text) and "<|" not in text:
                 text = text.lower()  # as the tokenizer does; fewer words to learn
-            parts = text.replace("\n", " ").split(" ")
-            words.append(parts)
-            size += len(parts)
-            if size > BATCH_WORDS or i + 1 == len(texts):
-                out += self._encode(words)
-                words, size = [], 0
-        return out
-
-    def _encode(self, texts: list[list[str]]) -> list[bytes]:
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        self._learn(set().union(*texts).difference(self.cache))
-        return [b"".join(map(self.cache.__getitem__, words)) for words in texts]
-
-    def _learn(self, new: set[str]) -> None:
-        """Puts words into the cache.
+            some.append(text.replace("\n", " "))
+            size += len(text)
+            if size > BATCH_CHARS or i + 1 == len(texts):
+                yield from self._encode(some)
+                some, size = [], 0
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        words = parts.values.dictionary_encode()
+        which = words.indices.to_numpy()
+        ids = self._known(words.dictionary.to_pylist(), np.bincount(which) > 1)
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        first = np.cumsum(sizes) - sizes
+        many = sizes[which]
+        stop = np.cumsum(many)
+        at = np.repeat(first[which] - (stop - many), many)
+        at += np.arange(len(at))
+        data = np.frombuffer(b"".join(ids), dtype="<u4")[at].tobytes()
+        cuts = 4 * np.concatenate([[0], stop])[parts.offsets.to_numpy()]
+        return (data[begin:end] for begin, end in pairwise(cuts.tolist()))
+
+    def _known(self, words: list[str], repeated: np.ndarray) -> list[bytes]:
+        """The ids of distinct words.  Words that are ``repeated`` in the batch are kept for the next ones: most others never come again."""
+        ids = list(map(self.cache.get, words))
+        missing = [k for k, x in enumerate(ids) if x is None]
+        if missing:
+            got = self._learned([words[k] for k in missing])
+            if len(self.cache) > CACHED_WORDS:
+                self.cache.clear()
+            for k, again in zip(missing, repeated[missing].tolist(), strict=True):
+                ids[k] = got[words[k]]
+                if again:
+                    self.cache[words[k]] = ids[k]
+        return ids
+
+    def _learned(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of words (and of some of their parts) that aren't in the cache.
 
         A run of letters is one word to the tokenizer, and its last id is a word's end: such words are
-        encoded in one call and cut at the ends.  A mark after letters is a word of its own.
+        encoded in one call and cut at the ends.  Marks after letters are a word of their own.
         """
         cache = self.cache
-        marked = [w for w in new if len(w) > 1 and w[-1] in ".,;:!?|" and w[:-1].lower().isalpha()]
-        plain = {w for w in new if w.isalpha()}
-        rest = new - plain - set(marked) | {w[-1] for w in marked if w[-1] not in cache}
-        plain.update(w[:-1] for w in marked if w[:-1] not in cache)
-        odd = {w for w in plain if not w.isascii() and max(w) > "\xff"}
-        rest |= odd
-        plain = list(plain - odd)
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            seen = " ".join(some).lower().encode().decode("latin-1").translate(_BYTES)
-            ids = np.array(self.letters.encode(seen, add_special_tokens=False).ids, dtype="<u4")
+        got: dict[str, bytes] = {}
+        plain: dict[str, None] = {}
+        rest, marked = set(), []
+        for word in new:
+            if word.isalpha():
+                plain[word] = None
+            else:
+                stem = word.rstrip(_MARKS)
+                # normalising may turn a letter into a letter and a mark, which would join the marks that follow
+                if len(stem) < len(word) and stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()):
+                    tail = word[len(stem) :]
+                    marked.append((word, stem, tail))
+                    got[stem], got[tail] = cache.get(stem), cache.get(tail)
+                    if got[stem] is None:
+                        plain[stem] = None
+                    if got[tail] is None:
+                        rest.add(tail)
+                else:
+                    rest.add(word)
+        ascii_ = [w for w in plain if w.isascii()]
+        wide = [w for w in plain if not w.isascii()]
+        latin = [w for w in wide if _is_latin(w)]
+        if len(latin) < len(wide):
+            rest.update(set(wide).difference(latin))
+        runs = [some[at : at + 1000] for some in (ascii_, latin) for at in range(0, len(some), 1000)]
+        seen = [x if x.isascii() else x.encode().decode("latin-1").translate(_BYTES) for x in (" ".join(some).lower() for some in runs)]
+        for some, found in zip(runs, self.letters.encode_batch_fast(seen, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) != len(some):
                 rest.update(some)
                 continue
             data, begin = ids.tobytes(), 0
             for word, end in zip(some, (4 * ends).tolist(), strict=True):
-                cache[word] = data[begin:end]
+                got[word] = data[begin:end]
                 begin = end
-        rest = list(rest)
-        for word, got in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            cache[word] = np.array(got.ids, dtype="<u4").tobytes()
-        for word in marked:
-            cache[word] = cache[word[:-1]] + cache[word[-1]]
+        odd = list(rest)
+        for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            got[word] = np.array(found.ids, dtype="<u4").tobytes()
+        for word, stem, tail in marked:
+            got[word] = got[stem] + got[tail]
+        return got
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -136,12 +194,11 @@ def token_pieces(
         for batch in batches:
             rows = []
             texts = ["" if x is None else x for x in batch["_text"].tolist()]
-            for at in range(0, len(texts), 256):
-                for k, ids in enumerate(encoder.encode(texts[at : at + 256]), at):
-                    ids += end
-                    for piece, begin in enumerate(range(0, len(ids), width)):
-                        part = ids[begin : begin + width]
-                        rows.append((k, piece, begin // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
+            for k, ids in enumerate(encoder.encoded(texts)):
+                ids += end
+                for piece, begin in enumerate(range(0, len(ids), width)):
+                    part = ids[begin : begin + width]
+                    rows.append((k, piece, begin // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
             out = pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32", "ids"])
             out.insert(0, key, batch["_key"].array.take(out.pop("k").to_numpy(dtype=np.int64)))
             yield out if with_ids else out.drop(columns="ids")

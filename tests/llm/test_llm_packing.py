@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -20,6 +21,29 @@ def test_word_encoder_equals_the_tokenizer():
     assert ours.encode(texts) == want
 
 
+def test_letters_that_normalising_takes_apart_join_the_marks_after_them():
+    plain, ours = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
+    texts = ["\u0958. \u0958!? a\u0958, \ufb1d;", "\u0130. \u0130!", "stone... stone%%% STONE*** \xc9t\xc9.##", "stone.<|endoftext|> stone|endoftext|>"]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert ours.encode(texts) == want
+
+
+def test_words_that_come_once_are_not_kept():
+    ours = packing.WordEncoder(PATH)
+    once = ["".join(w) for w in itertools.product("abcdefgh", repeat=4)]
+    ours.encode([" ".join([*once, "river", "stones,"]), "river stones,"])
+    assert set(ours.cache) == {"river", "stones,"}
+
+
+def test_the_word_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 500)
+    plain, ours = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
+    for first in "abcdefgh":
+        text = " ".join(first + "".join(w) for w in itertools.product("abcdefgh", repeat=3))
+        assert ours.encode([text, text])[1] == np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert len(ours.cache) <= 500 + 512
+
+
 @pytest.mark.parametrize("histogram", [{}, {2048: 3}, {5: 1}, {1: 5000}, {1025: 100, 1023: 100}, {700: 10, 600: 11, 1448: 10, 3: 7}, {2047: 4, 1: 4}])
 def test_plan_places_every_piece_once(histogram):
     plan = packing.plan_lengths(histogram)
