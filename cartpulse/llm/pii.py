@@ -110,14 +110,12 @@ def _terms_near(masks: str) -> str:
     words = _quoted(_WORD)
     # a context is the text before (after) an entity, up to CONTEXT characters and no further than the next entity;
     # a word that the window cuts is left out by asking for a non-letter at its edge
+    chars = lambda a, n: f"aggregate(slice(part.{a}, 1, {n}), 0L, (s, x) -> s + char_length(x))"
     side = (
-        "transform(sequence(0, size(regexp_extract_all(part.body, {w}, 0)) - 1), i -> named_struct("
-        "'term', lower(element_at(regexp_extract_all(part.body, {w}, 0), i + 1)), "
-        "'start', part.at + aggregate(slice(split(part.body, {w}, -1), 1, i + 1), 0L, (s, x) -> s + char_length(x)) "
-        "+ aggregate(slice(regexp_extract_all(part.body, {w}, 0), 1, i), 0L, (s, x) -> s + char_length(x)), "
-        "'end', part.at + aggregate(slice(split(part.body, {w}, -1), 1, i + 1), 0L, (s, x) -> s + char_length(x)) "
-        "+ aggregate(slice(regexp_extract_all(part.body, {w}, 0), 1, i + 1), 0L, (s, x) -> s + char_length(x))))"
-    ).format(w=words)
+        "transform(sequence(0, size(part.words) - 1), i -> named_struct('term', lower(element_at(part.words, i + 1)), "
+        f"'start', part.at + {chars('gaps', 'i + 1')} + {chars('words', 'i')}, "
+        f"'end', part.at + {chars('gaps', 'i + 1')} + {chars('words', 'i + 1')}))"
+    )
     left = (
         f"transform({masks}, m -> named_struct('at', greatest(m.from, m.start - {CONTEXT}), "
         f"'body', substring(text_, CAST(greatest(m.from, m.start - {CONTEXT}) AS INT) + 1, CAST(greatest(0L, m.start - greatest(m.from, m.start - {CONTEXT})) AS INT))))"
@@ -126,7 +124,11 @@ def _terms_near(masks: str) -> str:
         f"transform({masks}, (m, i) -> named_struct('at', greatest(m.from, m.end), 'body', substring(text_, CAST(greatest(m.from, m.end) AS INT) + 1, "
         f"CAST(greatest(0L, least(CAST({CONTEXT} AS BIGINT), coalesce(try_element_at({masks}, i + 2).start, char_length(text_)) - greatest(m.from, m.end))) AS INT))))"
     )
-    parts = f"filter(concat({left}, {right}), part -> part.body rlike {words})"
+    # a part is taken apart once, not for every word of it
+    parts = (
+        f"transform(filter(concat({left}, {right}), part -> part.body rlike {words}), part -> named_struct("
+        f"'at', part.at, 'words', regexp_extract_all(part.body, {words}, 0), 'gaps', split(part.body, {words}, -1)))"
+    )
     return f"array_distinct(flatten(transform({parts}, part -> {side})))"
 
 
@@ -143,7 +145,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Data
     scanned = _scanned(docs, key, text)
     near = scanned.withColumn("terms", F.expr(f"CASE WHEN size(masks) > 0 THEN {_terms_near('masks')} ELSE CAST(array() AS ARRAY<STRUCT<term: STRING, start: BIGINT, end: BIGINT>>) END"))
     near = near.withColumn("terms", F.expr(f"filter(terms, t -> {_whole('t')})"))
-    near = written(near.withColumn("id", F.sha2(F.concat_ws("\x01", F.col("name").cast("string"), "text_"), 256)), "pii-near")
+    near = near.withColumn("id", F.sha2(F.concat_ws("\x01", F.col("name").cast("string"), "text_"), 256))
+    near = written(near.drop("text_"), "pii-near").withColumn("text_", F.col(f"row.`{text}`"))  # the row has the text: it is written once
     seen = near.select(F.explode("terms").alias("t")).groupBy(F.col("t.term").alias("term")).agg(F.count(F.lit(1)).alias("near"))
     seen = written(seen, "pii-terms")
     occurrences = docs.select(F.explode(F.expr(f"regexp_extract_all({text}, {_quoted(_WORD)}, 0)")).alias("w")).select(F.lower("w").alias("term"))
@@ -192,7 +195,7 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     Null and empty texts have no span.  Rows that repeat a key, or a whole document, are rows of their own.
     """
-    near, telling = find(docs, key, text)
+    near, telling = find(docs.select(*dict.fromkeys((key, text))), key, text)
     some = _told(near, telling).withColumn(
         "all", F.expr("concat(base, transform(told, t -> named_struct('kind', 4, 'start', t.start, 'end', t.end)))")
     ).select("name", "base", "all")

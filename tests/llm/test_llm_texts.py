@@ -73,6 +73,14 @@ def test_masks_never_leave_a_span(spark):
                 assert sum(t.count(piece) for t in after[key]) <= sum(t.count(piece) for k, t in rows if k == key) - 1
 
 
+def test_texts_are_written_once(spark):
+    rows = [(1, "write to jane@example.org or 10.0.0.1 now"), (2, "nothing here"), (None, None), (1, "call +1 415 555 0100"), (3, "")]
+    near, _ = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    stored = spark.read.parquet(*near.inputFiles())
+    assert [f.name for f in stored.schema if f.dataType.simpleString() == "string" and f.name != "id"] == []
+    assert sorted((r.name, r.text_) for r in near.select("name", "text_").collect()) == [(1, rows[3][1]), (1, rows[0][1])]
+
+
 def test_personal_data_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.detect(empty).count() == 0 and pii.sanitise(empty).count() == 0
