@@ -20,7 +20,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -35,6 +35,7 @@ from cartpulse.llm.common import numbered, positioned
 CAPACITY = 2048
 END_ID = 0
 BATCH_CHARS = 4_000_000
+BATCH_TEXTS = 256  # so many are Python strings at a time
 CACHED_WORDS = 200_000  # a worker's word cache is emptied beyond this: workers live on, and later stages run beside it
 _MARKS = ".,;:!?|%#*&$"  # none starts a special token or a contraction
 
@@ -65,14 +66,13 @@ class WordEncoder:
     def __init__(self, path: str):
         import os
 
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
         # For lower-case Latin-1 letters normalising and splitting do nothing, so this one leaves them out
-        self.letters = Tokenizer.from_file(path)
-        self.letters.normalizer = normalizers.Sequence([])
+        self.letters = Tokenizer(self.tokenizer.model)  # one model in memory
         self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -81,17 +81,19 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         return list(self.encoded(texts))
 
-    def encoded(self, texts: list[str]) -> Iterator[bytes]:
+    def encoded(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text; about ``BATCH_CHARS`` characters are worked on at a time."""
         some, size = [], 0
-        for i, text in enumerate(texts):
+        for text in texts:
             if _is_latin(text) and "<|" not in text:
                 text = text.lower()  # as the tokenizer does; fewer words to learn
             some.append(text.replace("\n", " "))
             size += len(text)
-            if size > BATCH_CHARS or i + 1 == len(texts):
+            if size > BATCH_CHARS:
                 yield from self._encode(some)
                 some, size = [], 0
+        if some:
+            yield from self._encode(some)
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
@@ -189,23 +191,27 @@ def token_pieces(
     end = np.array([END_ID], dtype="<u4").tobytes()
     width = 4 * capacity
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         for batch in batches:
+            keys, column = batch.columns
+            texts = ("" if x is None else x for at in range(0, len(column), BATCH_TEXTS) for x in column.slice(at, BATCH_TEXTS).to_pylist())
             rows = []
-            texts = ["" if x is None else x for x in batch["_text"].tolist()]
             for k, ids in enumerate(encoder.encoded(texts)):
                 ids += end
                 for piece, begin in enumerate(range(0, len(ids), width)):
                     part = ids[begin : begin + width]
                     rows.append((k, piece, begin // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
-            out = pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32", "ids"])
-            out.insert(0, key, batch["_key"].array.take(out.pop("k").to_numpy(dtype=np.int64)))
-            yield out if with_ids else out.drop(columns="ids")
+            k, *out = zip(*rows, strict=True) if rows else [()] * 6
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            columns = {key: keys.take(pa.array(k, pa.int64()))}
+            columns |= {name: pa.array(x, kind) for name, x, kind in zip(names, out, kinds, strict=False)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = docs.schema[key].dataType.simpleString()
+    names = ["piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(pieces, schema)
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(pieces, schema)
 
 
 # A run is [first sequence, number of sequences, lengths in each of them, room left in each].
