@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # Rows of a narrow side (ids, hashes, short words: tens of bytes each) that may be broadcast.
 BROADCAST_ROWS = 500_000
+# Spark then deletes a query's shuffle files when it ends, not when the driver happens to collect its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,11 +56,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     Cuts the lineage: later stages read the files, so a lost executor costs
-    no recomputation and values such as row positions never change.
+    no recomputation and values such as row positions never change.  The
+    shuffle files that writing took are deleted: nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_path = path
     return table

@@ -7,9 +7,12 @@ A document is the set of its word n-grams.  Two documents link when
 2. The root of the tree deals classes out.  Its entries are size ranges, and in each range the token space is cut
    into P parts.  Two linked sets of a range differ in at most H tokens, so at least P - H parts hold
    the same tokens in both: each set is filed under the hash of its tokens in each part,
-   and every linked pair meets in a subtree (exactly: no sampling, no probability).  Weak parts, which hold only
-   frequent n-grams or none, are left out unless a set has more than ``P - H - 1`` of them, as then a part that isn't
-   weak must agree too; so documents that merely share a common passage don't meet.  Which n-grams count as frequent is read off
+   and every linked pair meets in a subtree (exactly: no sampling, no probability; keys and classes are cut to 48 bits
+   there, and two that happen to be alike only make sets meet that are then compared).  A batch's keys leave it packed, one row
+   per bucket of keys, as they are most of what this join moves.  Every set leaves out its P - H - 1 weakest parts, those
+   with the fewest rare n-grams, by one order of all parts: at least one more part agrees, and the strongest of them stays in both.
+   So documents that merely share a common passage, or an n-gram by chance, rarely meet: such meetings grow with the square
+   of the table and would make most of it one subtree.  Which n-grams count as frequent is read off
    a bounded sample of texts; whatever it says, the same pairs are found, at another cost.
 3. Classes that meet, directly or through others, form a subtree (connected components in Spark), and their texts
    are gathered.  In a subtree, hierarchical nodes hold OR-combined token bitmaps and size ranges; a dual
@@ -30,11 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartpulse.llm.common import checked_broadcast, component_roots, written
+from cartpulse.llm.common import at_most, component_roots, written
+from cartpulse.operators.prefilter import maybe_among
 
 GROUP_TOKENS = 1_000_000  # n-grams of a block: 8 MB of hashes
 LEAF = 32
@@ -43,6 +48,9 @@ RANGE = 1.25  # ratio of the ends of a size range
 SAMPLE_TEXTS = 4096  # texts in which frequent n-grams are looked for: those that two of them share
 FREQUENT = 400_000  # at most so many, the most frequent ones
 CACHED_WORDS = 500_000
+BUCKET_CHARS = 5_000_000  # characters of text whose keys share a bucket: about half a million keys
+SPARE = 2  # one part more for every two tokens that may differ, as many as are left out
+PACKED_BITS = 48  # of a key (beyond those that choose its bucket) and of a class
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S = np.uint64(29)
@@ -110,12 +118,12 @@ class Ranges:
         differ = (self.den - self.num) * most // (self.den + self.num)
         if not differ:
             return 0, 0
-        spare = 1 + differ // 6
+        spare = 1 + differ // SPARE
         return differ + 1 + spare, spare
 
 
 def part_keys(tokens: np.ndarray, ranges: Ranges, frequent: np.ndarray | None = None) -> np.ndarray:
-    """The keys a set is filed under.  ``frequent``: sorted hashes of n-grams that make no part strong."""
+    """The keys a set is filed under.  ``frequent``: sorted hashes of n-grams that make no part stronger."""
     out = []
     rare = np.ones(len(tokens), dtype=bool)
     if frequent is not None and len(frequent):
@@ -133,24 +141,42 @@ def part_keys(tokens: np.ndarray, ranges: Ranges, frequent: np.ndarray | None =
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed(tokens[order]), dtype=np.uint64)])
         keys = sums[ends] - sums[ends - sizes]
         keys = mixed(keys + mixed(np.arange(parts, dtype=np.uint64) + np.uint64(k << 32)))
-        weak = np.bincount(part[rare], minlength=parts) == 0
-        out.append(keys if weak.sum() > spare else keys[~weak])
+        # both of a pair leave out their ``spare`` weakest parts by one order: the strongest of the parts that agree stays in both
+        strength = np.bincount(part[rare], minlength=parts)
+        out.append(keys[np.lexsort((keys, strength))[spare:]])
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def _file(n: int, num: int, den: int, frequent: np.ndarray):
-    """Per batch: a row (spread key, class, document) per document, and rows (key, class) for the keys.
+def _packed(keys: np.ndarray, owners: np.ndarray) -> bytes:
+    """``PACKED_BITS`` of each key and of its owner, 12 bytes a pair."""
+    pairs = np.stack([keys, owners], axis=1).astype("<u8").view(np.uint8).reshape(-1, 2, 8)
+    return pairs[:, :, : PACKED_BITS // 8].tobytes()
+
+
+def _unpacked(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    narrow = np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(-1, 2, PACKED_BITS // 8)
+    wide = np.zeros((len(narrow), 2, 8), dtype=np.uint8)
+    wide[:, :, : PACKED_BITS // 8] = narrow
+    pairs = wide.view("<u8")[:, :, 0].astype(np.int64)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _file(n: int, num: int, den: int, frequent: np.ndarray, buckets: int):
+    """Per batch: a row (bucket, class, document) per document, and a row (bucket, packed keys and classes) per bucket.
 
     Of the classes of a batch that share a key only the smallest is filed under it; the others are tied to
     that one by a key of the two.  So a key shared by a third of all rows leaves a task once a batch.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bucket(keys: np.ndarray) -> np.ndarray:
+        return ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = Ranges(num, den)
         for batch in batches:
             classes, sizes, seen = [], [], set()
             keys, owners = [], []
-            for text in batch["_text"].tolist():
+            for text in batch.column("_text").to_pylist():
                 tokens = shingles(text, n)
                 sizes.append(len(tokens))
                 h = set_hash(tokens) if len(tokens) else 0
@@ -161,30 +187,56 @@ def _file(n: int, num: int, den: int, frequent: np.ndarray):
                     if len(own):
                         keys.append(own)
                         owners.append(np.full(len(own), h, dtype=np.uint64))
+            doc = batch.column("_key")
+            fields = [("bucket", pa.int64()), ("packed", pa.binary()), ("class", pa.int64()), ("doc", doc.type), ("size", pa.int64())]
+            schema = pa.schema(fields)
             classes = np.array(classes, dtype=np.uint64)
-            size = np.array(sizes, dtype=np.int64)
-            docs = pd.DataFrame({
-                "key": mixed(classes + mixed(np.arange(len(size), dtype=np.uint64))).view(np.int64),
-                "class": classes.view(np.int64),
-                "doc": batch["_key"],
-                "size": pd.array(size, dtype="Int64"),
-            })
-            yield docs
-            if keys:
-                key, owner = np.concatenate(keys).view(np.int64), np.concatenate(owners).view(np.int64)
-                order = np.lexsort((owner, key))
-                key, owner = key[order], owner[order]
-                first = np.concatenate([[True], key[1:] != key[:-1]])
-                head = owner[first][np.cumsum(first) - 1]
-                ties = np.unique(np.stack([owner[~first], head[~first]], axis=1), axis=0)
-                tied = mixed(ties[:, 0].view(np.uint64) + mixed(ties[:, 1].view(np.uint64))).view(np.int64)
-                key = np.concatenate([key[first], tied, tied])
-                owner = np.concatenate([owner[first], ties[:, 0], ties[:, 1]])
-                yield pd.DataFrame({"key": key, "class": owner, "doc": None, "size": pd.array([None] * len(key), dtype="Int64")})
+            spread = bucket(mixed(classes + mixed(np.arange(len(classes), dtype=np.uint64))))
+            none = pa.nulls(len(classes), pa.binary())
+            yield pa.record_batch([spread, none, classes.view(np.int64), doc, np.array(sizes, dtype=np.int64)], schema=schema)
+            if not keys:
+                continue
+            key, owner = np.concatenate(keys), np.concatenate(owners)
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            head = owner[first][np.cumsum(first) - 1]
+            ties = np.unique(np.stack([owner[~first], head[~first]], axis=1), axis=0)
+            tied = mixed(ties[:, 0] + mixed(ties[:, 1]))
+            key = np.concatenate([key[first], tied, tied])
+            owner = np.concatenate([owner[first], ties[:, 0], ties[:, 1]])
+            place = bucket(key)
+            order = np.argsort(place, kind="stable")
+            places, starts = np.unique(place[order], return_index=True)
+            ends = [*starts[1:].tolist(), len(order)]
+            packed = _packed(key[order], owner[order])
+            wide = 2 * PACKED_BITS // 8
+            blobs = pa.array([packed[i * wide : j * wide] for i, j in zip(starts.tolist(), ends, strict=True)], pa.binary())
+            none = [pa.nulls(len(places), kind) for _, kind in fields[2:]]
+            yield pa.record_batch([places, blobs, *none], schema=schema)
 
     return run
 
 
+def _meet(table: pa.Table) -> pa.Table:
+    """A bucket's documents as they are, and (class, least) for classes under one key, least the smallest of them; both cut to ``PACKED_BITS``."""
+    docs = table.filter(table.column("packed").is_null())
+    doc = docs.column("doc")
+    out = [docs.column("class"), doc, docs.column("size"), pa.nulls(len(docs), pa.int64())]
+    names = ["class", "doc", "size", "least"]
+    own = pa.table(out, names=names)
+    if not (packed := table.column("packed").drop_null().to_pylist()):
+        return own
+    key, owner = _unpacked(packed)
+    order = np.argsort(key)
+    key, owner = key[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    least = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.append(starts, len(key))))
+    ties = np.unique(np.stack([owner, least], axis=1)[owner != least], axis=0)
+    none = [pa.nulls(len(ties), doc.type), pa.nulls(len(ties), pa.int64())]
+    return pa.concat_tables([own, pa.table([pa.array(ties[:, 0]), *none, pa.array(ties[:, 1])], names=names)])
+
+
 class Tree:
     """Levels of nodes over sorted sets, leaves first: OR-combined bitmaps, size ranges, and slack.
 
@@ -331,10 +383,11 @@ def _compare(n: int, num: int, den: int):
     return run
 
 
-def frequent_shingles(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """Sorted hashes of the n-grams that at least two of ``SAMPLE_TEXTS`` different texts share (at most ``FREQUENT``)."""
+def frequent_shingles(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, int]:
+    """Sorted hashes of the n-grams that at least two of ``SAMPLE_TEXTS`` different texts share (at most ``FREQUENT``); the characters of all texts."""
     texts = docs.select(F.col(text).alias("_text")).filter(F.length("_text") > 0)
-    share = int((1 << 30) * min(1.0, 0.95 * SAMPLE_TEXTS / max(texts.count(), 1))) + 1
+    rows, chars = texts.agg(F.count(F.lit(1)), F.sum(F.length("_text").cast("long"))).first()
+    share = int((1 << 30) * min(1.0, 0.95 * SAMPLE_TEXTS / max(rows, 1))) + 1
     sample = texts.filter(F.pmod(F.xxhash64("_text", F.lit(13)), F.lit(1 << 30)) < share).distinct().limit(SAMPLE_TEXTS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -343,8 +396,8 @@ def frequent_shingles(docs: DataFrame, text: str, n: int) -> np.ndarray:
                 yield pd.DataFrame({"token": shingles(t, n).view(np.int64)})
 
     counts = sample.mapInPandas(run, "token long").groupBy("token").count().filter("count > 1")
-    rows = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).select("token").toPandas()
-    return np.sort(rows["token"].to_numpy(dtype=np.int64).view(np.uint64))
+    found = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).select("token").toPandas()
+    return np.sort(found["token"].to_numpy(dtype=np.int64).view(np.uint64)), chars or 0
 
 
 def jaccard_components(
@@ -357,22 +410,19 @@ def jaccard_components(
     repeat a key are rows of their own.  Other columns of ``docs`` play no part.
     """
     kind = docs.schema[key].dataType.simpleString()
-    filed = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(
-        _file(n, num, den, frequent_shingles(docs, text, n)), f"key long, class long, doc {kind}, size long"
-    )
-    # rows of a key lie side by side after one shuffle; a key's smallest class stands for it
-    met = written(
-        filed.withColumn("least", F.min("class").over(Window.partitionBy("key")))
-        .filter(F.col("size").isNotNull() | (F.col("class") != F.col("least")))
-        .select("class", "doc", "size", "least"),
-        "jaccard-met",
+    frequent, chars = frequent_shingles(docs, text, n)
+    filed = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(
+        _file(n, num, den, frequent, min(1 << 20, math.ceil(chars / BUCKET_CHARS) or 1)),
+        f"bucket long, packed binary, class long, doc {kind}, size long",
     )
+    # a bucket's keys lie side by side after one shuffle; a key's smallest class stands for it
+    met = written(filed.groupBy("bucket").applyInArrow(_meet, f"class long, doc {kind}, size long, least long"), "jaccard-met")
     rows = met.filter("size is not null").select("class", "doc", "size")
     meeting = met.filter("size is null").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
-    subtrees = written(component_roots(meeting).select(F.col("node").alias("class"), F.col("root").alias("tree")), "jaccard-trees")
+    subtrees = written(component_roots(meeting).select("node", F.col("root").alias("tree")), "jaccard-trees")
 
     named = (
-        rows.filter("size > 0").join(subtrees, "class").groupBy("class", "tree").agg(F.min("doc").alias("doc"), F.max("size").alias("size"))
+        rows.filter("size > 0").withColumn("node", F.col("class").bitwiseAND(F.lit((1 << PACKED_BITS) - 1))).join(subtrees, "node").groupBy("class", "tree").agg(F.min("doc").alias("doc"), F.max("size").alias("size"))
     )
     members = written(named, "jaccard-members")
     totals = members.groupBy("tree").agg(F.sum("size").alias("total"))
@@ -388,8 +438,12 @@ def jaccard_components(
         .select("doc", "class", "tree", "block", "blocks", "task")
     )
     # a block paired with itself is its own task; the pair (i, j) compares across only
-    side = checked_broadcast(written(dealt, "jaccard-dealt"))
+    side = written(dealt, "jaccard-dealt")
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
+    if at_most(side):
+        side = F.broadcast(side)
+    else:  # texts that meet none stay where they are
+        texts = maybe_among(texts.withColumn("_hash", F.xxhash64("_key")), side.select(F.xxhash64("doc").alias("_hash")), "_hash").drop("_hash")
     gathered = texts.join(side, F.col("_key").eqNullSafe(F.col("doc"))).select("_text", "class", "tree", "block", "task")
     near = written(
         gathered.groupBy("task").applyInPandas(_compare(n, num, den), "tree long, class long, near long"), "jaccard-near"

@@ -41,6 +41,17 @@ def maybe_among(df: DataFrame, ids: DataFrame, key: str, words: int = FILTER_WOR
     those that can't match are never shuffled.  The filter is broadcast, at most ``words`` rows of two numbers (a proven
     bound); with far more ids than bits it lets everything pass and the join alone decides.
     """
-    found = F.broadcast(id_filter(ids, key, words))
-    met = (_word(key, words) == found["word"]) & (_bits(key).bitwiseAND(found["bits"]) == _bits(key))
+    found, met = _tested(ids, key, words)
     return df.filter(F.col(key).isNotNull()).join(found, met, "left_semi")
+
+
+def surely_not_among(df: DataFrame, ids: DataFrame, key: str, words: int = FILTER_WORDS) -> DataFrame:
+    """The rows of ``df`` that ``maybe_among`` leaves out: no id is theirs, so an anti join need not shuffle them."""
+    found, met = _tested(ids, key, words)
+    return df.join(found, F.col(key).isNotNull() & met, "left_anti")
+
+
+def _tested(ids: DataFrame, key: str, words: int) -> tuple[DataFrame, Column]:
+    """The filter of the ids, to be broadcast, and its test of a key."""
+    found = F.broadcast(id_filter(ids, key, words))
+    return found, (_word(key, words) == found["word"]) & (_bits(key).bitwiseAND(found["bits"]) == _bits(key))

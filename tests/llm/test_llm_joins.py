@@ -1,9 +1,12 @@
 import random
+from pathlib import Path
 
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cartpulse.llm import common, signature_tree, vector_forest
 
 
@@ -52,6 +55,71 @@ def test_linked_sets_share_a_part():
                     assert keys[0] & keys[1]
 
 
+def test_jaccard_components_in_many_buckets_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(signature_tree, "BUCKET_CHARS", 500)
+    monkeypatch.setattr(common.at_most, "__defaults__", (0,))
+    rows = families(7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = signature_tree.jaccard_components(docs, n=5, num=8, den=10).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute.jaccard(rows, 5, 8, 10)
+
+
+def test_sets_that_share_a_few_tokens_rarely_share_a_part():
+    rng = np.random.default_rng(5)
+    ranges = signature_tree.Ranges(8, 10)
+    met = 0
+    for _ in range(400):
+        few = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([few, rng.integers(0, 1 << 63, 400, dtype=np.uint64)])) for _ in range(2))
+        met += bool(np.intersect1d(signature_tree.part_keys(a, ranges), signature_tree.part_keys(b, ranges)).size)
+    assert met <= 8
+
+
+def test_packed_pairs_come_back():
+    rng = np.random.default_rng(6)
+    keys, owners = rng.integers(0, 1 << 63, (2, 1000), dtype=np.uint64)
+    packed = signature_tree._packed(keys, owners)
+    assert len(packed) == 12 * len(keys)
+    got = signature_tree._unpacked([packed[:1200], packed[1200:]])
+    assert all(np.array_equal(x, y.astype(np.int64) & ((1 << 48) - 1)) for x, y in zip(got, (keys, owners), strict=True))
+
+
+def shuffle_files(spark) -> dict[str, int]:
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {str(p): p.stat().st_size for d in folders for p in Path(d).rglob("shuffle_*")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    old = shuffle_files(spark)
+    table = common.written(spark.range(5000).groupBy((F.col("id") % 997).alias("k")).count(), "t")
+    assert table.count() == 997
+    assert spark.conf.get(common.SHUFFLES_GO, None) is None
+    assert sum(v for k, v in shuffle_files(spark).items() if k not in old) < 2000  # the count's own
+
+
+def test_near_duplicates_of_large_tables_shuffle_few_texts(spark, monkeypatch):
+    for f in (common.at_most, common.checked_broadcast):
+        monkeypatch.setattr(f, "__defaults__", (0,))
+    monkeypatch.setattr(common, "SHUFFLES_GO", "spark.cartpulse.none")  # what is shuffled stays, to be counted
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=40)) for _ in range(60)) for _ in range(400)]
+    rows = list(enumerate(texts)) + [(1000 + i, texts[i]) for i in range(4)] + [(2000 + i, texts[i] + " end") for i in range(2, 6)] + [(0, texts[0])]
+    docs = common.written(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "t")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(k, None) for k in names]
+    try:
+        for k in names:
+            spark.conf.set(k, "-1")
+        old = shuffle_files(spark)
+        kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+        moved = sum(v for k, v in shuffle_files(spark).items() if k not in old)
+    finally:
+        for k, v in zip(names, before, strict=True):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(tuple(r) for r in kept) == sorted(enumerate(texts))
+    assert moved < 0.6 * sum(len(t) for t in texts)
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(149, 200), (300, 300), (500, 400), (400, 500)]
     got = {r.node: r.root for r in common.component_roots(spark.createDataFrame(edges, "a long, b long")).collect()}
