@@ -50,6 +50,7 @@ FREQUENT = 400_000  # at most so many, the most frequent ones
 CACHED_WORDS = 500_000
 BUCKET_CHARS = 5_000_000  # characters of text whose keys share a bucket: about half a million keys
 SPARE = 2  # one part more for every two tokens that may differ, as many as are left out
+HELD_KEYS = 400_000  # keys that a task holds before it packs them: a few MB
 PACKED_BITS = 48  # of a key (beyond those that choose its bucket) and of a class
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -161,23 +162,51 @@ def _unpacked(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+
+
+def _by_bucket(keys: list[np.ndarray], owners: list[int], buckets: int) -> tuple[np.ndarray, pa.Array]:
+    """Buckets, and their packed keys: each key with the smallest of its owners, to whom the others are tied by a key of the two."""
+    key, owner = np.concatenate(keys), np.repeat(np.array(owners, dtype=np.uint64), [len(k) for k in keys])
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    head = owner[first][np.cumsum(first) - 1]
+    ties = np.unique(np.stack([owner[~first], head[~first]], axis=1), axis=0)
+    tied = mixed(ties[:, 0] + mixed(ties[:, 1]))
+    key = np.concatenate([key[first], tied, tied])
+    owner = np.concatenate([owner[first], ties[:, 0], ties[:, 1]])
+    place = _bucket(key, buckets)
+    order = np.argsort(place, kind="stable")
+    places, starts = np.unique(place[order], return_index=True)
+    ends = [*starts[1:].tolist(), len(order)]
+    packed = _packed(key[order], owner[order])
+    wide = 2 * PACKED_BITS // 8
+    return places, pa.array([packed[i * wide : j * wide] for i, j in zip(starts.tolist(), ends, strict=True)], pa.binary())
+
+
 def _file(n: int, num: int, den: int, frequent: np.ndarray, buckets: int):
-    """Per batch: a row (bucket, class, document) per document, and a row (bucket, packed keys and classes) per bucket.
+    """Per batch: a row (bucket, class, document) per document; per ``HELD_KEYS`` keys a row (bucket, packed keys and classes) per bucket.
 
-    Of the classes of a batch that share a key only the smallest is filed under it; the others are tied to
-    that one by a key of the two.  So a key shared by a third of all rows leaves a task once a batch.
+    Of the classes held that share a key only the smallest is filed under it; the others are tied to
+    that one by a key of the two.  So a key shared by a third of all rows leaves a task once for so many keys.
     """
 
-    def bucket(keys: np.ndarray) -> np.ndarray:
-        return ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = Ranges(num, den)
         for batch in batches:
+            doc = batch.column("_key")
+            schema = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("class", pa.int64()), ("doc", doc.type), ("size", pa.int64())])
+
+            def row_per_bucket(keys: list[np.ndarray], owners: list[int], schema: pa.Schema = schema) -> pa.RecordBatch:
+                places, packed = _by_bucket(keys, owners, buckets)
+                return pa.record_batch([places, packed, *(pa.nulls(len(places), schema.field(c).type) for c in ("class", "doc", "size"))], schema=schema)
+
             classes, sizes, seen = [], [], set()
-            keys, owners = [], []
-            for text in batch.column("_text").to_pylist():
-                tokens = shingles(text, n)
+            keys, owners, held = [], [], 0
+            for text in batch.column("_text"):
+                tokens = shingles(text.as_py(), n)
                 sizes.append(len(tokens))
                 h = set_hash(tokens) if len(tokens) else 0
                 classes.append(h)
@@ -186,34 +215,17 @@ def _file(n: int, num: int, den: int, frequent: np.ndarray, buckets: int):
                     own = part_keys(tokens, ranges, frequent)
                     if len(own):
                         keys.append(own)
-                        owners.append(np.full(len(own), h, dtype=np.uint64))
-            doc = batch.column("_key")
-            fields = [("bucket", pa.int64()), ("packed", pa.binary()), ("class", pa.int64()), ("doc", doc.type), ("size", pa.int64())]
-            schema = pa.schema(fields)
+                        owners.append(h)
+                        held += len(own)
+                if held >= HELD_KEYS:
+                    yield row_per_bucket(keys, owners)
+                    keys, owners, held = [], [], 0
+            if keys:
+                yield row_per_bucket(keys, owners)
             classes = np.array(classes, dtype=np.uint64)
-            spread = bucket(mixed(classes + mixed(np.arange(len(classes), dtype=np.uint64))))
+            spread = _bucket(mixed(classes + mixed(np.arange(len(classes), dtype=np.uint64))), buckets)
             none = pa.nulls(len(classes), pa.binary())
             yield pa.record_batch([spread, none, classes.view(np.int64), doc, np.array(sizes, dtype=np.int64)], schema=schema)
-            if not keys:
-                continue
-            key, owner = np.concatenate(keys), np.concatenate(owners)
-            order = np.lexsort((owner, key))
-            key, owner = key[order], owner[order]
-            first = np.concatenate([[True], key[1:] != key[:-1]])
-            head = owner[first][np.cumsum(first) - 1]
-            ties = np.unique(np.stack([owner[~first], head[~first]], axis=1), axis=0)
-            tied = mixed(ties[:, 0] + mixed(ties[:, 1]))
-            key = np.concatenate([key[first], tied, tied])
-            owner = np.concatenate([owner[first], ties[:, 0], ties[:, 1]])
-            place = bucket(key)
-            order = np.argsort(place, kind="stable")
-            places, starts = np.unique(place[order], return_index=True)
-            ends = [*starts[1:].tolist(), len(order)]
-            packed = _packed(key[order], owner[order])
-            wide = 2 * PACKED_BITS // 8
-            blobs = pa.array([packed[i * wide : j * wide] for i, j in zip(starts.tolist(), ends, strict=True)], pa.binary())
-            none = [pa.nulls(len(places), kind) for _, kind in fields[2:]]
-            yield pa.record_batch([places, blobs, *none], schema=schema)
 
     return run
 
